@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
+from answerlens.llm.decontaminate import op4_decontaminate
+from answerlens.llm.embeddings import op7_embedding_near_dedup
+from answerlens.llm.licenses import op5_licenses
 from answerlens.llm.minhash import op1_minhash_near_dedup
+from answerlens.llm.mixing import op9_mix_sources
+from answerlens.llm.pii import op3_pii
+from answerlens.llm.quality import op10_quality
+from answerlens.llm.substrings import op8_substring_dedup
+from answerlens.llm.tokens import op2_token_counts
+from answerlens.llm.warc import op6_warc
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_token_counts, op3_pii, op4_decontaminate, op5_licenses,
+        op6_warc, op7_embedding_near_dedup, op8_substring_dedup, op9_mix_sources, op10_quality,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,12 +1,60 @@
-"""Corpus cleaning: the training-data operators chained over documents."""
+"""Corpus cleaning: the training-data operators chained over documents.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from answerlens.llm.decontaminate import drop_contaminated
+from answerlens.llm.minhash import minhash_near_duplicates
+from answerlens.llm.mixing import mix_sources
+from answerlens.llm.pii import mask_pii
+from answerlens.llm.quality import THRESHOLD, score_quality, train_quality
+from answerlens.llm.scratch import Scratch
 
+#: No SQL: a trained classifier and the rounding of rates aren't expressible; tests compare with brute force.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the classifier, trained on the labelled ones among them, scores at 0.3 or more."""
+    weights = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), spark)
+    return score_quality(docs, weights, spark, score_col="__score").filter(F.col("__score") >= THRESHOLD).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates, the one with the smallest doc_id."""
+    groups = minhash_near_duplicates(docs, spark)
+    gone = groups.filter("NOT kept AND component_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark passage."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the kind in place of personal data; n_chars follows the new text."""
+    return mask_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per copy that the mix takes: the document's columns, copy from 1, copies, and its source's figures."""
+    mixed = mix_sources(docs, keep=True).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return mixed.select("row.*", "copy", "copies", "size", "source_size", "target")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("mixing", mixing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
