@@ -1,0 +1,73 @@
+import hashlib
+import re
+
+from answerlens.llm import pii
+
+BASE = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+]
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(int(c) * 2, 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for order, (kind, pattern) in enumerate(BASE):
+        for m in pattern.finditer(text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((m.start(), order, kind, m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+def joined(spans):
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+TEXTS = [
+    None, "", "no data here", "a@b.c_d@e.f x@y..z@q.r é𝄞 mail me@host.co.uk.", "1.2.3.4.5.6.7.8 and 256.1.1.1 and 010.000.255.1 9999999999999999999999.1.1.1",
+    "card 4111 1111 1111 1111 and 4111-1111-1111-1112, 5  4111111111111111 4", "call +1 (212) 555-0199 or +49.30.1234567, +1234 +12 345", "4785380592391139### 152.143.123.131### x@y", "1 " * 30000,
+    "a@b" + ".c" * 30000, "1" * 60000, "a." * 30000, "+1" * 20000, "@" * 1000 + "a@b.c", "𝄞" * 50 + " u.v@w-x.yz +12125550199 4111111111111111", "IBAN GB82 WEST 1234 5698 7654 32 and DE89370400440532013000 bank", "ssn 123-45-6789", "code 123-45-6789",
+]
+
+
+def test_base_spans_equal_brute_force(spark, docs):
+    rows = pii.pii_spans(docs(TEXTS)).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        assert [(x.kind, x.start, x.end) for x in r.pii_spans if x.kind in pii.BASE] == brute(r.text), r.text and r.text[:60]
+
+
+def test_added_kinds_need_checksum_or_context(spark, docs):
+    kinds = {r.doc_id: [x.kind for x in r.pii_spans if x.kind not in pii.BASE] for r in pii.pii_spans(docs(TEXTS)).collect()}
+    assert kinds[15] == ["iban", "iban"] and kinds[16] == ["ssn"] and kinds[17] == []
+
+
+def test_documents_equal_brute_force(spark):
+    got = {r.doc_id: r for r in pii.op3_pii(spark, "/root/testdata/sf0.001").collect()}
+    for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        base, r = brute(d.text), got[d.doc_id]
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in base) for x in pii.BASE]
+        assert {x for x in joined(base).split(",") if x} <= set(r.spans.split(","))
+
+
+def test_masking_keeps_columns_and_rows(spark, docs):
+    d = docs(["hi a@b.co and +12125550199!", None, "clean"])
+    rows = sorted(pii.mask_pii(d).collect())
+    assert pii.mask_pii(d).columns == d.columns
+    assert [r.text for r in rows] == ["hi [EMAIL] and [PHONE]!", None, "clean"]
+
+
+def test_clashing_and_empty(spark, docs):
+    from pyspark.sql import functions as F
+
+    d = docs(["a@b.co"]).withColumn("start", F.lit("x")).withColumn("m", F.lit(1)).withColumn("kind", F.lit(None))
+    assert pii.mask_pii(d).first().text == "[EMAIL]"
+    assert pii.mask_pii(d.limit(0)).count() == 0
