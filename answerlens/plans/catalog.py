@@ -1,11 +1,16 @@
 """Registry of the queries that the driver runs."""
 
+from __future__ import annotations
+
+from answerlens.plans import audit_queries, conversation_queries, evaluation_queries, log_queries, retrieval_queries, text_queries  # noqa: F401
+from answerlens.plans import registry
+
 FLAGSHIP = "r5_lexical_topk"
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.ORACLE_SQL)
