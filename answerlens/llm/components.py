@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +40,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _sum(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "p").cast("decimal(20,0)"))).first())
+
+
+def spanning(ids: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Per position, the smallest id that the edges u - w (positions) reach; a task returns these, not its edges."""
+    order = np.argsort(ids, kind="stable")
+    label = np.empty(len(ids), dtype=np.int64)
+    label[order] = np.arange(len(ids))
+    while len(u):
+        low = label.copy()
+        np.minimum.at(low, u, label[w])
+        np.minimum.at(low, w, label[u])
+        if (low == label).all():
+            break
+        label = low
+    return ids[order][label]

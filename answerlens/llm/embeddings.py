@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerlens.llm.components import components
+from answerlens.llm.components import components, spanning
 from answerlens.llm.scratch import Scratch
 
 #: Vectors that k-means is fitted on (those with the smallest hash), most cells, vectors meant for a cell, block size.
@@ -84,20 +84,8 @@ def _block_pair(threshold: float):
         linked = x[mine] @ x[other].T >= threshold
         linked[ids[mine][:, None] == ids[other][None, :]] = False
         links = linked @ copies[other].astype(np.int64)
-        # the smallest label that spreads along links inside the block pair
-        order = np.argsort(ids, kind="stable")
-        label = np.empty(len(ids), dtype=np.int64)
-        label[order] = np.arange(len(ids))
         r, c = np.nonzero(linked)
-        u, w = mine[r], other[c]
-        while len(u):
-            new = label.copy()
-            np.minimum.at(new, u, label[w])
-            np.minimum.at(new, w, label[u])
-            if (new == label).all():
-                break
-            label = new
-        root = ids[order][label]
+        root = spanning(ids, mine[r], other[c])
         to = root[mine]
         out = pa.table({"id": ids[mine], "links": links, "root": to})
         extra = other[root[other] != ids[other]]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlens.llm import bytehash as bh
-from answerlens.llm.components import components
+from answerlens.llm.components import components, spanning
 from answerlens.llm.scratch import Scratch
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
@@ -116,23 +116,66 @@ def _likely(threshold: float):
 
 
 def _compare(threshold: float):
-    """Of a block pair: candidates in different components whose estimate is high enough."""
+    """Of a block pair: connects rows of different components whose estimate is high enough."""
 
     def run(t: pa.Table) -> pa.Table:
         p, q, block = t.column("p")[0].as_py(), t.column("q")[0].as_py(), t.column("block").to_numpy()
         ids, comp, n, sig = t.column("id").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), _stack(t.column("sig"))
         left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        a, b = [], []
+        u, w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
             other = right[(comp[right] != comp[i]) & ((p != q) | (ids[right] > ids[i]))]
-            other = other[estimate(sig[other], sig[i]) >= floor_of(np.minimum(n[other], n[i]), threshold)]
-            a.append(np.full(len(other), ids[i]))
-            b.append(ids[other])
-        return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), "b": np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)})
+            small, large = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
+            other = other[(small >= threshold * large) & (estimate(sig[other], sig[i]) >= floor_of(small, threshold))]
+            u.append(np.full(len(other), i))
+            w.append(other)
+        return _joined(ids, np.concatenate(u), np.concatenate(w))
 
     return run
 
 
+def _joined(ids: np.ndarray, u: np.ndarray, w: np.ndarray) -> pa.Table:
+    root = spanning(ids, u, w)
+    own = root != ids
+    return pa.table({"src": ids[own].astype(np.int64), "dst": root[own].astype(np.int64)})
+
+
+def _confirm(threshold: float):
+    """Of a block pair: connects what the full sets link. Counts come from a product over the shingles that repeat."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        p, q, block = t.column("p")[0].as_py(), t.column("q")[0].as_py(), t.column("block").to_numpy()
+        ids, items = t.column("id").to_numpy(), t.column("items").combine_chunks()
+        n = np.diff(np.asarray(items.offsets)).astype(np.int64)
+        values, slot, times = np.unique(items.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(ids)), n)
+        shared = times[slot] > 1
+        number = np.cumsum(times > 1) - 1
+        row, slot = row[shared], number[slot[shared]]
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        both = np.zeros((len(left), len(right)), dtype=np.float32)
+        order = np.argsort(slot, kind="stable")
+        row, slot = row[order], slot[order]
+        for first in range(0, int((times > 1).sum()), 2048):
+            i, j = np.searchsorted(slot, [first, first + 2048])
+            x = np.zeros((len(ids), 2048), dtype=np.float32)
+            x[row[i:j], slot[i:j] - first] = 1
+            both += x[left] @ x[right].T
+        linked = round(threshold * 100) * (n[left][:, None] + n[right][None, :] - both) <= 100 * both
+        linked &= ids[left][:, None] < ids[right][None, :] if p == q else True
+        r, c = np.nonzero(linked)
+        return _joined(ids, left[r], right[c])
+
+    return run
+
+
+def _block_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``blocks``, dealt to pairs of blocks (p, q) of their group."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).groupBy(*keys, "p", "q")
+
+
 def minhash_near_duplicates(documents: DataFrame, spark: SparkSession, *, threshold: float = 0.75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id, kept.
 
@@ -142,8 +185,9 @@ def minhash_near_duplicates(documents: DataFrame, spark: SparkSession, *, thresh
     every reported link is exact.
 
     Copies with equal sets meet in an aggregate and go on as one row. Buckets first try each member against the
-    bucket's smallest id; only buckets that still hold several components are compared all against all, in blocks of
-    512 rows, so a group of copies never meets in one task and its pairs are never listed.
+    bucket's smallest id. Rows of buckets that still hold several components are then compared by estimate and, where
+    that is high enough, on their full sets, all against all in blocks of 512 rows; block pairs are tasks and return
+    what they connect, so a group of copies never meets in one task and its pairs are never listed.
 
     Null or empty texts and texts without words have no shingles and link with nothing (their component is their own
     id); texts of fewer words than a shingle have one shingle of all their words. Rows that share a doc_id count as one
@@ -175,11 +219,13 @@ def minhash_near_duplicates(documents: DataFrame, spark: SparkSession, *, thresh
     others = scratch.save(others.select("band", "key", "id", "comp"), "others")
     mixed = others.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
     mixed = scratch.save(mixed.select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rows = others.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sides, "id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", "id", "comp", "n", "sig", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    second = rows.groupBy("band", "key", "p", "q").applyInArrow(_compare(threshold), "a long, b long").distinct()
-    second = _verified(docs, scratch.save(second, "candidates"), scratch, shingle, threshold)
+    rows = others.join(mixed, ["band", "key"]).join(sides, "id")
+    likely = scratch.save(_block_pairs(rows, ["band", "key"]).applyInArrow(_compare(threshold), "src long, dst long").distinct(), "likely")
+    groups = components(likely, scratch)
+    sizes = scratch.save(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+    sets = docs.join(groups.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(_full_sets(shingle), "id long, items array<long>").dropDuplicates(["id", "items"])
+    rows = groups.join(sizes, "component").withColumnRenamed("node", "id").join(scratch.save(sets, "sets"), "id")
+    second = scratch.save(_block_pairs(rows, ["component"]).applyInArrow(_confirm(threshold), "src long, dst long").distinct(), "second")
     comps = components(links.unionByName(second), scratch)
 
     rep = reps.select("f1", "f2", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
