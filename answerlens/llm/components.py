@@ -23,7 +23,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while before[0]:
         both = e.unionByName(e.select(F.col("p").alias("v"), F.col("v").alias("p")))
         low = scratch.save(both.groupBy("v").agg(F.min("p").alias("m")).withColumn("m", F.least("v", "m")), "low")
-        large = both.join(low, "v").filter("p > v").select(F.col("p").alias("v"), F.col("m").alias("p")).distinct()
+        large = both.join(low, "v").filter("p > v").select(F.col("p").alias("v"), F.col("m").alias("p"))
         large = scratch.save(large, "large")
         least = scratch.save(large.groupBy("v").agg(F.min("p").alias("m")), "least")
         small = large.join(least, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("p")), F.struct(F.col("p").alias("v"), F.col("m").alias("p")))).alias("x"))

@@ -77,9 +77,32 @@ def _features(k: int):
     return run
 
 
-def _full_sets(k: int):
+#: Bits of the set of ids that picks texts while they are scanned: 4 MB at most, whatever the number of ids.
+ID_BITS = 25
+
+
+def _slots(ids):
+    """A place among 2**ID_BITS for each id; of numpy arrays and, written alike, of columns in _id_bits."""
+    return (ids ^ (ids >> ID_BITS) ^ (ids >> 2 * ID_BITS)) & ((1 << ID_BITS) - 1)
+
+
+def _id_bits(ids: DataFrame, spark: SparkSession):
+    """A broadcast bit per id's place; other ids may share it, so what it picks is joined with ids afterwards."""
+    at = F.col("id").bitwiseXOR(F.shiftright("id", ID_BITS)).bitwiseXOR(F.shiftright("id", 2 * ID_BITS)).bitwiseAND((1 << ID_BITS) - 1)
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 31 AS INT))")).alias("bits"))
+    out = np.zeros(1 << (ID_BITS - 5), dtype=np.uint32)
+    found = words.toPandas()  # at most 2**20 rows of two numbers
+    out[found["word"]] = found["bits"]
+    return spark.sparkContext.broadcast(out)
+
+
+def _full_sets(k: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column(0).fill_null(-1).to_numpy()
+            at = _slots(ids)
+            seen = (held.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)
+            batch = batch.filter(pa.array((seen == 1) & np.asarray(batch.column(0).is_valid())))
             data, offsets = bh.text_bytes(batch.column(1))
             for i, j in bh.chunks(offsets):
                 hashes, begin = _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
@@ -89,6 +112,12 @@ def _full_sets(k: int):
     return run
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, spark: SparkSession, scratch: Scratch, k: int) -> DataFrame:
+    """(id, items): the full sets of the texts with these ids. Texts are picked while they are scanned, not shuffled."""
+    found = docs.mapInArrow(_full_sets(k, _id_bits(ids, spark)), "id long, items array<long>").filter("size(items) > 0")
+    return scratch.save(scratch.save(found, "picked", scan=True).join(ids, "id", "left_semi"), "sets")
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Jaccard similarity of register rows (uint16), less the registers expected to agree by chance."""
     same = (a == b).mean(axis=-1)
@@ -190,32 +219,30 @@ def minhash_near_duplicates(documents: DataFrame, spark: SparkSession, *, thresh
     what they connect, so a group of copies never meets in one task and its pairs are never listed.
 
     Null or empty texts and texts without words have no shingles and link with nothing (their component is their own
-    id); texts of fewer words than a shingle have one shingle of all their words. Rows that share a doc_id count as one
-    document: what links to one links to all of them. A null doc_id takes part with its text, but is never the smallest
-    id; alone it has a null component_id, and kept is false. Other columns are ignored; an empty table gives no rows.
+    id); texts of fewer words than a shingle have one shingle of all their words. Rows that repeat a doc_id and
+    its text get equal results; texts that share a doc_id are one document where it stands for their groups. A null
+    doc_id joins the group of its own set, but is never the smallest id; alone it has a null component_id, and kept is
+    false. Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    feats = scratch.save(docs.mapInArrow(_features(shingle), "id long, n long, f1 long, f2 long, sig array<long>"), "features")
+    feats = scratch.save(docs.mapInArrow(_features(shingle), "id long, n long, f1 long, f2 long, sig array<long>"), "features", scan=True)
     reps = feats.filter("n > 0 AND id IS NOT NULL").groupBy("f1", "f2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("sig").alias("sig"))
     reps = scratch.save(reps, "texts")
-    # rows of one doc_id with different texts are one node
-    same_id = feats.filter("n > 0 AND id IS NOT NULL").join(reps.select("f1", "f2", F.col("id").alias("rep")), ["f1", "f2"]).filter("id <> rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
-    repeated = feats.filter("id IS NOT NULL AND n > 0").groupBy("id").agg(F.min("f1").alias("x"), F.max("f1").alias("y")).filter("x <> y").select(F.col("id").alias("src"))
-    ties = same_id.join(repeated, "src").select("src", "dst")
-
     bands = reps.select("id", F.posexplode("sig").alias("band", "key"))
     buckets = scratch.save(bands.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = scratch.save(bands.join(buckets, ["band", "key"]), "members")
 
     first = members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    sides = reps.select("id", "n", "sig").dropDuplicates(["id"])
+    sides = reps.select("id", "n", "sig")
     first = first.join(sides.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(sides.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
     first = first.select("a", "b", "sa", "sb", F.least("na", "nb").alias("n")).mapInArrow(_likely(threshold), "a long, b long")
-    links = _verified(docs, scratch.save(first, "candidates"), scratch, shingle, threshold).unionByName(scratch.save(ties, "ties"))
-    comps = components(links, scratch)
+    links = _verified(docs, scratch.save(first, "candidates"), spark, scratch, shingle, threshold)
+    # the smallest id linked, and what that is linked to: rows of one label are connected, rows of two may be
+    label = scratch.save(links.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("label")), "labels")
+    label = label.join(label.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left").select("id", F.coalesce("next", "label").alias("comp"))
 
-    others = members.filter("id <> hub AND size > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    others = members.filter("id <> hub AND size > 2").join(scratch.save(label, "labels"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     others = scratch.save(others.select("band", "key", "id", "comp"), "others")
     mixed = others.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
     mixed = scratch.save(mixed.select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
@@ -223,8 +250,8 @@ def minhash_near_duplicates(documents: DataFrame, spark: SparkSession, *, thresh
     likely = scratch.save(_block_pairs(rows, ["band", "key"]).applyInArrow(_compare(threshold), "src long, dst long").distinct(), "likely")
     groups = components(likely, scratch)
     sizes = scratch.save(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    sets = docs.join(groups.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(_full_sets(shingle), "id long, items array<long>").dropDuplicates(["id", "items"])
-    rows = groups.join(sizes, "component").withColumnRenamed("node", "id").join(scratch.save(sets, "sets"), "id")
+    sets = _sets_of(docs, groups.select(F.col("node").alias("id")), spark, scratch, shingle)
+    rows = groups.join(sizes, "component").withColumnRenamed("node", "id").join(sets, "id")
     second = scratch.save(_block_pairs(rows, ["component"]).applyInArrow(_confirm(threshold), "src long, dst long").distinct(), "second")
     comps = components(links.unionByName(second), scratch)
 
@@ -235,17 +262,14 @@ def minhash_near_duplicates(documents: DataFrame, spark: SparkSession, *, thresh
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, shingle: int, threshold: float) -> DataFrame:
-    """The pairs whose full sets reach the threshold, as (src, dst)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = scratch.save(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_full_sets(shingle), "id long, items array<long>"), "sets")
+def _verified(docs: DataFrame, pairs: DataFrame, spark: SparkSession, scratch: Scratch, shingle: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold, as (src, dst)."""
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), spark, scratch, shingle)
     x = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("xb")), "b")
     both = F.size(F.array_intersect("xa", "xb")).cast("long")
     x = x.select("a", "b", both.alias("both"), (F.size("xa") + F.size("xb")).cast("long").alias("all"))
     hundredths = round(threshold * 100)
-    links = scratch.save(x.filter(f"100 * both >= {hundredths} * (all - both)").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "links")
-    scratch.drop(sets)
-    return links
+    return scratch.save(x.filter(f"100 * both >= {hundredths} * (all - both)").select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables that cut lineage: lost executors reread files instead of recomputing the job.
 
-    ``save`` writes a table and returns it as read back; ``drop`` deletes one that no later step reads.
+    ``save`` writes a table and returns it as read back; ``drop`` deletes one that no later step reads. Spark deletes the
+    shuffle files of a finished write when the driver collects the plan as garbage, so ``save`` asks for that at once.
     """
 
     def __init__(self, spark: SparkSession):
@@ -31,9 +33,15 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.kept: list[DataFrame] = []
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *, scan: bool = False) -> DataFrame:
+        """Writes with up to four tasks per core, which read several shuffle partitions in turn; ``scan`` keeps the
+        tasks of a scan, whose splits are large."""
+        if not scan:
+            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         path = f"{self.base}/{name}-{len(self.kept)}"
         df.write.parquet(path)
+        gc.collect()
+        self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self.kept.append(out)
