@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from answerlens.llm.scratch import Scratch
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels, found wherever their words stand consecutively.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -63,6 +65,7 @@ def license_spans(documents: DataFrame, spark: SparkSession, *, phrases: list |
     hits = grams.join(F.broadcast(pairs), "h").select("id", "key", "template", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
     votes = hits.groupBy("id", "key", "template", "diagonal").agg(F.countDistinct("at").alias("votes"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
     votes = votes.join(F.broadcast(t.select("template", "label", "exact", "n")), "template")
+    votes = Scratch(spark).save(votes, "votes")  # read by both kinds of spans
     whole = votes.filter("exact AND votes = n - 1").select("id", "key", "template", "label", "exact", F.col("diagonal").alias("start"), "n", F.lit(1.0).alias("share"))
 
     w = W.partitionBy("id", "key", "template").orderBy("diagonal")
