@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from answerlens.llm.components import components, spanning
 from answerlens.llm.scratch import Scratch
 
-#: Vectors that k-means is fitted on (those with the smallest hash), most cells, vectors meant for a cell, block size.
-SAMPLE, MOST_CELLS, PER_CELL, BLOCK = 16_384, 1024, 4096, 1024
+#: Vectors that k-means is fitted on (those with the smallest hash), most cells, a label's vectors meant for a cell, block
+#: size.
+SAMPLE, MOST_CELLS, PER_CELL, BLOCK = 16_384, 1024, 8192, 1024
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -27,6 +28,13 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _rows(column: pa.Array, dim: int) -> np.ndarray:
+    """Arrow lists of one length as a matrix, without Python numbers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+
+
 def fit_cells(sample: np.ndarray, cells: int, steps: int = 12) -> np.ndarray:
     """Unit centroids of spherical k-means."""
     rng = np.random.default_rng(5)
@@ -50,22 +58,20 @@ def _cells(held, delta: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = held.value
         for batch in batches:
-            vectors = batch.column("v").to_pylist()
+            dims = batch.column("dim").to_numpy()
             at, cell, home = [], [], []
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                by_size.setdefault(len(v), []).append(i)
-            for dim, rows in by_size.items():
-                width = max(dim, centres.shape[1])
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                width = max(int(dim), centres.shape[1])
                 c = _padded(centres, width)
-                x = _padded(_unit([vectors[i] for i in rows]), width)
+                x = _padded(_unit(_rows(batch.column("v").take(pa.array(rows)), int(dim))), width)
                 near = x @ c.T
                 own = np.argmax(near, axis=1)
                 apart = np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T)))
                 far = near[np.arange(len(x)), own][:, None] - near > (delta + 1e-7) * apart[own] + 1e-9
                 far[np.arange(len(x)), own] = False
                 r, d = np.nonzero(~far)
-                at.append(np.array(rows)[r])
+                at.append(rows[r])
                 cell.append(d)
                 home.append(own[r] == d)
             at = pa.array(np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64))
@@ -80,7 +86,7 @@ def _block_pair(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         part, copies, ids = t.column("part").to_numpy(), t.column("copies").to_numpy(), t.column("id").to_numpy()
         mine, other = np.flatnonzero(part != 1), np.flatnonzero(part != 0)
-        x = _unit(t.column("v").to_pylist())
+        x = _unit(_rows(t.column("v"), t.column("dim")[0].as_py()))
         linked = x[mine] @ x[other].T >= threshold
         linked[ids[mine][:, None] == ids[other][None, :]] = False
         links = linked @ copies[other].astype(np.int64)
@@ -115,7 +121,7 @@ def embedding_near_duplicates(embeddings: DataFrame, spark: SparkSession, *, thr
     reps = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("dim").alias("dim"), F.any_value("v").alias("v"))
     reps = scratch.save(reps.withColumn("id", F.xxhash64("key")), "vectors")
 
-    n = reps.count()
+    n = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     cells = max(1, min(MOST_CELLS, n // PER_CELL))
     some = reps.orderBy("id").limit(sample).select("v", "dim").toPandas() if n else pd.DataFrame({"v": [], "dim": []})
     width = int(some["dim"].max()) if n else 1
