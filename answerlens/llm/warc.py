@@ -24,6 +24,7 @@ from answerlens.llm.scratch import Scratch, shared_dir
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, LEVEL = 1 << 18, 3
+FRAMES_PER_TASK = 64
 MANIFEST = "bundle string, record string, frame int, start int, length int"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -145,7 +146,7 @@ def write_archives(pages: DataFrame, spark: SparkSession, folder: str, *, least:
     last = scratch.save(last.select("digest", "last"), "largest")
     refers = F.when(F.coalesce(F.col("page_id") != F.col("last"), F.col("last").isNotNull()) & (F.octet_length("html") >= least), F.col("last"))
     rows = rows.join(last, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
-    return scratch.save(rows.mapInArrow(_writer(folder.rstrip("/"), date), MANIFEST), "manifest")
+    return scratch.save(rows.mapInArrow(_writer(folder.rstrip("/"), date), MANIFEST), "manifest", scan=True)
 
 
 def _reader(keep_payload: bool):
@@ -182,6 +183,9 @@ def read_archives(manifest: DataFrame, *, keep_payload: bool = True) -> DataFram
     A revisit record has no payload of its own; payload_bytes and payload_digest are those of the full one.
     """
     frames = manifest.groupBy("bundle", "frame").agg(F.collect_list(F.struct("start", "length")).alias("places"))
+    # a row of the manifest is small and what it names is not: tasks follow the number of frames, not of its bytes
+    tasks = max(1, manifest.select("bundle", "frame").distinct().count() // FRAMES_PER_TASK)
+    frames = frames.repartition(tasks, "bundle", "frame")
     return frames.mapInArrow(_reader(keep_payload), RECORDS)
 
 
