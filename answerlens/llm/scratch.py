@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +34,18 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.kept: list[DataFrame] = []
 
-    def save(self, df: DataFrame, name: str, *, scan: bool = False) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *, scan: bool = False, wait: float = 0.0) -> DataFrame:
         """Writes with up to four tasks per core, which read several shuffle partitions in turn; ``scan`` keeps the
-        tasks of a scan, whose splits are large."""
+        tasks of a scan, whose splits are large. ``wait`` gives executors that many seconds to delete shuffle files,
+        for steps that leave many."""
         if not scan:
             df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         path = f"{self.base}/{name}-{len(self.kept)}"
         df.write.parquet(path)
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2 if wait else 1):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(wait / 2)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self.kept.append(out)

@@ -2,8 +2,9 @@
 
 Each 100-byte window has one anchor, its smallest hashed 24-gram (the last of equal ones); equal windows have equal
 anchors at equal places. Consecutive windows of one anchor form a run, about 39 windows long, and runs are what is
-shuffled. A run that occurs earlier as a whole is removed as a whole; where runs of one anchor differ, their windows
-are compared one by one. This stands in for the column-wise suffix array (see README), which needs a round over the
+shuffled. A run that occurs earlier as a whole is removed as a whole. Where runs of one anchor differ, they are cut into
+cells of up to eight windows; the windows of a cell share a core of 93 bytes, so only cells whose core occurs in another
+cell too have windows to compare one by one. This stands in for the column-wise suffix array (see README), which needs a round over the
 whole collection per byte of the longest text.
 """
 
@@ -23,6 +24,8 @@ from answerlens.llm.scratch import Scratch
 
 LENGTH, GRAM = 100, 24
 RUN = "a long, s long, doc long, p long"
+#: Windows of a cell, by their distance to the anchor.
+CELL = 8
 
 
 def _anchors(v: np.ndarray, width: int) -> np.ndarray:
@@ -42,11 +45,11 @@ def _anchors(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, start, windows, anchor hash, run hash) of all runs; start is counted from the row's first byte."""
+    """(row, start, windows, anchor hash, run hash, anchor) of all runs; start is counted from the row's first byte."""
     n = len(data) - length + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     sums = bh.prefix(data)
     pos = np.arange(len(data) - gram + 1)
     v = bh.slice_hash(sums, pos, pos + gram)
@@ -67,7 +70,7 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
     anchor = at[start]
     whole = bh.mix(bh.slice_hash(sums, start, end + length - 1) + (anchor - start).astype(np.uint64) * bh._STEP[20])
     row = np.searchsorted(offsets, start, side="right") - 1
-    return row, start - offsets[row], end - start, v[anchor], whole
+    return row, start - offsets[row], end - start, v[anchor], whole, anchor
 
 
 def _first_here(keys: list[np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -97,32 +100,49 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = bh.text_bytes(batch.column(1))
         parts = []
         for i, j in bh.chunks(offsets):
-            row, start, n, a, s = window_runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            row, start, n, a, s, _ = window_runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             parts.append((a, s, ids[i + row], start, n))
         if parts:
             yield _emit(*[np.concatenate(x) for x in zip(*parts, strict=True)])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The single windows of the runs listed per text."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of the runs listed per text: keyed by core, with a hash of the whole cell and of each window."""
     for batch in batches:
         ids = batch.column(0).to_numpy().astype(np.int64)
         data, offsets = bh.text_bytes(batch.column(1))
-        at = np.asarray(batch.column(2).offsets) - batch.column(2).offsets[0].as_py()
-        flat = batch.column(2).flatten()
-        p, a = flat.field("p").to_numpy(), flat.field("a").to_numpy().view(np.uint64)
+        lists = batch.column(2)
+        at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        flat = lists.flatten().to_numpy()
+        parts = []
         for i, j in bh.chunks(offsets):
-            sums = bh.prefix(data[offsets[i] : offsets[j]])
-            own = np.arange(at[i], at[j])
-            row = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
-            n, first = (p[own] >> 1) & 127, p[own] >> 8
-            each = np.repeat(np.arange(len(own)), n)
-            start = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            base = offsets[row[each]] - offsets[i] + start
-            fits = start + LENGTH <= offsets[row[each] + 1] - offsets[row[each]]
-            each, start, base = each[fits], start[fits], base[fits]
-            w = bh.slice_hash(sums, base, base + LENGTH)
-            yield _emit(a[own][each], w, ids[row[each]], start, np.ones(len(start), np.int64))
+            text, base = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            row, start, n, _, _, anchor = window_runs(text, base)
+            known = np.repeat(np.arange(i, j), np.diff(at[i : j + 1])), flat[at[i] : at[j]] >> 8
+            listed = np.isin((row + i) * (1 << 40) + start, known[0] * (1 << 40) + known[1])
+            row, start, n, anchor = row[listed], start[listed] + base[row[listed]], n[listed], anchor[listed]
+            low, high = (anchor - (start + n - 1)) // CELL, (anchor - start) // CELL
+            each = np.repeat(np.arange(len(row)), high - low + 1)
+            cell = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+            first = np.maximum(start[each], anchor[each] - cell * CELL - CELL + 1)
+            last = np.minimum(start[each] + n[each] - 1, anchor[each] - cell * CELL)
+            sums = bh.prefix(text)
+            core = bh.slice_hash(sums, anchor[each] - cell * CELL, anchor[each] - cell * CELL - CELL + 1 + LENGTH)
+            key = bh.mix(core + cell.astype(np.uint64) * bh._STEP[21])
+            whole = bh.mix(bh.slice_hash(sums, first, last + LENGTH) + (anchor[each] - first).astype(np.uint64) * bh._STEP[22])
+            size = last - first + 1
+            pos = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            windows = np.split(bh.slice_hash(sums, pos, pos + LENGTH).view(np.int64), np.cumsum(size)[:-1]) if len(size) else []
+            parts.append((key, whole, ids[row[each] + i], first - base[row[each]], size, windows))
+        if parts:
+            a, s, doc, start, n = (np.concatenate([p[k] for p in parts]) for k in range(5))
+            out = _emit(a, s, doc, start, n)
+            windows = [w for p in parts for w in p[5]]
+            gone = out.column("p").to_numpy() & 1  # cells that go anyway need no windows
+            windows = [w[:0] if g else w for w, g in zip(windows, gone, strict=True)]
+            begin = np.concatenate([[0], np.cumsum(np.where(gone, 0, n))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(begin), pa.array(np.concatenate([*windows, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*out.columns, lists], ["a", "s", "doc", "p", "w"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,19 +173,23 @@ def _judged(runs: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc", "p")).over(equal)
     x = runs.withColumn("m", first).withColumn("lo", F.min("s").over(anchor)).withColumn("hi", F.max("s").over(anchor))
     known = F.col("p").bitwiseAND(1) == 1
-    return x.select("a", "doc", "p", (~known & (F.col("doc") == F.col("m.doc")) & (F.col("p") == F.col("m.p"))).alias("first"), (F.col("lo") < F.col("hi")).alias("split"))
+    is_first = ~known & (F.col("doc") == F.col("m.doc")) & (F.col("p") == F.col("m.p"))
+    return x.select(*[c for c in runs.columns if c != "s"], is_first.alias("first"), (F.col("lo") < F.col("hi")).alias("split"))
 
 
 def repeated_runs(documents: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, p): where strings that also start earlier stand; p is start * 256 + windows * 2 (+ 1)."""
     scratch = Scratch(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc IS NOT NULL AND octet_length(text) >= 100")
-    judged = _judged(docs.mapInArrow(_runs, RUN)).filter("NOT first OR split")
-    judged = scratch.save(judged, "runs")
-    split = judged.filter("first AND split").groupBy("doc").agg(F.collect_set(F.struct("p", "a")).alias("runs"))
-    windows = docs.join(split, "doc").select("doc", "text", "runs").mapInArrow(_windows, RUN)
+    runs = scratch.save(_judged(docs.mapInArrow(_runs, RUN)).filter("NOT first OR split").select("doc", "p", "first"), "runs", wait=3)
+    split = runs.filter("first").groupBy("doc").agg(F.collect_set("p").alias("runs"))
+    cells = _judged(docs.join(split, "doc").select("doc", "text", "runs").mapInArrow(_cells, RUN + ", w array<long>")).filter("NOT first OR split")
+    cells = scratch.save(cells.select("a", "doc", "p", "first", F.when(F.col("first"), F.col("w")).alias("w")), "cells", wait=3)
+    windows = cells.filter("first").select("a", "doc", F.shiftright("p", 8).alias("start"), F.posexplode("w").alias("i", "s"))
+    windows = windows.select("a", "s", "doc", F.shiftleft(F.col("start") + F.col("i"), 8).bitwiseOR(F.lit(2)).alias("p"))
     single = _judged(windows).filter("NOT first").select("doc", "p")
-    return scratch.save(judged.filter("NOT first").select("doc", "p").unionByName(single), "repeated")
+    parts = [x.filter("NOT first").select("doc", "p") for x in (runs, cells)]
+    return scratch.save(parts[0].unionByName(parts[1]).unionByName(single), "repeated", wait=3)
 
 
 def cut_repeats(documents: DataFrame, spark: SparkSession, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
