@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from answerlens.functions import text as T
+
 # Phrases that introduce a comparison, separate its sides and end an entity.
 LEAD = r"(?i)^(?:compare|contrast|difference\s+between|what\s+is\s+the\s+difference\s+between)\s+"
 SIDES = r"(?i)\s+(?:vs\.?|versus)\s+"
@@ -122,3 +125,32 @@ def structural_errors(concepts: DataFrame) -> DataFrame:
     x = concepts.groupBy("concept_id").agg(F.count("term").alias("n"), F.countDistinct(F.lower("term")).alias("u"), F.count_if(F.trim("term") == "").alias("blank"))
     errors = F.array_compact(F.array(F.when(F.col("concept_id").isNull(), F.lit("no_id")), F.when(F.col("n") == 0, F.lit("no_terms")), F.when(F.col("blank") > 0, F.lit("blank_term")), F.when(F.col("u") < F.col("n"), F.lit("repeated_term"))))
     return x.select("concept_id", F.explode(errors).alias("error"))
+
+
+def augmented_queries(queries: DataFrame, linked: DataFrame, terms: DataFrame, most: int = 18) -> DataFrame:
+    """(query_id, text): each query with the terms of its linked concepts (query_id, pos, concept_id) that it lacks.
+
+    Terms whose text or whose words all stand in the query are left out. They follow by the concept's place, then the
+    term, until ``most`` words are added; the term that reaches the limit is kept. Queries without any stay as they are.
+    """
+    kb = terms.select("concept_id", F.lower(F.trim("term")).alias("term")).filter(F.length("term") >= 2).distinct()
+    low = queries.select("query_id", T.normal_line(F.coalesce("query_text", F.lit(""))).alias("low"))
+    x = linked.join(kb, "concept_id").join(low, "query_id").withColumn("words", T.tokens(F.col("term")))
+    known = (F.size("words") > 0) & (F.size(F.array_except("words", T.tokens(F.col("low")))) == 0)
+    x = x.filter(~F.contains("low", F.col("term")) & ~known).groupBy("query_id", "term").agg(F.min(F.struct("pos", "concept_id")).alias("at"), F.greatest(F.first(F.size("words")), F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy("at", "term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    more = x.withColumn("before", before).filter(F.col("before") < most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("x"))
+    more = more.select("query_id", F.array_join(F.transform("x", lambda r: r["term"]), " ").alias("more"))
+    return queries.join(more, "query_id", "left").select("query_id", F.concat_ws(" ", "query_text", "more").alias("text"))
+
+
+def model_input(hits: DataFrame, chunks: DataFrame, most_chars: int = 8000) -> DataFrame:
+    """(query_id, section, n, text): texts of the hits (query_id, section, id, rank) by rank, each text once per query.
+
+    A text that stands in two sections stays in the one that sorts first. Only texts of hits are read; a section's
+    text is cut at ``most_chars`` characters, as a model's input is.
+    """
+    c = chunks.join(hits.select("id").distinct(), "id", "left_semi").select("id", F.trim("clean_explanation").alias("line")).filter("line <> ''")
+    once = hits.join(c, "id").groupBy("query_id", F.lower("line").alias("key")).agg(F.min(F.struct("section", "rank", "id", "line")).alias("x"))
+    listed = once.groupBy("query_id", F.col("x.section").alias("section")).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return listed.select("query_id", "section", F.size("x").cast("long").alias("n"), F.substring(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), 1, most_chars).alias("text"))

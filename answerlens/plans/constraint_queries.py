@@ -1,4 +1,4 @@
-"""Queries about what a query asks of its answer."""
+"""Queries about what a query asks of its answer."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from answerlens.operators import questions as Q
 from answerlens.operators import quality_rules as V
 from answerlens.operators import selection as S
 from answerlens.plans.registry import query
-from answerlens.plans.retrieval_queries import _LEX
+from answerlens.plans.retrieval_queries import _LEX, hits
 from answerlens.plans.selection_queries import _ALLOWED, _LINES, FORBIDDEN, PATTERNS, TARGETS, lines
 
 # The tables hold few question words; words that occur in them stand for cues.
@@ -114,3 +114,22 @@ e AS (SELECT concept_id, unnest([CASE WHEN concept_id IS NULL THEN 'no_id' END,
 def _(v):
     term = F.when(F.col("lang") == "en", F.concat("lang", (F.col("doc_id") % 7).cast("string"))).otherwise(F.nullif("lang", F.lit("de")))
     return C.structural_errors(v.documents.select(F.col("source").alias("concept_id"), term.alias("term")))
+
+
+@query("r11_augmented_queries", rf"""
+WITH t AS (SELECT query_id, unnest({_WORD}) AS term, unnest(range(len({_WORD}))) AS pos FROM <queries>), l AS (SELECT query_id, concept_id, min(pos) AS pos FROM t JOIN <concept_terms> USING (term) GROUP BY 1, 2),
+x AS (SELECT l.query_id, k.term, min((pos, concept_id)) AS spot FROM l JOIN <concept_terms> k USING (concept_id) JOIN <queries> q ON q.query_id = l.query_id WHERE NOT contains(lower(trim(regexp_replace(query_text, '\s+', ' ', 'g'))), k.term) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot, term) AS place FROM x), m AS (SELECT query_id, string_agg(term, ' ' ORDER BY spot, term) AS more FROM r WHERE place <= 18 GROUP BY 1)
+SELECT q.query_id, query_text || coalesce(' ' || more, '') AS text FROM <queries> q LEFT JOIN m ON m.query_id = q.query_id""")
+def _(v):
+    linked = Q.linked_concepts(v.queries, v.concept_terms).select("query_id", F.posexplode(F.split("concepts", ",")).alias("pos", "concept_id"))
+    return C.augmented_queries(v.queries, linked, v.concept_terms)
+
+
+@query("r47_model_input", f"""
+WITH {_LEX}, h AS (SELECT query_id, CASE WHEN rank <= 4 THEN 'primary' ELSE 'supporting' END AS section, id, rank FROM ranked WHERE rank <= 8),
+o AS (SELECT query_id, lower(trim(clean_explanation)) AS key, min((section, rank, h.id, trim(clean_explanation))) AS x FROM h JOIN <chunks> k ON k.id = h.id WHERE trim(clean_explanation) <> '' GROUP BY 1, 2)
+SELECT query_id, struct_extract(x, 1) AS section, count(*) AS n, substr(string_agg(struct_extract(x, 4), chr(10) ORDER BY x), 1, 8000) AS text FROM o GROUP BY 1, 2""".replace("\no AS", "\nonce AS").replace("FROM o GROUP", "FROM once GROUP"))
+def _(v):
+    h = hits(v, 8).select("query_id", F.when(F.col("rank") <= 4, "primary").otherwise("supporting").alias("section"), "id", "rank")
+    return C.model_input(h, v.chunks)

@@ -47,3 +47,18 @@ def test_shared_lines_need_both_sides(spark):
     a = spark.createDataFrame([(1, 1, "one"), (2, 1, "only a")], "query_id int, place int, line string")
     b = spark.createDataFrame([(1, 1, " One "), (1, 2, "two")], "query_id int, place int, line string")
     assert [tuple(r) for r in C.shared_lines(a, b).orderBy("place").collect()] == [(1, 1, "one"), (1, 2, "two")]
+
+
+def test_augmentation_adds_what_a_query_lacks(spark):
+    q = asked(spark, "What is PCA", "pca is principal component", "nothing", None)
+    terms = spark.createDataFrame([("p", "pca"), ("p", "component principal"), ("p", "eigen vectors"), ("p", None)], "concept_id string, term string")
+    linked = spark.createDataFrame([(0, 0, "p"), (1, 0, "p")], "query_id int, pos int, concept_id string")
+    got = {r["query_id"]: r["text"] for r in C.augmented_queries(q, linked, terms).collect()}
+    assert got == {0: "What is PCA component principal eigen vectors", 1: "pca is principal component eigen vectors", 2: "nothing", 3: ""}
+    assert {r["query_id"]: r["text"] for r in C.augmented_queries(q, linked, terms, most=1).collect()}[0] == "What is PCA component principal"
+
+
+def test_model_input_has_each_text_once(spark):
+    chunks = spark.createDataFrame([(1, "One"), (2, " one "), (3, "Two"), (4, None)], "id int, clean_explanation string")
+    hits = spark.createDataFrame([(9, "primary", 3, 2), (9, "primary", 1, 1), (9, "supporting", 2, 3), (9, "supporting", 4, 4)], "query_id int, section string, id int, rank int")
+    assert [tuple(r) for r in C.model_input(hits, chunks).collect()] == [(9, "primary", 2, "One\nTwo")]
