@@ -2,10 +2,12 @@
 
 The CGK random walk reads a window symbol by symbol (here words) and repeats a symbol or moves on by a random bit of
 (step, symbol), which maps edit distance to Hamming distance. Windows of an item's length whose embeddings agree with
-the item's on all of a few sampled positions, in any repetition, are candidates; exact edit distance decides.
+the item's on all of a few sampled positions, in any repetition, are candidates; an exact alignment decides.
 
-Windows are laid where the text shares ``SEED`` consecutive words with the item: up to len / SEED - 1 edited words
-leave such a seed intact, which covers every edit distance that is accepted.
+Windows are laid where the text shares ``SEED`` consecutive words with the item (fewer where the accepted edits of a
+short item could break each of its runs of ``SEED``), so every accepted distance leaves a seed. Words inserted or
+deleted before the seed move the passage's start, so windows start at every shift that the accepted edits allow; the
+alignment then takes the best stretch of the text around the seed, whatever its length.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from answerlens.llm import bytehash as bh
 
-#: Consecutive words of a seed; share of an item's words that may be edited (below 1 / SEED less one word).
+#: Consecutive words of a seed; share of an item's words that may be edited.
 SEED, EDITED = 4, 0.15
 #: Independent walks, sampled positions of each, and samples per walk.
 WALKS, POSITIONS, SAMPLES = 4, 4, 8
@@ -31,18 +33,20 @@ PASS_WORDS = 2_000_000
 class Items:
     """A block of benchmark items with seeds and embeddings; at most PASS_WORDS words unless one item is longer."""
 
-    def __init__(self, rows: list[tuple[int, list[int]]]):
+    def __init__(self, rows: list[tuple[int, list[int]]], edited: float = EDITED):
         self.ids = [r[0] for r in rows]
         self.words = [np.array(r[1], dtype=np.int64).view(np.uint64) for r in rows]
         seeds: dict[int, list[tuple[int, int]]] = {}
-        for i, w in enumerate(self.words):
-            k = min(SEED, len(w))
+        self.most = [int(edited * len(w)) for w in self.words]
+        # so many edits leave most + 1 runs of words, the longest of them of (len - most) / (most + 1) words at least
+        size = [max(1, min(SEED, -((m - len(w)) // (m + 1)))) for w, m in zip(self.words, self.most, strict=True)]
+        for i, (w, k) in enumerate(zip(self.words, size, strict=True)):
             for at in range(len(w) - k + 1):
                 seeds.setdefault(int(_gram(w[at : at + k], k)[0]), []).append((i, at))
         self.seeds = seeds
         keys = np.sort(np.array(list(seeds), dtype=np.uint64))
         self.keys = keys
-        self.lengths = sorted({min(SEED, len(w)) for w in self.words})
+        self.lengths = sorted(set(size))
         # a table of bits that rules out most words before the exact lookup
         self.bits = max(16, int(math.log2(max(1, len(keys)))) + 6)
         self.maybe = np.zeros(1 << self.bits, dtype=bool)
@@ -101,21 +105,51 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(row[-1])
 
 
-def _search(held, edited: float):
+def _last_row(item: np.ndarray, texts: np.ndarray, free: bool) -> np.ndarray:
+    """Edit distances of the whole item to each text's first 0, 1, ... words, or to the best stretch that ends there."""
+    step = np.arange(texts.shape[1] + 1)
+    row = np.zeros((len(texts), len(step)), dtype=np.int64) + (0 if free else step)
+    for i, x in enumerate(item):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (texts != x))
+        row = np.minimum.accumulate(new - step, axis=1) + step
+    return row
+
+
+def best_stretch(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    """(distance, first, end) of the stretch of the text closest to the item, None if that is further than ``most``.
+
+    Of equally close stretches the one whose length is nearest to the item's, then the first.
+    """
+    row = _last_row(item, text[None, :], True)[0]
+    dist = int(row.min())
+    if dist > most:
+        return None
+    ends = np.flatnonzero(row == dist)
+    # backwards from each end; what lies before the text's first word is never part of a stretch
+    back = ends[:, None] - 1 - np.arange(min(len(text), len(item) + dist))[None, :]
+    size = _last_row(item[::-1], text[np.maximum(back, 0)], False) if len(text) else np.full((len(ends), 1), dist)
+    which, n = np.nonzero((size == dist) & (np.arange(size.shape[1])[None, :] <= ends[:, None]))
+    _, first, end = min((abs(int(k) - len(item)), int(ends[w] - k), int(ends[w])) for w, k in zip(which, n, strict=True))
+    return dist, first, end
+
+
+def _search(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = held.value
         for batch in batches:
             data, offsets = bh.text_bytes(batch.column(1))
             for i, j in bh.chunks(offsets):
                 words, at = bh.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                found = list(_matches(words, at, items, edited))
-                docs, item, start, end, dist = ([x[k] for x in found] for k in range(5))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(docs, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(dist, pa.int32())], ["id", "item_id", "first_word", "end_word", "distance"])
+                found = list(_matches(words, at, items))
+                docs, item, start, end, dist, off = ([x[k] for x in found] for k in range(6))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].take(pa.array(docs, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(dist, pa.int32()), pa.array(off, pa.int64())], ["id", "item_id", "first_word", "end_word", "distance", "off"])
 
     return run
 
 
-def _matches(words: np.ndarray, at: np.ndarray, items: Items, edited: float) -> Iterator[tuple]:
+def _matches(words: np.ndarray, at: np.ndarray, items: Items) -> Iterator[tuple]:
     windows: set[tuple[int, int, int]] = set()
     for k in items.lengths:
         grams = _gram(words, k)
@@ -125,19 +159,29 @@ def _matches(words: np.ndarray, at: np.ndarray, items: Items, edited: float) ->
                 doc = int(np.searchsorted(at, p, side="right")) - 1
                 if p + k <= at[doc + 1]:
                     windows.add((doc, item, int(p) - place))
-    todo = sorted(windows)
-    for part in range(0, len(todo), 2048):
-        group = todo[part : part + 2048]
-        spans = [(max(at[d], s), min(at[d + 1], s + len(items.words[i]))) for d, i, s in group]
-        text, item = [words[s:e] for s, e in spans], [items.words[i] for _, i, _ in group]
-        near = sampled_equal(text, item)
-        best: dict[tuple[int, int], tuple] = {}
-        for ok, (d, i, _), (s, e), t in zip(near, group, spans, text, strict=True):
-            if ok:
-                most = int(edited * len(items.words[i]))
-                dist = edit_distance(items.words[i], t, most)
-                if dist <= most:
-                    yield d, items.ids[i], int(s - at[d]), int(e - at[d]), dist
+    for d, i, s in _candidates(words, at, items, windows):
+        most, n = items.most[i], len(items.words[i])
+        first = max(at[d], s - most)
+        best = best_stretch(items.words[i], words[first : min(at[d + 1], s + n + most)], most)
+        if best:
+            yield d, items.ids[i], int(first - at[d]) + best[1], int(first - at[d]) + best[2], best[0], abs(best[2] - best[1] - n)
+
+
+def _candidates(words: np.ndarray, at: np.ndarray, items: Items, windows: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The seeds' windows (document, item, start) of which a shift of up to the accepted edits is a candidate."""
+    left, found, seen, shift = sorted(windows), [], {}, 0
+    while left:
+        fresh = sorted({(d, i, s + x) for d, i, s in left for x in {shift, -shift}} - seen.keys())
+        for part in range(0, len(fresh), 2048):
+            group = fresh[part : part + 2048]
+            # a shift may leave the document's words; such a window is empty
+            spans = [(max(at[d], s), max(at[d], min(at[d + 1], s + len(items.words[i])))) for d, i, s in group]
+            seen.update(zip(group, sampled_equal([words[s:e] for s, e in spans], [items.words[i] for _, i, _ in group]).tolist(), strict=True))
+        near = {(d, i, s) for d, i, s in left if seen[d, i, s + shift] or seen[d, i, s - shift]}
+        found += sorted(near)
+        shift += 1
+        left = [x for x in left if x not in near and shift <= items.most[x[1]]]
+    return found
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,10 +194,11 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def benchmark_matches(documents: DataFrame, benchmark: DataFrame, spark: SparkSession, *, edited: float = EDITED, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, end_word, distance): where a document holds a benchmark item.
 
-    A window of an item's length matches when at most ``edited`` of the item's words (lower-cased, split at white
-    space) are inserted, deleted or replaced. Of one document and item the closest window is returned, the first of
-    equally close ones. An unedited passage is always found; the samples find a window with the accepted share of edits
-    with a chance above 0.9 each, and neighbouring seeds lay several windows.
+    A stretch of words, of any length, matches when at most ``edited`` of the item's words (lower-cased, split at white
+    space) are inserted, deleted or replaced. Of one document and item the closest stretch is returned, of equally
+    close ones that whose length is nearest to the item's, then the first. An unedited passage is always found; the
+    samples find a window with the accepted share of edits with a chance above 0.9 each, and seeds and shifts lay
+    several windows. What is found has its exact distance.
 
     The benchmark is read in passes of at most PASS_WORDS words, so its size in a worker is bounded; documents are
     never shuffled. Null or empty texts and items match nothing; rows that share a doc_id are one document; a null
@@ -164,14 +209,14 @@ def benchmark_matches(documents: DataFrame, benchmark: DataFrame, spark: SparkSe
     out, block, held = None, [], 0
     for row in [*hashed.orderBy("id", F.xxhash64("words")).toLocalIterator(), None]:
         if block and (row is None or held + len(row.words) > PASS_WORDS):
-            part = docs.mapInArrow(_search(spark.sparkContext.broadcast(Items(block)), edited), "id long, item_id long, first_word long, end_word long, distance int")
+            part = docs.mapInArrow(_search(spark.sparkContext.broadcast(Items(block, edited))), "id long, item_id long, first_word long, end_word long, distance int, off long")
             out, block, held = part if out is None else out.unionByName(part), [], 0
         if row is not None:
             block.append((row.id, row.words))
             held += len(row.words)
     if out is None:
-        out = spark.createDataFrame([], "id long, item_id long, first_word long, end_word long, distance int")
-    best = out.groupBy("id", "item_id").agg(F.min(F.struct("distance", "first_word", "end_word")).alias("x"))
+        out = spark.createDataFrame([], "id long, item_id long, first_word long, end_word long, distance int, off long")
+    best = out.groupBy("id", "item_id").agg(F.min(F.struct("distance", "off", "first_word", "end_word")).alias("x"))
     return best.select(F.col("id").alias("doc_id"), "item_id", "x.first_word", "x.end_word", "x.distance")
 
 
