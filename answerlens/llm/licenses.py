@@ -53,25 +53,26 @@ def pair_hashes(words: Column) -> Column:
 def license_spans(documents: DataFrame, spark: SparkSession, *, phrases: list | None = None, statements: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, template, label, exact, start, n, share): one row per found span; key is a hash of the whole text.
 
-    A base phrase has one row per place where all its words stand; a statement one row per merged group of diagonals
-    that holds 70 % of its word pairs. Templates have at least two words; they are given in code, so broadcasting
-    them is bounded. Null texts, empty texts and texts of one word have no spans. Rows that repeat id and text count
-    once here.
+    A base phrase has one row per place where all its words stand; a statement one row per merged group of diagonals,
+    those with a single vote among them, that together hold 70 % of its word pairs. Templates have at least two words;
+    they are given in code, so broadcasting them is bounded. Null texts, empty texts and texts of one word have no
+    spans. Rows that repeat id and text count once here.
     """
     t, pairs = templates(spark, PHRASES if phrases is None else phrases, STATEMENTS if statements is None else statements)
     text = F.col(text_col).cast("string")
     docs = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     grams = docs.select("id", "key", F.posexplode(pair_hashes(lower_words(F.col("text")))).alias("pos", "h"))
     hits = grams.join(F.broadcast(pairs), "h").select("id", "key", "template", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
-    votes = hits.groupBy("id", "key", "template", "diagonal").agg(F.countDistinct("at").alias("votes"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    votes = hits.groupBy("id", "key", "template", "diagonal").agg(F.collect_set("at").alias("places"))  # of the template, so bounded by its length
     votes = votes.join(F.broadcast(t.select("template", "label", "exact", "n")), "template")
     votes = Scratch(spark).save(votes, "votes")  # read by both kinds of spans
-    whole = votes.filter("exact AND votes = n - 1").select("id", "key", "template", "label", "exact", F.col("diagonal").alias("start"), "n", F.lit(1.0).alias("share"))
+    whole = votes.filter("exact AND size(places) = n - 1").select("id", "key", "template", "label", "exact", F.col("diagonal").alias("start"), "n", F.lit(1.0).alias("share"))
 
     w = W.partitionBy("id", "key", "template").orderBy("diagonal")
-    near = votes.filter("NOT exact AND votes >= 2").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > NEIGHBOUR).cast("int"), F.lit(1)))
+    near = votes.filter("NOT exact").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > NEIGHBOUR).cast("int"), F.lit(1)))
     near = near.withColumn("run", F.sum("new").over(w)).groupBy("id", "key", "template", "label", "exact", "n", "run")
-    near = near.agg(F.min(F.col("diagonal") + F.col("first_at")).alias("start"), F.least(F.lit(1.0), F.sum("votes") / (F.first("n") - 1)).alias("share")).filter(F.col("share") >= SHARE)
+    held = F.size(F.array_distinct(F.flatten(F.collect_list("places"))))  # a pair that votes on two diagonals is held once
+    near = near.agg(F.min(F.col("diagonal") + F.array_min("places")).alias("start"), (held / (F.first("n") - 1)).alias("share")).filter(F.col("share") >= SHARE)
     return whole.unionByName(near.select("id", "key", "template", "label", "exact", "start", "n", "share"))
 
 
