@@ -245,12 +245,32 @@ def without_phrases(chunks: DataFrame, pattern: str, head: int = 200) -> DataFra
     return chunks.filter(~F.lower(F.concat_ws(" ", "topic", F.substring("source_excerpt", 1, head))).rlike(pattern))
 
 
-def entity_hits(candidates: DataFrame, chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, id, concept_id, hits): word counts of each concept's terms in the candidate chunks only."""
+def entity_hits(candidates: DataFrame, chunks: DataFrame, terms: DataFrame, keep: bool = False) -> DataFrame:
+    """(query_id, id, rank, concept_id, hits): word counts of each concept's terms in the candidate chunks only.
+
+    With keep, a candidate without any term has one row, with a null concept and 0 hits.
+    """
     ids = candidates.select("id").distinct()
     toks = chunks.join(ids, "id", "left_semi").select("id", F.explode(T.tokens(F.concat_ws(" ", "topic", "source_excerpt"))).alias("term"))
     n = toks.join(F.broadcast(terms.select("concept_id", F.lower("term").alias("term")).distinct()), "term").groupBy("id", "concept_id").agg(F.count("*").alias("hits"))
-    return candidates.select("query_id", "id", "rank").join(n, "id")
+    return candidates.select("query_id", "id", "rank").join(n, "id", "left" if keep else "inner").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
+
+
+def concept_rerank(hits: DataFrame, concept: str, forbidden: list[str] | None = None) -> DataFrame:
+    """(query_id, id, place): every candidate of kept hits by its score for the concept, then id.
+
+    A candidate that doesn't hold the concept has the score of 0 own hits, less what its peers and forbidden ones cost.
+    """
+    x = hits.withColumn("forbidden", F.col("concept_id").isin(forbidden or [])).groupBy("query_id", "id").agg(
+        F.sum(F.when(F.col("concept_id") == concept, F.col("hits")).otherwise(0)).alias("own"), F.sum("hits").alias("all_of"), F.sum(F.when(F.col("forbidden"), F.col("hits")).otherwise(0)).alias("bad")
+    )
+    score = F.when(F.col("all_of") == 0, 0.0).otherwise(_entity_score(F.col("own"), F.col("all_of"), F.col("bad")))
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return x.withColumn("score", score).select("query_id", "id", F.row_number().over(w).alias("place"))
+
+
+def _entity_score(own: Column, all_of: Column, bad: Column) -> Column:
+    return F.round(1.2 * own - 0.45 * (all_of - own) - 1.1 * bad + 0.15 * own / F.greatest(all_of, F.lit(1)), 9)
 
 
 def entity_scores(hits: DataFrame, forbidden: list[str] | None = None) -> DataFrame:
@@ -258,11 +278,14 @@ def entity_scores(hits: DataFrame, forbidden: list[str] | None = None) -> DataFr
     all_of = F.sum("hits").over(W.partitionBy("query_id", "id"))
     bad = F.sum(F.when(F.col("concept_id").isin(forbidden or []), F.col("hits")).otherwise(0)).over(W.partitionBy("query_id", "id"))
     own = F.col("hits")
-    return hits.select("query_id", "id", "rank", "concept_id", "hits", F.round(1.2 * own - 0.45 * (all_of - own) - 1.1 * bad + 0.15 * own / all_of, 9).alias("score"))
+    return hits.select("query_id", "id", "rank", "concept_id", "hits", _entity_score(own, all_of, bad).alias("score"))
 
 
 def purity_tiers(hits: DataFrame, own: str, forbidden: str) -> DataFrame:
-    """Candidates of the best tier that a query has: own concept without the forbidden one, without it, or all."""
+    """Candidates of the best tier that a query has: own concept without the forbidden one, without it, or all.
+
+    hits are those of all candidates (entity_hits with keep), or the last two tiers lack those without a concept.
+    """
     g = hits.groupBy("query_id", "id", "rank").agg(F.coalesce(F.bool_or(F.col("concept_id") == own), F.lit(False)).alias("own"), F.coalesce(F.bool_or(F.col("concept_id") == forbidden), F.lit(False)).alias("bad"))
     tier = F.when(F.col("own") & ~F.col("bad"), 1).when(~F.col("bad"), 2).otherwise(3)
     g = g.withColumn("tier", tier).withColumn("best", F.min(tier).over(W.partitionBy("query_id")))
@@ -278,7 +301,10 @@ def bundles(scored: DataFrame, per_side: int = 4, low: float = 0.15) -> DataFram
 
 
 def complete_evidence(hits: DataFrame, needed: int) -> DataFrame:
-    """(query_id, concepts, complete): whether every needed concept has a chunk (relational division)."""
+    """(query_id, concepts, complete): whether every needed concept has a chunk (relational division).
+
+    Queries whose candidates hold no concept have a row where hits keep such candidates.
+    """
     return hits.groupBy("query_id").agg(F.countDistinct("concept_id").alias("concepts")).withColumn("complete", F.col("concepts") >= needed)
 
 

@@ -192,8 +192,8 @@ n AS (SELECT id, concept_id, count(*) AS hits FROM toks JOIN <concept_terms> USI
 es AS (SELECT *, round(1.2::DOUBLE * hits - 0.45::DOUBLE * (sum(hits) OVER p - hits) - 1.1::DOUBLE * sum(CASE WHEN concept_id = 'c3' THEN hits ELSE 0 END) OVER p + 0.15::DOUBLE * hits / sum(hits) OVER p, 9) AS score FROM eh WINDOW p AS (PARTITION BY query_id, id))"""
 
 
-def entities(v):
-    return R.entity_hits(hits(v, 12), v.chunks, v.concept_terms)
+def entities(v, keep=False):
+    return R.entity_hits(hits(v, 12), v.chunks, v.concept_terms, keep)
 
 
 @query("r22_entity_scores", f"WITH {_ENT} SELECT query_id, id, concept_id, hits, round(score, 6) AS score FROM es")
@@ -203,17 +203,14 @@ def _(v):
 
 @query("r23_concept_rerank", f"WITH {_ENT} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM es WHERE concept_id = 'c1'")
 def _(v):
-    from pyspark.sql import Window as W
-
-    own = R.entity_scores(entities(v), ["c3"]).filter("concept_id = 'c1'")
-    return own.select("query_id", "id", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")).alias("place"))
+    return R.concept_rerank(entities(v, keep=True), "c1", ["c3"])
 
 
 @query("r24_purity", f"""
 WITH {_ENT}, g AS (SELECT query_id, id, rank, bool_or(concept_id = 'c1') AS own, bool_or(concept_id = 'c2') AS bad FROM eh GROUP BY 1, 2, 3), t AS (SELECT *, CASE WHEN own AND NOT bad THEN 1 WHEN NOT bad THEN 2 ELSE 3 END AS tier FROM g),
 b AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM t) SELECT query_id, id, rank, tier FROM b WHERE best = 3 OR tier <= best""")
 def _(v):
-    return R.purity_tiers(entities(v), "c1", "c2")
+    return R.purity_tiers(entities(v, keep=True), "c1", "c2")
 
 
 @query("r26_bundles", f"""
@@ -232,7 +229,7 @@ def _(v):
 
 @query("r33_complete_evidence", f"WITH {_ENT} SELECT query_id, count(DISTINCT concept_id) AS concepts, count(DISTINCT concept_id) >= 3 AS complete FROM eh GROUP BY 1")
 def _(v):
-    return R.complete_evidence(entities(v), 3)
+    return R.complete_evidence(entities(v, keep=True), 3)
 
 
 @query("r37_keyword_sets", f"""
