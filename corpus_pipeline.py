@@ -27,10 +27,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest doc_id."""
-    groups = minhash_near_duplicates(docs, spark)
-    gone = groups.filter("NOT kept AND component_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """Keeps one row of each group of near-duplicates, that with the smallest doc_id.
+
+    A null doc_id comes after all others; of rows that share the doc_id (or have none) that with the smallest hash of
+    its text stays. So repeated rows go down to one, and rows without an id go where a copy of them stays. Rows that
+    share a doc_id but not their text are documents of their own. Texts without words are never near-duplicates: all
+    of their rows stay.
+    """
+    # written, so that a row has the same number wherever it is read
+    rows = Scratch(spark).save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows", scan=True)
+    groups = minhash_near_duplicates(rows, spark, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct("no_id", "doc_id", "hash", "__row")
+    names = rows.select("__row", "doc_id", F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("hash"))
+    kept = names.join(groups, "__row").groupBy("component_id").agg(F.min(order).alias("x")).select("x.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
