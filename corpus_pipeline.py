@@ -16,7 +16,8 @@ from answerlens.llm.pii import mask_pii
 from answerlens.llm.quality import THRESHOLD, score_quality, train_quality
 from answerlens.llm.scratch import Scratch
 
-#: No SQL: a trained classifier and the rounding of rates aren't expressible; tests compare with brute force.
+#: No SQL: a trained classifier and the rounding of rates aren't expressible. Tests compare run() with its stages chained, not
+#: with a brute force of the whole run; near_dedup has planted groups, op1, op3, op4 and op9 have tests of their own.
 ORACLE_SQL = None
 
 
