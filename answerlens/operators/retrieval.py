@@ -100,7 +100,7 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, id, score, token_score, strong_score, phrase_score, phrase_events, lecture_bonus, matched) of all matches."""
     q = query_table(queries)
     named = q.select("query_id", F.explode("lectures").alias("lecture_number"))
-    bonus = chunks.select("id", "lecture_number").join(F.broadcast(named), "lecture_number").select("query_id", "id", F.lit(LECTURE_BONUS).alias("lecture_bonus"))
+    bonus = chunks.select("id", "lecture_number").join(named, "lecture_number").select("query_id", "id", F.lit(LECTURE_BONUS).alias("lecture_bonus"))
     s = token_scores(q, chunks).join(phrase_scores(q, chunks), ["query_id", "id"], "left").join(bonus, ["query_id", "id"], "full")
     s = s.na.fill(0.0, ["token_score", "strong_score", "phrase_score", "lecture_bonus"]).na.fill(0, ["matched", "phrase_events"])
     raw = F.col("token_score") + F.col("phrase_score") + F.col("lecture_bonus")
@@ -141,7 +141,7 @@ def confidence(queries: DataFrame, scores: DataFrame, chunks: DataFrame) -> Data
 def lecture_ranking(scores: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """All chunks of the lecture each query names first, ranked by score with the zero-score tail."""
     q = query_table(queries).filter(F.size("lectures") > 0).select("query_id", F.get("lectures", F.lit(0)).alias("lecture_number"))
-    all_of = chunks.select("id", "lecture_number").join(F.broadcast(q), "lecture_number").select("query_id", "id")
+    all_of = chunks.select("id", "lecture_number").join(q, "lecture_number").select("query_id", "id")
     x = all_of.join(scores.select("query_id", "id", "score"), ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return x.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
 
