@@ -1,6 +1,6 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products inside cells.
 
-A vector is compared in its home cell, and is a guest in every cell where a vector within the angle could live: y is at
+The number of cells follows the root of the largest label at every size (two at least). A vector is compared in its home cell, and is a guest in every cell where a vector within the angle could live: y is at
 home in cell d, not in cell c, only if y.(d - c) >= 0, and |x - y| is at most delta for linked unit vectors, so x is a
 guest of d unless x.(c - d) > delta * |c - d|. That makes the cells exact, whatever the centroids.
 """
@@ -14,13 +14,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerlens.llm.components import components, spanning
 from answerlens.llm.scratch import Scratch
 
-#: Vectors that k-means is fitted on (those with the smallest hash), most cells, a label's vectors meant for a cell, block
+#: Vectors that k-means is fitted on (those with the smallest hash), the root's share that gives the number of cells, block
 #: size.
-SAMPLE, MOST_CELLS, PER_CELL, BLOCK = 16_384, 1024, 8192, 1024
+SAMPLE, ROOT_SHARE, BLOCK = 16_384, 8, 2048
+#: Numbers of a product that is held at once.
+HELD = 1 << 22
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -35,12 +38,23 @@ def _rows(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
+def cell_count(n: int, sample: int = SAMPLE) -> int:
+    """Cells for labels of up to n distinct vectors: an eighth of the root, from 2 to a quarter of the sample."""
+    return max(2, min(sample // 4, round(n**0.5 / ROOT_SHARE)))
+
+
+def _steps(n: int, width: int) -> Iterator[slice]:
+    """Ranges of n rows so that a product with ``width`` columns stays within HELD numbers."""
+    size = max(1, HELD // max(1, width))
+    return (slice(i, min(i + size, n)) for i in range(0, n, size))
+
+
 def fit_cells(sample: np.ndarray, cells: int, steps: int = 12) -> np.ndarray:
     """Unit centroids of spherical k-means."""
     rng = np.random.default_rng(5)
     centre = sample[rng.choice(len(sample), size=min(cells, len(sample)), replace=False)]
     for _ in range(steps):
-        home = np.argmax(sample @ centre.T, axis=1)
+        home = np.concatenate([np.argmax(sample[k] @ centre.T, axis=1) for k in _steps(len(sample), len(centre))])
         sums = np.zeros_like(centre)
         np.add.at(sums, home, sample)
         size = np.sqrt((sums * sums).sum(axis=1))
@@ -64,16 +78,17 @@ def _cells(held, delta: float):
                 rows = np.flatnonzero(dims == dim)
                 width = max(int(dim), centres.shape[1])
                 c = _padded(centres, width)
-                x = _padded(_unit(_rows(batch.column("v").take(pa.array(rows)), int(dim))), width)
-                near = x @ c.T
-                own = np.argmax(near, axis=1)
                 apart = np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T)))
-                far = near[np.arange(len(x)), own][:, None] - near > (delta + 1e-7) * apart[own] + 1e-9
-                far[np.arange(len(x)), own] = False
-                r, d = np.nonzero(~far)
-                at.append(rows[r])
-                cell.append(d)
-                home.append(own[r] == d)
+                every = _padded(_unit(_rows(batch.column("v").take(pa.array(rows)), int(dim))), width)
+                for k in _steps(len(rows), len(c)):
+                    near = every[k] @ c.T
+                    own, each = np.argmax(near, axis=1), np.arange(len(near))
+                    far = near[each, own][:, None] - near > (delta + 1e-7) * apart[own] + 1e-9
+                    far[each, own] = False
+                    r, d = np.nonzero(~far)
+                    at.append(rows[k][r])
+                    cell.append(d)
+                    home.append(own[r] == d)
             at = pa.array(np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in ("id", "label", "dim", "copies", "v")], pa.array(np.concatenate([*cell, np.zeros(0, np.int64)]).astype(np.int32)), pa.array(np.concatenate([*home, np.zeros(0, bool)]).astype(bool))], ["id", "label", "dim", "copies", "v", "cell", "home"])
 
@@ -107,14 +122,17 @@ def embedding_near_duplicates(embeddings: DataFrame, spark: SparkSession, *, thr
     once; n_links counts other rows); component_id is the smallest vec_id that links reach and kept marks it. All links
     are found: centroids only decide where work is done. They are fitted on a bounded sample; every vector is indexed.
 
-    Equal vectors of a label are compared once and counted as often as they occur. A cell is cut into blocks of 1024
+    Equal vectors of a label are compared once and counted as often as they occur. A cell is cut into blocks of 2048
     and block pairs are tasks, so neither a large cell nor a hot label meets in one task and no pair is listed.
     Null, zero or empty vectors, vectors with null, infinite or NaN components and those with a null label link with
     nothing. Rows that share a vec_id (or have none) and have different vectors count as rows of their own; a null id
-    is never the smallest, and alone it has a null component_id with kept false. Other columns are ignored.
+    is never the smallest, and alone it has a null component_id with kept false. Other columns are ignored, whatever
+    their names; an empty table gives no rows.
     """
     scratch = Scratch(spark)
-    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    # floats travel as floats, which is exact, and are compared as doubles
+    kind = "array<float>" if embeddings.schema[vector_col].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("v"))
     fine = F.col("v").isNotNull() & F.col("label").isNotNull() & F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.withColumn("dim", F.size("v")).withColumn("key", F.when(F.coalesce(fine, F.lit(False)), F.sha2(F.concat_ws(",", F.col("label"), F.col("v").cast("array<string>")), 256)))
     plain = rows.select("id", "key")
@@ -122,13 +140,12 @@ def embedding_near_duplicates(embeddings: DataFrame, spark: SparkSession, *, thr
     reps = scratch.save(reps.withColumn("id", F.xxhash64("key")), "vectors")
 
     n = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    cells = max(1, min(MOST_CELLS, n // PER_CELL))
     some = reps.orderBy("id").limit(sample).select("v", "dim").toPandas() if n else pd.DataFrame({"v": [], "dim": []})
     width = int(some["dim"].max()) if n else 1
     unit = np.concatenate([_padded(_unit(list(g["v"])), width) for _, g in some.groupby("dim")]) if n else np.ones((1, 1))
-    held = spark.sparkContext.broadcast(fit_cells(unit, cells))
+    held = spark.sparkContext.broadcast(fit_cells(unit, cell_count(n, sample)))
     delta = float(np.sqrt(2 - 2 * threshold)) if threshold < 1 else 0.0
-    at = scratch.save(reps.select("id", "label", "dim", "copies", "v").mapInArrow(_cells(held, delta), "id long, label string, dim int, copies long, v array<double>, cell int, home boolean"), "cells")
+    at = scratch.save(reps.select("id", "label", "dim", "copies", "v").mapInArrow(_cells(held, delta), "id long, label string, dim int, copies long, v " + kind + ", cell int, home boolean"), "cells")
 
     sizes = scratch.save(at.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     at = at.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.col("id"), F.col("blocks")).cast("int"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from answerlens.llm import embeddings as em
 
@@ -36,9 +37,9 @@ def make(n=400, dim=16, seed=0):
     return rows
 
 
-@pytest.mark.parametrize("per_cell,block", [(8192, 1024), (10, 16)])
-def test_links_and_groups_equal_brute_force(spark, monkeypatch, per_cell, block):
-    monkeypatch.setattr(em, "PER_CELL", per_cell)
+@pytest.mark.parametrize("share,block", [(8, 2048), (0.5, 16)])
+def test_links_and_groups_equal_brute_force(spark, monkeypatch, share, block):
+    monkeypatch.setattr(em, "ROOT_SHARE", share)
     monkeypatch.setattr(em, "BLOCK", block)
     rows = make()
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in em.embedding_near_duplicates(spark.createDataFrame(rows, SCHEMA), spark).collect()}
@@ -52,3 +53,17 @@ def test_empty_and_null_ids(spark):
     rows = [(None, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (None, [0.0, 1.0], 1)]
     got = sorted((tuple(r) for r in em.embedding_near_duplicates(spark.createDataFrame(rows, SCHEMA), spark).collect()), key=str)
     assert got == [(3, 1, 3, True), (None, 0, None, False), (None, 1, 3, False)]
+
+
+def test_cells_at_every_size(spark):
+    assert [em.cell_count(n) for n in (0, 59, 1186, 5681, 10**8)] == [2, 2, 4, 9, 1250]
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    x = em._unit([r.embedding for r in rows])
+    centres = em.fit_cells(x, em.cell_count(59))
+    home = np.argmax(x @ centres.T, axis=1)
+    assert len(centres) == 2 and set(home) == {0, 1}
+
+
+def test_clashing_and_extra_columns(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1, "a", 5), (2, [1.0, 0.0], 1, None, 6)], SCHEMA + ", id string, n_links int").withColumn("a.b", F.lit(1)).withColumn("v", F.lit(0)).withColumn("cell", F.lit("x"))
+    assert sorted(map(tuple, em.embedding_near_duplicates(df, spark).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
