@@ -1,13 +1,14 @@
 """Benchmark passages in documents, by CGK embeddings and bit-sampling LSH.
 
 The CGK random walk reads a window symbol by symbol (here words) and repeats a symbol or moves on by a random bit of
-(step, symbol), which maps edit distance to Hamming distance. Windows of an item's length whose embeddings agree with
-the item's on all of a few sampled positions, in any repetition, are candidates; an exact alignment decides.
-
-Windows are laid where the text shares ``SEED`` consecutive words with the item (fewer where the accepted edits of a
-short item could break each of its runs of ``SEED``), so every accepted distance leaves a seed. Words inserted or
-deleted before the seed move the passage's start, so windows start at every shift that the accepted edits allow; the
-alignment then takes the best stretch of the text around the seed, whatever its length.
+(step, symbol), which maps edit distance to Hamming distance. Every start of every text is embedded, forwards and, from
+every end, backwards; a window whose embedding agrees with that of an item on all sampled steps, for any walk and any
+sample, is a candidate, and an exact alignment decides.
+
+Walks of a text don't depend on a window's length as long as they stay inside it, so one walk from each word serves the
+items of all lengths. Long items are cut into parts of 10 to 13 words (7 to 9 for items of 14 to 19 words): one part at
+least has no more than one of the accepted edits, and each part is looked up as an item of its own. An edit desynchronises
+what follows it in the direction of the walk only, so forward and backward walks find it from both sides.
 """
 
 from __future__ import annotations
@@ -22,71 +23,134 @@ from pyspark.sql import functions as F
 
 from answerlens.llm import bytehash as bh
 
-#: Consecutive words of a seed; share of an item's words that may be edited.
-SEED, EDITED = 4, 0.15
-#: Independent walks, sampled positions of each, and samples per walk.
-WALKS, POSITIONS, SAMPLES = 4, 4, 8
+#: Share of an item's words that may be edited.
+EDITED = 0.15
+#: Independent walks in each direction.
+WALKS = 4
+#: Steps whose symbols a sample compares, for parts of up to 9 words and for longer ones; each walk has all samples.
+SHORT = ((0, 2, 4), (1, 3, 5))
+LONG = ((0, 2, 4, 7), (1, 3, 5, 8), (2, 4, 6, 9))
+#: Different words that a sample must stand on to be looked up (a walk that lingers says too little), and the same for
+#: short items in one part, which no other part can find.
+LEAST, LEAST_ALONE = 3, 2
+#: Words of the longest part, of the longest that takes the short samples, and of items that must stand unedited.
+PART, SHORT_PART, WHOLE = 13, 9, 6
 #: Words of benchmark items that one pass holds in each worker; a larger benchmark takes more passes.
 PASS_WORDS = 2_000_000
 
 
+def samples_of(words: int) -> tuple[tuple[int, ...], ...]:
+    """The samples for a part of so many words; one of up to WHOLE words is compared on steps that stay inside it."""
+    if words <= WHOLE:
+        return (tuple(range(words)),)
+    return SHORT if words <= SHORT_PART else LONG
+
+
+def parts_of(n: int) -> list[tuple[int, int]]:
+    """(first, end) of the parts of an item of n words."""
+    k = max(1, -(-n // PART))
+    edges = [n * i // k for i in range(k + 1)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def step_bits(words: np.ndarray, walk: int) -> np.ndarray:
+    """32 bits per word: whether the walk moves on from the word at steps 0 to 31."""
+    return (bh.mix(words + bh._STEP[40 + walk]) >> np.uint64(32)).astype(np.uint32)
+
+
+def walk_from(words: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
+    """For each step, the place (from 0) that the walk from each word has reached; the array's last words are padding."""
+    bits, at, out = step_bits(words, walk), np.arange(len(words) - steps, dtype=np.int32), []
+    for t in range(steps):
+        out.append(at)
+        if t + 1 < steps:
+            step = bits.take(at, mode="clip")
+            step >>= np.uint32(t)
+            step &= np.uint32(1)
+            at = at + step.view(np.int32)
+    return out
+
+
 class Items:
-    """A block of benchmark items with seeds and embeddings; at most PASS_WORDS words unless one item is longer."""
+    """A block of benchmark items with the keys of their parts; at most PASS_WORDS words unless one item is longer."""
 
     def __init__(self, rows: list[tuple[int, list[int]]], edited: float = EDITED):
         self.ids = [r[0] for r in rows]
         self.words = [np.array(r[1], dtype=np.int64).view(np.uint64) for r in rows]
-        seeds: dict[int, list[tuple[int, int]]] = {}
         self.most = [int(edited * len(w)) for w in self.words]
-        # so many edits leave most + 1 runs of words, the longest of them of (len - most) / (most + 1) words at least
-        size = [max(1, min(SEED, -((m - len(w)) // (m + 1)))) for w, m in zip(self.words, self.most, strict=True)]
-        for i, (w, k) in enumerate(zip(self.words, size, strict=True)):
-            for at in range(len(w) - k + 1):
-                seeds.setdefault(int(_gram(w[at : at + k], k)[0]), []).append((i, at))
-        self.seeds = seeds
-        keys = np.sort(np.array(list(seeds), dtype=np.uint64))
-        self.keys = keys
-        self.lengths = sorted(set(size))
-        # a table of bits that rules out most words before the exact lookup
-        self.bits = max(16, int(math.log2(max(1, len(keys)))) + 6)
-        self.maybe = np.zeros(1 << self.bits, dtype=bool)
-        self.maybe[keys >> np.uint64(64 - self.bits)] = True
-
-
-def _gram(words: np.ndarray, k: int) -> np.ndarray:
-    n = len(words) - k + 1
-    return bh.mix(sum(words[j : n + j] * bh._STEP[j + 8] for j in range(k)) + np.uint64(k)) if n > 0 else np.zeros(0, np.uint64)
-
-
-def embed(windows: list[np.ndarray], walk: int) -> np.ndarray:
-    """CGK embeddings of word windows, each three times its length, padded with zeros to the longest."""
-    n = len(windows)
-    size = np.array([len(w) for w in windows])
-    longest = int(size.max(initial=1))
-    table = np.zeros((n, longest + 1), dtype=np.uint64)
-    for i, w in enumerate(windows):
-        table[i, : len(w)] = w
-    at, row = np.zeros(n, dtype=np.int64), np.arange(n)
-    out = np.zeros((n, 3 * longest), dtype=np.uint64)
-    for t in range(3 * longest):
-        symbol = np.where((at < size) & (t < 3 * size), table[row, np.minimum(at, longest)], np.uint64(0))
-        out[:, t] = symbol
-        at += (bh.mix(symbol + np.uint64(walk * 1_000_003 + t)) & np.uint64(1)).astype(np.int64)
+        # (sample) -> per walk and direction: keys in order, item and place of the part's border of each, tables of bits
+        found: dict[tuple, list[tuple[int, int, int]]] = {}
+        for i, w in enumerate(self.words):
+            for first, end in parts_of(len(w)):
+                alone = end - first == len(w) <= SHORT_PART
+                for sample in samples_of(end - first):
+                    for walk in range(2 * WALKS):
+                        part, place = (w[first:end], first) if walk % 2 == 0 else (w[first:end][::-1], end)
+                        at = _walk_of(part, walk, sample[-1] + 1)
+                        if at[-1] < len(part) and len({at[t] for t in sample}) >= min(len(sample), LEAST_ALONE if alone else LEAST, len(w)):
+                            symbols = part[np.array([at[t] for t in sample])]
+                            key = int(_key([symbols[k : k + 1] for k in range(len(sample))])[0])
+                            found.setdefault((walk, sample), []).append((key, int(symbols[0]), i, place))
+        self.bits = max(16, int(math.log2(max(1, *map(len, found.values()), 1))) + 6)
+        self.index = {k: _Lookup(v, self.bits) for k, v in sorted(found.items())}
+        self.steps = max((sample[-1] + 1 for _, sample in found), default=1)
+
+
+def _walk_of(part: np.ndarray, walk: int, steps: int) -> list[int]:
+    bits, at, out = step_bits(part, walk), 0, []
+    for t in range(steps):
+        out.append(at)
+        at += int(bits[at] >> np.uint32(t)) & 1 if at < len(part) else 0
     return out
 
 
-def sampled_equal(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """True where any sample of any walk's embeddings of a[i] and b[i] agrees on all its positions."""
-    found = np.zeros(len(a), dtype=bool)
-    length = np.array([max(len(x), len(y), 1) * 3 for x, y in zip(a, b, strict=True)])
-    for walk in range(WALKS):
-        both = embed(a + b, walk)
-        equal = both[: len(a)] == both[len(a) :]
-        draw = np.random.default_rng(walk).random((SAMPLES, POSITIONS))
-        for s in range(SAMPLES):
-            at = (draw[s][None, :] * length[:, None]).astype(np.int64)
-            found |= np.take_along_axis(equal, at, axis=1).all(axis=1)
-    return found
+def _key(symbols: list[np.ndarray]) -> np.ndarray:
+    return bh.mix(sum(x * bh._STEP[k + 8] for k, x in enumerate(symbols)))
+
+
+class _Lookup:
+    """Keys of one walk and sample, with tables of bits that rule out most first symbols and keys before the search."""
+
+    def __init__(self, rows: list[tuple[int, int, int, int]], bits: int):
+        order = sorted(range(len(rows)), key=lambda k: rows[k])
+        key, first = (np.array([rows[k][c] for k in order], dtype=np.uint64) for c in (0, 1))
+        self.key = key
+        self.item, self.place = (np.array([rows[k][c] for k in order], dtype=np.int64) for c in (2, 3))
+        self.shift = np.uint64(64 - bits)
+        self.maybe_first, self.maybe_key = (np.zeros(1 << bits, dtype=bool) for _ in range(2))
+        self.maybe_first[first >> self.shift] = True
+        self.maybe_key[key >> self.shift] = True
+
+    def find(self, words: np.ndarray, high: np.ndarray, at: list[np.ndarray], sample: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, item, place) of the walks whose sampled symbols equal those of a part; high: the words' first bits."""
+        start = np.flatnonzero(self.maybe_first.take(high, mode="clip").take(at[sample[0]], mode="clip"))
+        key = _key([words[at[t][start]] for t in sample])
+        some = self.maybe_key[key >> self.shift]
+        start, key = start[some], key[some]
+        low, high = np.searchsorted(self.key, key, side="left"), np.searchsorted(self.key, key, side="right")
+        each = np.repeat(np.arange(len(key)), high - low)
+        row = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        return start[each], self.item[row], self.place[row]
+
+
+def candidates(words: np.ndarray, at: np.ndarray, items: Items) -> np.ndarray:
+    """Rows (document, item, start), each once: where an item would start if nothing before the agreeing part is edited."""
+    n, out = len(words), [np.zeros((0, 3), np.int64)]
+    padding = np.zeros(items.steps, dtype=np.uint64)
+    lines = [np.concatenate([x, padding]) for x in (words, words[::-1])]
+    highs = [(x >> np.uint64(64 - items.bits)).astype(np.int32) for x in lines]
+    for walk in range(2 * WALKS):
+        samples = [s for w, s in items.index if w == walk]
+        if not samples:
+            continue
+        line, high = lines[walk % 2], highs[walk % 2]
+        reached = walk_from(line, walk, items.steps)
+        for sample in samples:
+            start, item, place = items.index[walk, sample].find(line, high, reached, sample)
+            word = start if walk % 2 == 0 else n - 1 - start
+            doc = np.searchsorted(at, word, side="right") - 1
+            out.append(np.stack([doc, item, word - place if walk % 2 == 0 else word + 1 - place], axis=1))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -150,38 +214,21 @@ def _search(held):
 
 
 def _matches(words: np.ndarray, at: np.ndarray, items: Items) -> Iterator[tuple]:
-    windows: set[tuple[int, int, int]] = set()
-    for k in items.lengths:
-        grams = _gram(words, k)
-        likely = np.flatnonzero(items.maybe[grams >> np.uint64(64 - items.bits)]) if len(grams) else []
-        for p in likely:
-            for item, place in items.seeds.get(int(grams[p]), ()):
-                doc = int(np.searchsorted(at, p, side="right")) - 1
-                if p + k <= at[doc + 1]:
-                    windows.add((doc, item, int(p) - place))
-    for d, i, s in _candidates(words, at, items, windows):
+    known: tuple | None = None
+    for d, i, s in candidates(words, at, items).tolist():
         most, n = items.most[i], len(items.words[i])
-        first = max(at[d], s - most)
-        best = best_stretch(items.words[i], words[first : min(at[d + 1], s + n + most)], most)
+        if s + n + most <= at[d] or s - most >= at[d + 1]:
+            continue
+        first, end = max(at[d], s - most), min(at[d + 1], s + n + most)
+        # each word of the item that isn't edited stands in the region
+        if np.isin(items.words[i], words[first:end]).sum() < n - most:
+            continue
+        best = best_stretch(items.words[i], words[first:end], most)
         if best:
-            yield d, items.ids[i], int(first - at[d]) + best[1], int(first - at[d]) + best[2], best[0], abs(best[2] - best[1] - n)
-
-
-def _candidates(words: np.ndarray, at: np.ndarray, items: Items, windows: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The seeds' windows (document, item, start) of which a shift of up to the accepted edits is a candidate."""
-    left, found, seen, shift = sorted(windows), [], {}, 0
-    while left:
-        fresh = sorted({(d, i, s + x) for d, i, s in left for x in {shift, -shift}} - seen.keys())
-        for part in range(0, len(fresh), 2048):
-            group = fresh[part : part + 2048]
-            # a shift may leave the document's words; such a window is empty
-            spans = [(max(at[d], s), max(at[d], min(at[d + 1], s + len(items.words[i])))) for d, i, s in group]
-            seen.update(zip(group, sampled_equal([words[s:e] for s, e in spans], [items.words[i] for _, i, _ in group]).tolist(), strict=True))
-        near = {(d, i, s) for d, i, s in left if seen[d, i, s + shift] or seen[d, i, s - shift]}
-        found += sorted(near)
-        shift += 1
-        left = [x for x in left if x not in near and shift <= items.most[x[1]]]
-    return found
+            found = (d, items.ids[i], int(first - at[d]) + best[1], int(first - at[d]) + best[2], best[0], abs(best[2] - best[1] - n))
+            if found != known:
+                yield found
+            known = found
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +243,14 @@ def benchmark_matches(documents: DataFrame, benchmark: DataFrame, spark: SparkSe
 
     A stretch of words, of any length, matches when at most ``edited`` of the item's words (lower-cased, split at white
     space) are inserted, deleted or replaced. Of one document and item the closest stretch is returned, of equally
-    close ones that whose length is nearest to the item's, then the first. An unedited passage is always found; the
-    samples find a window with the accepted share of edits with a chance above 0.9 each, and seeds and shifts lay
-    several windows. What is found has its exact distance.
+    close ones that whose length is nearest to the item's, then the first. An unedited passage is always found, edited
+    ones with the chances that the README gives; what is found has its exact distance in that place.
 
     The benchmark is read in passes of at most PASS_WORDS words, so its size in a worker is bounded; documents are
-    never shuffled. Null or empty texts and items match nothing; rows that share a doc_id are one document; a null
-    doc_id is one document as well; null item ids are matched like others.
+    never shuffled. Null or empty texts and items match nothing; rows that share a doc_id are one document and the
+    closest of all is returned; a null doc_id is one document as well; null item ids are matched like others. Repeated
+    items are found once per id. Other columns are ignored, whatever their names; an empty table, of documents or of the
+    benchmark, gives no rows.
     """
     hashed = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("t")).mapInArrow(_hashed, "id long, words array<long>").filter("size(words) > 0")
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
