@@ -2,8 +2,9 @@
 
 Every rolling pair of words of a text is hashed and joined to the places where a template has the same pair. Pairs of
 one template that keep their distance to it lie on one diagonal (text position less template position); a diagonal's
-votes are counted, neighbouring diagonals are merged, and a span counts when enough of the template stands there.
-DataFrame functions only.
+votes are counted, neighbouring diagonals are merged, and a span counts when enough of the template stands there. Each
+vote is verified on the words themselves, so a span holds what it says whatever the hashes do. A text is read and split
+once. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -40,32 +41,47 @@ def lower_words(text: Column) -> Column:
 
 
 def templates(spark: SparkSession, phrases: list, statements: list) -> tuple[DataFrame, DataFrame]:
-    """(template, label, exact, n, words) and its word pairs (template, at, h); their size is that of the lists given."""
+    """(template, label, exact, n) and its word pairs (template, at, ta, tb); their size is that of the lists given."""
     rows = [(i, label, exact, text.split(" ")) for i, (text, label, exact) in enumerate([(*p, True) for p in phrases] + [(*s, False) for s in statements])]
     t = spark.createDataFrame(rows, "template int, label string, exact boolean, twords array<string>").withColumn("n", F.size("twords"))
-    return t, t.select("template", F.posexplode(pair_hashes(F.col("twords"))).alias("at", "h"))
+    return t.drop("twords"), t.select("template", F.posexplode(word_pairs("twords")).alias("at", "x")).select("template", "at", F.col("x.a").alias("ta"), F.col("x.b").alias("tb"))
 
 
-def pair_hashes(words: Column) -> Column:
-    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+def word_pairs(words: str) -> Column:
+    """array<struct<a,b>> of a column of words."""
+    fewer = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(words, F.lit(1), fewer).alias("a"), F.slice(words, F.lit(2), fewer).alias("b"))
 
 
-def license_spans(documents: DataFrame, spark: SparkSession, *, phrases: list | None = None, statements: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, template, label, exact, start, n, share): one row per found span; key is a hash of the whole text.
+def license_hits(documents: DataFrame, pairs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, n_words, template, at, diagonal): a row per verified vote, and one per row of documents without a template.
+
+    key is a hash of the whole text. The row of the document itself comes out of the same pass as a pair of nulls, which
+    stands for "no words" among the templates' pairs.
+    """
+    text = F.col(text_col).cast("string")
+    # the words are a column, so that they are split once
+    docs = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), lower_words(text).alias("words"))
+    none = F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
+    grams = docs.select("id", "key", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(none), word_pairs("words"))).alias("pos", "x"))
+    grams = grams.select("id", "key", "n_words", "pos", F.col("x.a").alias("a"), F.col("x.b").alias("b")).withColumn("h", F.xxhash64("a", "b"))
+    row = pairs.sparkSession.range(1).select(F.lit(None).cast("int").alias("template"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("ta"), F.lit(None).cast("string").alias("tb"))
+    known = pairs.unionByName(row).withColumn("h", F.xxhash64("ta", "tb"))
+    hits = grams.join(F.broadcast(known), "h").filter(F.col("a").eqNullSafe(F.col("ta")) & F.col("b").eqNullSafe(F.col("tb")))
+    return hits.select("id", "key", "n_words", "template", "at", (F.col("pos") - 1 - F.col("at")).alias("diagonal"))
+
+
+def license_spans(hits: DataFrame, t: DataFrame) -> DataFrame:
+    """(id, key, template, label, exact, start, n, share): one row per span in the hits of the templates t.
 
     A base phrase has one row per place where all its words stand; a statement one row per merged group of diagonals,
     those with a single vote among them, that together hold 70 % of its word pairs. Templates have at least two words;
     they are given in code, so broadcasting them is bounded. Null texts, empty texts and texts of one word have no
     spans. Rows that repeat id and text count once here.
     """
-    t, pairs = templates(spark, PHRASES if phrases is None else phrases, STATEMENTS if statements is None else statements)
-    text = F.col(text_col).cast("string")
-    docs = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-    grams = docs.select("id", "key", F.posexplode(pair_hashes(lower_words(F.col("text")))).alias("pos", "h"))
-    hits = grams.join(F.broadcast(pairs), "h").select("id", "key", "template", "at", (F.col("pos") - F.col("at")).alias("diagonal"))
-    votes = hits.groupBy("id", "key", "template", "diagonal").agg(F.collect_set("at").alias("places"))  # of the template, so bounded by its length
-    votes = votes.join(F.broadcast(t.select("template", "label", "exact", "n")), "template")
-    votes = Scratch(spark).save(votes, "votes")  # read by both kinds of spans
+    votes = hits.filter("template IS NOT NULL").groupBy("id", "key", "template", "diagonal").agg(F.collect_set("at").alias("places"))  # of the template, so bounded by its length
+    votes = votes.join(F.broadcast(t), "template")
+    votes = Scratch(hits.sparkSession).save(votes, "votes")  # read by both kinds of spans
     whole = votes.filter("exact AND size(places) = n - 1").select("id", "key", "template", "label", "exact", F.col("diagonal").alias("start"), "n", F.lit(1.0).alias("share"))
 
     w = W.partitionBy("id", "key", "template").orderBy("diagonal")
@@ -82,17 +98,18 @@ def license_labels(documents: DataFrame, spark: SparkSession, *, phrases: list |
     n_base counts the places of base phrases, first_word and last_word are their smallest and largest starts (null
     without any), labels add those of the statements found; score is the largest share of a template that stands in
     the text. A null or empty text has zero words, no labels and score 0. Repeated rows get equal results, a null
-    doc_id is kept.
+    doc_id is kept. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    found = license_spans(documents, spark, phrases=phrases, statements=statements, id_col=id_col, text_col=text_col)
+    t, pairs = templates(spark, PHRASES if phrases is None else phrases, STATEMENTS if statements is None else statements)
+    hits = Scratch(spark).save(license_hits(documents, pairs, id_col=id_col, text_col=text_col), "hits", scan=True)
+    found = license_spans(hits, t)
     base = F.when(F.col("exact"), F.col("start"))
     found = found.groupBy("id", "key").agg(
         F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"),
     )
-    text = F.col(text_col).cast("string")
-    rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD)).cast("long").alias("n_words"))
+    rows = hits.filter("template IS NULL").select("id", "key", "n_words")
     same = rows["id"].eqNullSafe(found["id"]) & (rows["key"] == found["key"])
     return rows.join(found, same, "left").select(
         rows["id"].alias("doc_id"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"),

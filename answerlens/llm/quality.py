@@ -123,12 +123,14 @@ def _score(held):
 def score_quality(documents: DataFrame, weights: np.ndarray, spark: SparkSession, *, text_col: str = "text", score_col: str = "score", columns: list[str] | None = None) -> DataFrame:
     """documents (or only ``columns`` of it) with ``score_col``: the chance (0 to 1) that a text has label 1.
 
-    The whole text is scored. Null and empty texts get the bias alone. No row moves and other columns stay as they are.
+    The whole text is scored. Null and empty texts get the bias alone. No row moves and other columns stay as they are; a
+    column of documents named as ``score_col`` is replaced. Repeated rows score alike; an empty table gives no rows.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in columns or documents.columns])
+    kept = [c for c in columns or documents.columns if c.lower() != score_col.lower()]
+    row = F.struct(F.lit(0).alias("__"), *[F.col("`" + c.replace("`", "``") + "`") for c in kept])
     schema = documents.select(row.alias("row"), F.lit(0.0).alias("score")).schema
     scored = documents.select(row.alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(_score(spark.sparkContext.broadcast(weights)), schema)
-    return scored.select("row.*", F.col("score").alias(score_col))
+    return scored.select("row.*", F.col("score").alias(score_col)).drop("__")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,13 +109,15 @@ def token_counts(documents: DataFrame, spark: SparkSession, *, vocabulary: list[
     A space is written as the word mark and the text begins with one; nothing else is normalised. Characters outside
     the vocabulary are as many pieces as they have bytes. Null and empty texts have 0 tokens. Rows are independent of
     each other and none moves. The vocabulary (by default that of ``model``, read on the driver) is broadcast: its
-    size is that of a tokenizer.
+    size is that of a tokenizer. Columns of documents named n_tokens or token_score are replaced; an empty table gives no
+    rows.
     """
     held = spark.sparkContext.broadcast(vocabulary if vocabulary is not None else load_vocabulary(model))
-    row = F.struct(*[F.col(f"`{c}`") for c in columns or documents.columns])
+    kept = [c for c in columns or documents.columns if c.lower() not in ("n_tokens", "token_score")]
+    row = F.struct(F.lit(0).alias("__"), *[F.col("`" + c.replace("`", "``") + "`") for c in kept])
     schema = documents.select(row.alias("row"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("score")).schema
     out = documents.select(row.alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(_counter(held), schema)
-    return out.select("row.*", "n_tokens", F.col("score").alias("token_score"))
+    return out.select("row.*", "n_tokens", F.col("score").alias("token_score")).drop("__")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload
 def _open(uri: str):
     from pyarrow import fs
 
+    uri = re.sub("^s3[an]://", "s3://", uri)  # as Hadoop names it
     where, path = fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
     return where, path
 
@@ -92,8 +93,9 @@ def _writer(folder: str, date: str):
 
         where, path = _open(folder)
         task = TaskContext.get()
-        name = f"part-{task.partitionId():06d}.warc.zst"
-        mine = f"{path}/.{name}.{task.taskAttemptId()}"
+        # each attempt has a bundle of its own: rows may come in another order, and a manifest must name what it describes
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.zst"
+        mine = f"{path}/.{name}"
         press = zstandard.ZstdCompressor(level=LEVEL)
         frames: list[tuple[int, int]] = []
         index: list[tuple] = []
@@ -109,7 +111,7 @@ def _writer(folder: str, date: str):
 
         for batch in batches:
             if out is None and batch.num_rows:
-                out = where.open_output_stream(mine)
+                out = where.open_output_stream(mine, compression=None)  # frames are compressed already
             index = []
             for page_id, url, html, refers_to in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")], strict=True):
                 payload = (html or "").encode()
@@ -124,7 +126,7 @@ def _writer(folder: str, date: str):
                 close_frame()
             out.write(seek_table(frames))
             out.close()
-            where.move(mine, f"{path}/{name}")  # whole bundles only; another attempt writes the same bytes
+            where.move(mine, f"{path}/{name}")  # whole bundles only
 
     return run
 
@@ -135,7 +137,11 @@ def write_archives(pages: DataFrame, spark: SparkSession, folder: str, *, least:
     Of records whose payloads are equal and at least ``least`` bytes long, the one with the largest page_id is the
     response and the others revisit it; a null page_id takes part, but is never the largest (records without any id in
     their group are all responses). Rows that repeat the largest page_id are all responses. A null html is an empty
-    payload. Each bundle is written under a task's own name and moved into place, so a retry leaves whole files.
+    payload. Other columns are ignored, whatever their names; an empty table gives an empty manifest and no bundle.
+
+    Each attempt of a task writes a bundle under a name of its own and moves it into place; the manifest of the attempt
+    that Spark commits names it. Bundles of lost or repeated attempts are whole files that no manifest names. The
+    folder's scheme must be one that pyarrow opens (file, hdfs, s3, gs, abfss).
     """
     scratch = Scratch(spark)
     where, path = _open(folder)
@@ -154,11 +160,14 @@ def _reader(keep_payload: bool):
         import zstandard
 
         expand = zstandard.ZstdDecompressor()
+        opened, frames = None, []
         for batch in batches:
             for bundle, number, at in zip(*[batch.column(c).to_pylist() for c in ("bundle", "frame", "places")], strict=True):
                 where, path = _open(bundle)
                 with where.open_input_file(path) as f:
-                    start, packed, plain = read_seek_table(f, f.size())[number]
+                    if bundle != opened:  # a task's frames come sorted by bundle
+                        opened, frames = bundle, read_seek_table(f, f.size())
+                    start, packed, plain = frames[number]
                     f.seek(start)
                     data = expand.decompress(f.read(packed), max_output_size=plain)
                 rows = []
@@ -185,7 +194,7 @@ def read_archives(manifest: DataFrame, *, keep_payload: bool = True) -> DataFram
     frames = manifest.groupBy("bundle", "frame").agg(F.collect_list(F.struct("start", "length")).alias("places"))
     # a row of the manifest is small and what it names is not: tasks follow the number of frames, not of its bytes
     tasks = max(1, manifest.select("bundle", "frame").distinct().count() // FRAMES_PER_TASK)
-    frames = frames.repartition(tasks, "bundle", "frame")
+    frames = frames.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame")
     return frames.mapInArrow(_reader(keep_payload), RECORDS)
 
 
