@@ -21,10 +21,14 @@ from answerlens.llm.scratch import Scratch
 ORACLE_SQL = None
 
 
+def _columns(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier, trained on the labelled ones among them, scores at 0.3 or more."""
     weights = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), spark)
-    return score_quality(docs, weights, spark, score_col="__score").filter(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    return _columns(score_quality(docs, weights, spark, score_col="__score").filter(F.col("__score") >= THRESHOLD), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct("no_id", "doc_id", "hash", "__row")
     names = rows.select("__row", "doc_id", F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("hash"))
     kept = names.join(groups, "__row").groupBy("component_id").agg(F.min(order).alias("x")).select("x.__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    return _columns(rows.join(kept, "__row", "left_semi"), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,13 +55,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the kind in place of personal data; n_chars follows the new text."""
-    return mask_pii(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _columns(mask_pii(docs).withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy that the mix takes: the document's columns, copy from 1, copies, and its source's figures."""
+    """One row per copy that the mix takes: the document's columns, copy from 1, copies, and its source's figures.
+
+    Columns of docs with the names of those five are replaced.
+    """
+    figures = ["copy", "copies", "size", "source_size", "target"]
     mixed = mix_sources(docs, keep=True).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return mixed.select("row.*", "copy", "copies", "size", "source_size", "target")
+    kept = ["row.`" + c.replace("`", "``") + "`" for c in docs.columns if c.lower() not in figures]
+    return mixed.select(*[F.col(c) for c in kept], *figures)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("mixing", mixing)]
