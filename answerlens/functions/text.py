@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +18,12 @@ please thanks thank hey hi hello okay ok briefly quickly
 TWO_LETTER_NOISE = "an as at be by do go he if in is it me my no of on or so to up us we am id ok ox".split()
 ALIASES = {"backprop": ["backpropagation"], "mfcc": ["mfccs"]}
 
-#: An ASCII fold of Latin letters with marks; other scripts stay as they are.
-FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Compatibility forms without combining marks, by the Unicode rule.
+_PLAIN = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if unicodedata.category(x) != "Mn") for c in range(0xA0, 0x10000) if not 0xD800 <= c < 0xE000}
+FOLD_FROM = "".join(c for c, x in _PLAIN.items() if x != c and len(x) == 1)
+FOLD_TO = "".join(x for c, x in _PLAIN.items() if x != c and len(x) == 1)
+#: Latin characters that become several, such as ligatures, written as (character, plain form).
+FOLD_LONG = [(c, x) for c, x in _PLAIN.items() if len(x) > 1 and (ord(c) < 0x250 or 0xFB00 <= ord(c) < 0xFB07)]
 
 
 def tokens(c: Column) -> Column:
@@ -77,7 +83,10 @@ def grams(terms: Column, n: int) -> Column:
 
 
 def fold(c: Column) -> Column:
-    return F.translate(c, FOLD_FROM, FOLD_TO)
+    """Compatibility decomposition without combining marks, of the basic plane (beyond Latin, forms that become several stay)."""
+    folded = F.translate(F.regexp_replace(c, r"\p{Mn}", ""), FOLD_FROM, FOLD_TO)
+    many = "[" + "".join(x for x, _ in FOLD_LONG) + "]"
+    return F.when(c.rlike(many), reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), FOLD_LONG, folded)).otherwise(folded)
 
 
 def units(c: Column) -> Column:

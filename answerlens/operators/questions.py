@@ -36,7 +36,7 @@ def linked_concepts(queries: DataFrame, terms: DataFrame) -> DataFrame:
     toks = T.tokens(F.col("query_text"))
     words = queries.select("query_id", F.posexplode(toks).alias("pos", "term"))
     pairs = queries.select("query_id", F.posexplode(T.grams(toks, 2)).alias("pos", "term"))
-    found = words.unionByName(pairs).join(F.broadcast(terms.select("concept_id", F.lower("term").alias("term")).distinct()), "term")
+    found = words.unionByName(pairs).join(terms.select("concept_id", F.lower("term").alias("term")).distinct(), "term")
     first = found.groupBy("query_id", "concept_id").agg(F.min("pos").alias("pos"))
     out = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "concept_id"))).alias("x"))
     return out.select("query_id", F.array_join(F.transform("x", lambda r: r["concept_id"]), ",").alias("concepts"), F.size("x").cast("long").alias("n"))
@@ -50,6 +50,6 @@ def keyword_spam(queries: DataFrame, terms: DataFrame, *, most_tokens: int = 6,
     """(query_id, n, hits, spam): short queries whose tokens are mostly concept terms."""
     t = queries.select("query_id", T.tokens(F.col("query_text")).alias("toks"))
     one = terms.select(F.lower("term").alias("term")).distinct()
-    hits = t.select("query_id", F.explode("toks").alias("term")).join(F.broadcast(one), "term").groupBy("query_id").agg(F.count("*").alias("hits"))
+    hits = t.select("query_id", F.explode("toks").alias("term")).join(one, "term").groupBy("query_id").agg(F.count("*").alias("hits"))
     x = t.select("query_id", F.size("toks").cast("long").alias("n")).join(hits, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return x.withColumn("spam", (F.col("n") <= most_tokens) & (F.col("hits") >= F.lit(share) * F.col("n")))

@@ -33,15 +33,22 @@ def fields_of(chunks: DataFrame, weights: dict[str, float] | None = None) -> lis
     return [f for f in (weights or FIELD_WEIGHTS) if f in chunks.columns]
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """The index: (tok, id, field, pos), one row per token of each field; store it bucketed by tok for repeated use."""
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(F.col(f)).alias("toks")) for f in fields_of(chunks)])
-    return chunks.select("id", F.explode(parts).alias("x")).select("id", "x.field", F.posexplode("x.toks").alias("pos", "tok"))
+def field_tokens(chunks: DataFrame) -> DataFrame:
+    """(id, ord, field, toks): the tokens of each field, cut once; store them where several scores are asked for."""
+    parts = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), T.tokens(F.col(f)).alias("toks")) for i, f in enumerate(fields_of(chunks))])
+    return chunks.select("id", F.explode(parts).alias("x")).select("id", "x.ord", "x.field", "x.toks")
 
 
-def index_stats(chunks: DataFrame) -> DataFrame:
+def postings(chunks: DataFrame, toks: DataFrame | None = None) -> DataFrame:
+    """The index: (tok, id, field, pos), one row per token of each field. ``toks`` are field_tokens, if already there."""
+    toks = field_tokens(chunks) if toks is None else toks
+    return toks.select("id", "field", F.posexplode("toks").alias("pos", "tok"))
+
+
+def index_stats(chunks: DataFrame, toks: DataFrame | None = None) -> DataFrame:
     """(id, total_tokens): the length that scores are divided by."""
-    return chunks.select("id", sum((F.size(T.tokens(F.col(f))) for f in fields_of(chunks)), F.lit(0)).cast("long").alias("total_tokens"))
+    toks = field_tokens(chunks) if toks is None else toks
+    return toks.groupBy("id").agg(F.sum(F.greatest(F.size("toks"), F.lit(0))).alias("total_tokens"))
 
 
 def query_table(queries: DataFrame) -> DataFrame:
@@ -53,7 +60,7 @@ def _weight(field: Column, weights: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[field]
 
 
-def token_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def token_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None, toks: DataFrame | None = None) -> DataFrame:
     """(query_id, id, token_score, strong_score, matched): every query position scores the best of its family per field.
 
     Tokens that no query asks for are dropped by the join before anything is counted or shuffled.
@@ -61,7 +68,7 @@ def token_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | No
     weights = weights or FIELD_WEIGHTS
     variants = q.select("query_id", F.posexplode("terms").alias("qpos", "t")).select("query_id", "qpos", F.explode(T.family(F.col("t"))).alias("tok"))
     asked = variants.select("tok").distinct()
-    counts = postings(chunks).select("id", "field", "tok").join(asked, "tok").groupBy("tok", "id", "field").agg(F.count("*").alias("n"))
+    counts = postings(chunks, toks).select("id", "field", "tok").join(asked, "tok").groupBy("tok", "id", "field").agg(F.count("*").alias("n"))
     best = counts.join(variants, "tok").groupBy("query_id", "id", "field", "qpos").agg(F.max("n").alias("n"))
     gain = _weight(F.col("field"), weights) * (1.0 + REPEAT_GAIN * F.least(F.col("n") - 1, F.lit(REPEAT_MOST)))
     return best.withColumn("g", gain).groupBy("query_id", "id").agg(
@@ -69,13 +76,12 @@ def token_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | No
     )
 
 
-def phrase_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def phrase_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None, toks: DataFrame | None = None) -> DataFrame:
     """(query_id, id, phrase_score, phrase_events): query pairs and triples that stand consecutively in a field.
 
     At most five events per query and chunk count: fields in order, pairs before triples, each query place once.
     """
     weights = weights or PHRASE_WEIGHTS
-    names = fields_of(chunks)
     fam = lambda i: T.family(F.get("terms", i))
 
     def places(n: int) -> DataFrame:
@@ -86,8 +92,7 @@ def phrase_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | N
         return x.select("query_id", "gpos", F.lit(n).alias("n"), F.concat_ws(" ", *[f"f{k}" for k in range(n)]).alias("gram"))
 
     asked = places(2).unionByName(places(3))
-    parts = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), T.tokens(F.col(f)).alias("toks")) for i, f in enumerate(names)])
-    toks = chunks.select("id", F.explode(parts).alias("x")).select("id", "x.ord", "x.field", "x.toks")
+    toks = field_tokens(chunks) if toks is None else toks
     grams = toks.select("id", "ord", "field", F.explode(F.concat(T.grams(F.col("toks"), 2), T.grams(F.col("toks"), 3))).alias("gram"))
     found = grams.join(asked, "gram").select("query_id", "id", "ord", "field", "n", "gpos").distinct()
     w = W.partitionBy("query_id", "id").orderBy("ord", "n", "gpos")
@@ -96,15 +101,18 @@ def phrase_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | N
     return found.groupBy("query_id", "id").agg(F.sum(gain).alias("phrase_score"), F.count("*").alias("phrase_events"))
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, id, score, token_score, strong_score, phrase_score, phrase_events, lecture_bonus, matched) of all matches."""
+def lexical_scores(queries: DataFrame, chunks: DataFrame, toks: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, token_score, strong_score, phrase_score, phrase_events, lecture_bonus, matched) of all matches.
+
+    ``toks`` are the stored field_tokens of chunks; without them each part of the score cuts the texts itself.
+    """
     q = query_table(queries)
     named = q.select("query_id", F.explode("lectures").alias("lecture_number"))
     bonus = chunks.select("id", "lecture_number").join(named, "lecture_number").select("query_id", "id", F.lit(LECTURE_BONUS).alias("lecture_bonus"))
-    s = token_scores(q, chunks).join(phrase_scores(q, chunks), ["query_id", "id"], "left").join(bonus, ["query_id", "id"], "full")
+    s = token_scores(q, chunks, toks=toks).join(phrase_scores(q, chunks, toks=toks), ["query_id", "id"], "left").join(bonus, ["query_id", "id"], "full")
     s = s.na.fill(0.0, ["token_score", "strong_score", "phrase_score", "lecture_bonus"]).na.fill(0, ["matched", "phrase_events"])
     raw = F.col("token_score") + F.col("phrase_score") + F.col("lecture_bonus")
-    s = s.join(index_stats(chunks), "id").withColumn("score", F.round(raw / (1.0 + LENGTH_LAMBDA * F.log1p("total_tokens")), 9))
+    s = s.join(index_stats(chunks, toks), "id").withColumn("score", F.round(raw / (1.0 + LENGTH_LAMBDA * F.log1p("total_tokens")), 9))
     return s.drop("total_tokens")
 
 
@@ -118,10 +126,10 @@ def top_k(scores: DataFrame, k: int, *keys: str) -> DataFrame:
 def confidence(queries: DataFrame, scores: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, top_score, second_score, margin, coverage, hits, confidence); queries without a hit have confidence 0."""
     q = query_table(queries).select("query_id", "terms", "lectures")
-    two = top_k(scores, 2).join(chunks.select("id", "lecture_number"), "id")
-    best = two.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.struct("score", "token_score", "strong_score", "phrase_score", "phrase_events", "matched", "lecture_number"))).alias("b"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
-    n = scores.filter("score > 0").groupBy("query_id").agg(F.count("*").alias("hits"))
-    x = q.join(best, "query_id", "left").join(n, "query_id", "left").select("*", "b.*").drop("b")
+    every = W.partitionBy("query_id")
+    two = top_k(scores.filter("score > 0").withColumn("hits", F.count("*").over(every)), 2).join(chunks.select("id", "lecture_number"), "id")
+    best = two.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.struct("score", "token_score", "strong_score", "phrase_score", "phrase_events", "matched", "lecture_number"))).alias("b"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.max("hits").alias("hits"))
+    x = q.join(best, "query_id", "left").select("*", "b.*").drop("b")
     second = F.coalesce("second", F.lit(0.0))
     margin = (F.col("score") - second) / (F.col("score") + EPS)
     coverage = F.col("matched") / F.greatest(F.size("terms"), F.lit(1))

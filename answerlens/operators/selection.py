@@ -34,7 +34,7 @@ def constraint_rerank(candidates: DataFrame, chunks: DataFrame, targets: list[st
     x = candidates.select("query_id", "id", "rank").join(c, "id")
     delta = TOPIC_GAIN * F.col("at") + F.least(BODY_GAIN * F.col("ab"), F.lit(BODY_CAP)) - TOPIC_LOSS * F.col("ft") - F.least(BODY_LOSS * F.col("fb"), F.lit(LOSS_CAP))
     if lectures is not None:
-        x = x.join(F.broadcast(lectures.withColumnRenamed("lecture_number", "wanted")), "query_id", "left")
+        x = x.join(lectures.withColumnRenamed("lecture_number", "wanted"), "query_id", "left")
         delta = delta + F.when(F.col("wanted") == F.col("lecture_number"), ON_LECTURE).when(F.col("wanted").isNotNull() & F.col("lecture_number").isNotNull() & (F.col("at") + F.col("ab") == 0), -OFF_LECTURE).otherwise(0.0)
     x = x.withColumn("delta", F.round(delta, 9)).filter((F.col("delta") > DROP_AT) | (F.col("at") + F.col("ab") > 0))
     return x.select("query_id", "id", "delta", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("delta"), "rank")).alias("place"))

@@ -416,3 +416,15 @@ WITH f AS (SELECT k.id, coalesce(k.critic_score, 0) AS score, CASE WHEN k.critic
 SELECT bucket, id, score FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score, id) AS r FROM f) WHERE r <= 10""")
 def _(v):
     return K.worst_of_buckets(v.cases, v.critic)
+
+
+@query("k3_verdicts", """
+SELECT id, round(CASE WHEN critic_score IS NULL THEN NULL WHEN id % 3 = 0 THEN (least(critic_score * 2, 1.0::DOUBLE) + 0.5::DOUBLE) / 2 ELSE critic_score END, 9) AS score,
+  CASE WHEN critic_score IS NULL THEN NULL WHEN id % 3 = 0 THEN (least(critic_score * 2, 1.0::DOUBLE) + 0.5::DOUBLE) / 2 >= 0.68 ELSE critic_score >= 0.5 END AS passed,
+  CASE WHEN critic_score IS NULL THEN 'critic_no_verdict' ELSE 'ok' END AS verdict FROM <critic>""")
+def _(v):
+    score = F.col("critic_score")
+    means = F.concat(F.lit('Verdict: {"dimensions": {"a": '), (score * 2).cast("string"), F.lit(', "b": 0.5}} as asked'))
+    plain = F.concat(F.lit('{"score": '), score.cast("string"), F.lit(', "pass": '), (score >= 0.5).cast("string"), F.lit("}"))
+    raw = F.when(score.isNull(), "no verdict").when(F.col("id") % 3 == 0, means).otherwise(plain)
+    return K.verdicts(v.critic.select("id", raw.alias("raw"))).withColumn("score", F.round("score", 9))

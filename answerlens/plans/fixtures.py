@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from answerlens.sources.stored import stored
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS = {
@@ -69,6 +72,20 @@ SELECT id, evaluation_run_id, id AS case_result_id, 'b' || CAST(evaluation_run_i
        id % 900 AS tokens_estimated, TIMESTAMP '2024-02-01 00:00:00' + id * INTERVAL '1' MINUTE AS created_at
 FROM <cases>""",
     "concept_terms": "SELECT * FROM (VALUES ('c1','the'), ('c1','that'), ('c2','for'), ('c2','by'), ('c3','la'), ('c4','der'), ('c4','die')) AS t(concept_id, term)",
+    "concept_lectures": """
+SELECT DISTINCT t.concept_id, k.lecture_number
+FROM (SELECT lecture_number, lower(split_part(clean_explanation, ' ', 2)) AS word FROM <chunks> UNION ALL SELECT lecture_number, lower(split_part(clean_explanation, ' ', 3)) AS word FROM <chunks>) k
+JOIN <concept_terms> t ON t.term = k.word""",
+    "word_concepts": """
+SELECT DISTINCT substr(word, 1, 1) AS concept_id, word AS term
+FROM (SELECT lower(split_part(query_text, ' ', 3)) AS word FROM <queries> UNION ALL SELECT lower(split_part(query_text, ' ', 6)) AS word FROM <queries>) w WHERE length(word) >= 5""",
+    "concept_hints": "SELECT concept_id, row_number() OVER (PARTITION BY concept_id ORDER BY lecture_number DESC) - 1 AS pos, 'lecture ' || CAST(lecture_number AS STRING) AS hint FROM <concept_lectures>",
+    "concept_edges": """
+SELECT a.concept_id AS src, CASE WHEN b.concept_id < a.concept_id THEN 'prerequisite' ELSE 'related' END AS kind, -count(*) AS pos, b.concept_id AS dst
+FROM <concept_lectures> a JOIN <concept_lectures> b ON a.lecture_number = b.lecture_number AND a.concept_id <> b.concept_id GROUP BY a.concept_id, b.concept_id""",
+    "concept_axes": """
+SELECT a.concept_id AS low, b.concept_id AS high, 'in ' || CAST(a.lecture_number AS STRING) AS axis
+FROM <concept_lectures> a JOIN <concept_lectures> b ON a.lecture_number = b.lecture_number AND a.concept_id < b.concept_id""",
     "lecture_edges": """
 SELECT DISTINCT a.lecture_number AS src, b.lecture_number AS dst
 FROM (SELECT DISTINCT lecture_number FROM <chunks>) a JOIN (SELECT DISTINCT lecture_number FROM <chunks>) b ON abs(a.lecture_number - b.lecture_number) = 1""",
@@ -83,6 +100,7 @@ class Views:
         self.spark, self.dir = spark, sf_dir
         self.tag = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
         self.seen: dict[str, DataFrame] = {}
+        self.kept: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.seen:
@@ -92,6 +110,12 @@ class Views:
                 self.seen[name] = self.sql(VIEWS[name])
         return self.seen[name]
 
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """make() as a written table, made once for this query."""
+        if name not in self.kept:
+            self.kept[name] = stored(make(), name)
+        return self.kept[name]
+
     def sql(self, text: str) -> DataFrame:
         for name in set(_NAME.findall(text)):
             getattr(self, name).createOrReplaceTempView(f"al_{self.tag}_{name}")

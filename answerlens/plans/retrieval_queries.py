@@ -39,7 +39,8 @@ def asked(v):
 
 
 def scores(v):
-    return R.lexical_scores(asked(v), v.chunks)
+    """Scores of all matches, computed and written once for whatever a query asks of them."""
+    return v.stored("scores", lambda: R.lexical_scores(asked(v), v.chunks, v.stored("tokens", lambda: R.field_tokens(v.chunks))))
 
 
 def hits(v, k):
@@ -201,13 +202,19 @@ def _(v):
     return R.entity_scores(entities(v), ["c3"]).select("query_id", "id", "concept_id", "hits", F.round("score", 6).alias("score"))
 
 
-@query("r23_concept_rerank", f"WITH {_ENT} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM es WHERE concept_id = 'c1'")
+_OF = "coalesce(sum(CASE WHEN concept_id = '{0}' THEN hits END), 0)"
+
+
+@query("r23_concept_rerank", f"""
+WITH {_ENT}, f AS (SELECT c.query_id, c.id, {_OF.format('c1')} AS own, {_OF.format('c3')} AS bad, coalesce(sum(hits), 0) AS total FROM cand c LEFT JOIN n ON n.id = c.id GROUP BY 1, 2),
+sc AS (SELECT *, CASE WHEN total = 0 THEN 0.0 ELSE round(1.2::DOUBLE * own - 0.45::DOUBLE * (total - own) - 1.1::DOUBLE * bad + 0.15::DOUBLE * own / total, 9) END AS score FROM f)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM sc""")
 def _(v):
     return R.concept_rerank(entities(v, keep=True), "c1", ["c3"])
 
 
 @query("r24_purity", f"""
-WITH {_ENT}, g AS (SELECT query_id, id, rank, bool_or(concept_id = 'c1') AS own, bool_or(concept_id = 'c2') AS bad FROM eh GROUP BY 1, 2, 3), t AS (SELECT *, CASE WHEN own AND NOT bad THEN 1 WHEN NOT bad THEN 2 ELSE 3 END AS tier FROM g),
+WITH {_ENT}, g AS (SELECT c.query_id, c.id, c.rank, coalesce(bool_or(concept_id = 'c1'), false) AS own, coalesce(bool_or(concept_id = 'c2'), false) AS bad FROM cand c LEFT JOIN n ON n.id = c.id GROUP BY 1, 2, 3), t AS (SELECT *, CASE WHEN own AND NOT bad THEN 1 WHEN NOT bad THEN 2 ELSE 3 END AS tier FROM g),
 b AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM t) SELECT query_id, id, rank, tier FROM b WHERE best = 3 OR tier <= best""")
 def _(v):
     return R.purity_tiers(entities(v, keep=True), "c1", "c2")
@@ -227,7 +234,7 @@ def _(v):
     return R.bundles(R.entity_scores(entities(v), ["c3"]), per_side=3).select("query_id", "concept_id", "ids", F.round("support", 6).alias("support"))
 
 
-@query("r33_complete_evidence", f"WITH {_ENT} SELECT query_id, count(DISTINCT concept_id) AS concepts, count(DISTINCT concept_id) >= 3 AS complete FROM eh GROUP BY 1")
+@query("r33_complete_evidence", f"WITH {_ENT} SELECT query_id, count(DISTINCT concept_id) AS concepts, count(DISTINCT concept_id) >= 3 AS complete FROM cand c LEFT JOIN n ON n.id = c.id GROUP BY 1")
 def _(v):
     return R.complete_evidence(entities(v, keep=True), 3)
 

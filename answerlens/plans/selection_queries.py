@@ -123,3 +123,11 @@ SELECT coalesce(a.q, b.q) AS query_id, coalesce(a.s <> b.s, true) AS distinct FR
 def _(v):
     x = S.allowed_lines(lines(v), TARGETS, FORBIDDEN)
     return S.distinct_evidence(x.filter("query_id % 2 = 0"), x.filter("query_id % 2 = 1").withColumn("query_id", F.col("query_id") - 1))
+
+
+@query("q15_gates", """
+WITH x AS (SELECT id AS query_id, num_chunks_hit AS hits, id % 7 = 0 AS spam, is_low_confidence AS low, id % 3 AS targets, id % 5 <> 0 AS complete FROM <retrieval_logs>)
+SELECT query_id, CASE WHEN hits = 0 THEN 'empty' WHEN spam THEN 'spam' WHEN low AND targets = 0 THEN 'low_confidence_no_target' WHEN NOT complete THEN 'incomplete' WHEN low THEN 'retry_wider' ELSE 'answer' END AS gate FROM x""")
+def _(v):
+    id_ = F.col("id")
+    return S.gates(v.retrieval_logs.select(id_.alias("query_id"), F.col("num_chunks_hit").alias("hits"), (id_ % 7 == 0).alias("spam"), F.col("is_low_confidence").alias("low"), (id_ % 3).alias("targets"), (id_ % 5 != 0).alias("complete")))

@@ -74,7 +74,7 @@ def _(v):
     return two.unionByName(three)
 
 
-@query("t8_fold", f"SELECT doc_id, md5(translate(text, '{T.FOLD_FROM}', '{T.FOLD_TO}')) AS folded FROM <documents>")
+@query("t8_fold", "SELECT doc_id, md5(strip_accents(text)) AS folded FROM <documents>")
 def _(v):
     return v.documents.select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded"))
 
