@@ -81,15 +81,20 @@ def _features(k: int):
 ID_BITS = 25
 
 
-def _slots(ids):
-    """A place among 2**ID_BITS for each id; of numpy arrays and, written alike, of columns in _id_bits."""
-    return (ids ^ (ids >> ID_BITS) ^ (ids >> 2 * ID_BITS)) & ((1 << ID_BITS) - 1)
+def _slots(ids: np.ndarray) -> np.ndarray:
+    """A place among 2**ID_BITS for each id, evenly dealt whatever the ids look like."""
+    return (bh.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+
+def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_slots(batch.column(0).to_numpy(zero_copy_only=False)))], ["at"])
 
 
 def _id_bits(ids: DataFrame, spark: SparkSession):
     """A broadcast bit per id's place; other ids may share it, so what it picks is joined with ids afterwards."""
-    at = F.col("id").bitwiseXOR(F.shiftright("id", ID_BITS)).bitwiseXOR(F.shiftright("id", 2 * ID_BITS)).bitwiseAND((1 << ID_BITS) - 1)
-    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 31 AS INT))")).alias("bits"))
+    at = ids.select("id").filter("id IS NOT NULL").mapInArrow(_slot_rows, "at long")
+    words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 31 AS INT))")).alias("bits"))
     out = np.zeros(1 << (ID_BITS - 5), dtype=np.uint32)
     found = words.toPandas()  # at most 2**20 rows of two numbers
     out[found["word"]] = found["bits"]

@@ -1,6 +1,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 
 from answerlens.llm import minhash
@@ -76,3 +77,9 @@ def test_estimate_follows_jaccard():
         r = minhash.registers(np.concatenate([np.sort(a), b]), np.array([0, len(a), len(a) + len(b)]))
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs(minhash.estimate(r[0], r[1]) - true) < 0.15
+
+
+def test_places_of_ids_are_even_for_row_numbers_too():
+    rows = np.concatenate([(np.int64(p) << 33) + np.arange(2000) for p in range(40)])
+    for ids in (rows, np.arange(80_000), -np.arange(1, 80_001), np.arange(80_000) << 40):
+        assert len(np.unique(minhash._slots(ids))) > 0.98 * len(ids)
