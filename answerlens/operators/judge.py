@@ -29,7 +29,8 @@ def verdicts(raw: DataFrame, text_col: str = "raw", pass_at: float = 0.68) -> Da
     x = F.from_json(js, "score double, pass boolean, dimensions map<string,double>, errors array<string>")
     dims = F.transform(F.map_values(x["dimensions"]), lambda d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)))
     mean = F.when(F.size(dims) > 0, F.aggregate(dims, F.lit(0.0), lambda a, d: a + d) / F.size(dims))
-    score = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["score"])), mean)
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["score"]))  # least and greatest skip nulls
+    score = F.when(x["score"].isNotNull(), held).otherwise(mean)
     return raw.select("id", score.alias("score"), F.coalesce(x["pass"], score >= pass_at).alias("passed"), F.when(score.isNull(), "critic_no_verdict").otherwise("ok").alias("verdict"))
 
 

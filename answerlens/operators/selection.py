@@ -105,7 +105,7 @@ def low_confidence(confidence: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def gates(queries: DataFrame) -> DataFrame:
     """(query_id, gate) from (hits, spam, low, complete): the first gate that applies."""
-    gate = F.when(F.col("hits") == 0, "empty").when("spam", "spam").when(F.col("low") & (F.col("targets") == 0), "low_confidence_no_target").when(~F.col("complete"), "incomplete").when("low", "retry_wider").otherwise("answer")
+    gate = F.when(F.col("hits") == 0, "empty").when(F.col("spam"), "spam").when(F.col("low") & (F.col("targets") == 0), "low_confidence_no_target").when(~F.col("complete"), "incomplete").when(F.col("low"), "retry_wider").otherwise("answer")
     return queries.select("query_id", gate.alias("gate"))
 
 
