@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from answerlens.llm.decontaminate import op4_decontaminate
 from answerlens.llm.embeddings import op7_embedding_near_dedup
+from answerlens.llm.filter_audit import op11_filter_audit
+from answerlens.llm.language import op12_language
 from answerlens.llm.licenses import op5_licenses
 from answerlens.llm.minhash import op1_minhash_near_dedup
 from answerlens.llm.mixing import op9_mix_sources
 from answerlens.llm.pii import op3_pii
 from answerlens.llm.quality import op10_quality
+from answerlens.llm.resampling import op13_resample
 from answerlens.llm.substrings import op8_substring_dedup
 from answerlens.llm.tokens import op2_token_counts
 from answerlens.llm.warc import op6_warc
@@ -18,6 +21,7 @@ QUERIES = {
     for f in (
         op1_minhash_near_dedup, op2_token_counts, op3_pii, op4_decontaminate, op5_licenses,
         op6_warc, op7_embedding_near_dedup, op8_substring_dedup, op9_mix_sources, op10_quality,
+        op11_filter_audit, op12_language, op13_resample,
     )
 }
 
@@ -40,4 +44,21 @@ SELECT page_id, octet_length(encode(h)) AS payload_bytes, array_to_string(list_t
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), nodes AS (SELECT vec_id AS id FROM v),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.e, y.e) >= 0.98), {_REACH}
 SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM comps""",
+    "op11_filter_audit": r"""
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+docs AS (SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
+  [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)] AS f
+  FROM words LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM docs GROUP BY ALL),
+orders(o) AS (SELECT '' UNION ALL SELECT o || l FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE length(o) < 5 AND NOT contains(o, l)),
+steps AS (SELECT o AS filter_order, unnest(range(1, 6)) AS step FROM orders WHERE length(o) = 5),
+told AS (SELECT part, filter_order, step::INT AS step, filter_order[step] AS letter, n, good, toxic, f[ord(filter_order[step]) - 64] AS fails,
+  len(list_filter(range(1, step), lambda k: f[ord(filter_order[k]) - 64])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS all_fails FROM cells, steps),
+got AS (SELECT part, filter_order, step, any_value(letter) AS letter, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails AND all_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM told GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM got
+""",
 }
