@@ -100,11 +100,6 @@ def _(v):
     return T.expand_aliases(q, aliases).select("id", F.array_join("terms", " ").alias("terms"))
 
 
-@query("t11_units")
-def _(v):
-    return v.documents.select("doc_id", F.posexplode(T.units(F.col("text"))).alias("pos", "unit"))
-
-
 @query("t12_term_hits", f"SELECT doc_id, len(list_filter({_TOK.format('text')}, lambda t: t = 'the')) AS the_hits, contains(lower(text), 'of the')::INT AS phrase_hits FROM <documents>")
 def _(v):
     return v.documents.select("doc_id", T.term_hits(F.col("text"), "the").cast("long").alias("the_hits"), T.term_hits(F.col("text"), "of the").alias("phrase_hits"))
