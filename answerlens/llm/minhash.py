@@ -77,8 +77,9 @@ def _features(k: int):
     return run
 
 
-#: Bits of the set of ids that picks texts while they are scanned: 4 MB at most, whatever the number of ids.
-ID_BITS = 25
+#: Bits of the set of ids that picks texts while they are scanned: 4 MB at most, whatever the number of ids; and the share of
+#: its places that may be taken, beyond which it would pick too many other texts.
+ID_BITS, ID_FILL = 25, 0.25
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
@@ -91,36 +92,52 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_slots(batch.column(0).to_numpy(zero_copy_only=False)))], ["at"])
 
 
-def _id_bits(ids: DataFrame, spark: SparkSession):
-    """A broadcast bit per id's place; other ids may share it, so what it picks is joined with ids afterwards."""
-    at = ids.select("id").filter("id IS NOT NULL").mapInArrow(_slot_rows, "at long")
+def _id_bits(ids: DataFrame, bits: int) -> np.ndarray | None:
+    """A bit per id's place, None where so many are taken that it says little; other ids may share a place."""
+    at = ids.select("id").filter("id IS NOT NULL").mapInArrow(_slot_rows, "at long").select(F.shiftright("at", ID_BITS - bits).alias("at"))
     words = at.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 31 AS INT))")).alias("bits"))
-    out = np.zeros(1 << (ID_BITS - 5), dtype=np.uint32)
+    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
     found = words.toPandas()  # at most 2**20 rows of two numbers
     out[found["word"]] = found["bits"]
-    return spark.sparkContext.broadcast(out)
+    return out if np.bitwise_count(out).sum() <= ID_FILL * (1 << bits) else None
 
 
-def _full_sets(k: int, held):
+def _set_rows(ids: pa.Array, texts: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
+    data, offsets = bh.text_bytes(texts)
+    for i, j in bh.chunks(offsets):
+        hashes, begin = _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+        lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(hashes.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([ids[i:j], lists], ["id", "items"])
+
+
+def _full_sets(k: int, held=None, bits: int = ID_BITS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy()
-            at = _slots(ids)
-            seen = (held.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)
-            batch = batch.filter(pa.array((seen == 1) & np.asarray(batch.column(0).is_valid())))
-            data, offsets = bh.text_bytes(batch.column(1))
-            for i, j in bh.chunks(offsets):
-                hashes, begin = _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], lists], ["id", "items"])
+            if held is not None:
+                at = _slots(batch.column(0).fill_null(-1).to_numpy()) >> (ID_BITS - bits)
+                seen = (held.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)
+                batch = batch.filter(pa.array((seen == 1) & np.asarray(batch.column(0).is_valid())))
+            yield from _set_rows(batch.column(0), batch.column(1), k)
 
     return run
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, spark: SparkSession, scratch: Scratch, k: int) -> DataFrame:
-    """(id, items): the full sets of the texts with these ids. Texts are picked while they are scanned, not shuffled."""
-    found = docs.mapInArrow(_full_sets(k, _id_bits(ids, spark)), "id long, items array<long>").filter("size(items) > 0")
-    return scratch.save(scratch.save(found, "picked", scan=True).join(ids, "id", "left_semi"), "sets")
+def _sets_of(docs: DataFrame, ids: DataFrame, spark: SparkSession, scratch: Scratch, k: int, *, bits: int = ID_BITS) -> DataFrame:
+    """(id, items): the full sets of the texts with these ids, and of no others.
+
+    While the ids take up to a quarter of the bit set's places, texts are picked as they are scanned: at most a quarter of
+    the others is picked too, and goes in a join before anything else. More ids are joined with the texts first, so
+    that a set is only made of a text that is asked for, at any number of ids.
+    """
+    schema = "id long, items array<long>"
+    picked = _id_bits(ids, bits)
+    if picked is None:
+        found = docs.join(ids.select("id"), "id", "left_semi").select("id", "text").mapInArrow(_full_sets(k), schema)
+        return scratch.save(found.filter("size(items) > 0"), "sets")
+    found = scratch.save(docs.mapInArrow(_full_sets(k, spark.sparkContext.broadcast(picked), bits), schema).filter("size(items) > 0"), "picked", scan=True)
+    sets = scratch.save(found.join(ids, "id", "left_semi"), "sets")
+    scratch.drop(found)
+    return sets
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -242,26 +259,32 @@ def minhash_near_duplicates(documents: DataFrame, spark: SparkSession, *, thresh
     sides = reps.select("id", "n", "sig")
     first = first.join(sides.select(F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(sides.select(F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
     first = first.select("a", "b", "sa", "sb", F.least("na", "nb").alias("n")).mapInArrow(_likely(threshold), "a long, b long")
-    links = _verified(docs, scratch.save(first, "candidates"), spark, scratch, shingle, threshold)
+    candidates = scratch.save(first, "candidates")
+    links = _verified(docs, candidates, spark, scratch, shingle, threshold)
+    scratch.drop(candidates, buckets)
     # the smallest id linked, and what that is linked to: rows of one label are connected, rows of two may be
     label = scratch.save(links.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("label")), "labels")
     label = label.join(label.select(F.col("id").alias("label"), F.col("label").alias("next")), "label", "left").select("id", F.coalesce("next", "label").alias("comp"))
 
     others = members.filter("id <> hub AND size > 2").join(scratch.save(label, "labels"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     others = scratch.save(others.select("band", "key", "id", "comp"), "others")
+    scratch.drop(members)
     mixed = others.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
     mixed = scratch.save(mixed.select("band", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
     rows = others.join(mixed, ["band", "key"]).join(sides, "id")
     likely = scratch.save(_block_pairs(rows, ["band", "key"]).applyInArrow(_compare(threshold), "src long, dst long").distinct(), "likely")
+    scratch.drop(others, mixed)
     groups = components(likely, scratch)
     sizes = scratch.save(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     sets = _sets_of(docs, groups.select(F.col("node").alias("id")), spark, scratch, shingle)
     rows = groups.join(sizes, "component").withColumnRenamed("node", "id").join(sets, "id")
     second = scratch.save(_block_pairs(rows, ["component"]).applyInArrow(_confirm(threshold), "src long, dst long").distinct(), "second")
+    scratch.drop(sets)
     comps = components(links.unionByName(second), scratch)
 
     rep = reps.select("f1", "f2", F.col("id").alias("rep")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     rep = scratch.save(rep.select("f1", "f2", F.coalesce("component", "rep").alias("component")), "groups")
+    scratch.keep(feats, rep)
     found = feats.filter("n > 0").join(rep, ["f1", "f2"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     out = found.unionByName(feats.filter("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
@@ -274,7 +297,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, spark: SparkSession, scratch: S
     both = F.size(F.array_intersect("xa", "xb")).cast("long")
     x = x.select("a", "b", both.alias("both"), (F.size("xa") + F.size("xb")).cast("long").alias("all"))
     hundredths = round(threshold * 100)
-    return scratch.save(x.filter(f"100 * both >= {hundredths} * (all - both)").select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    links = scratch.save(x.filter(f"100 * both >= {hundredths} * (all - both)").select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+    scratch.drop(sets)
+    return links
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables that cut lineage: lost executors reread files instead of recomputing the job.
 
-    ``save`` writes a table and returns it as read back; ``drop`` deletes one that no later step reads. Spark deletes the
-    shuffle files of a finished write when the driver collects the plan as garbage, so ``save`` asks for that at once.
+    ``save`` writes a table and returns it as read back; ``drop`` deletes one that no later step reads, ``keep`` all but
+    those that the result reads; ``close`` deletes what is left once the result is written. Spark deletes the shuffle files
+    of a finished write when the driver collects the plan as garbage, so ``save`` asks for that at once.
     """
 
     def __init__(self, spark: SparkSession):
@@ -58,3 +59,11 @@ class Scratch:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t)))
             path.getFileSystem(conf).delete(path, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables written here but these."""
+        mine = {id(t) for t in tables}
+        self.drop(*[t for t in self.kept if id(t) in self.paths and id(t) not in mine])
+
+    def close(self) -> None:
+        self.keep()

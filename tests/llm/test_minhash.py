@@ -3,8 +3,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from answerlens.llm import minhash
+from answerlens.llm.scratch import Scratch
 
 
 def sets_of(docs):
@@ -83,3 +85,26 @@ def test_places_of_ids_are_even_for_row_numbers_too():
     rows = np.concatenate([(np.int64(p) << 33) + np.arange(2000) for p in range(40)])
     for ids in (rows, np.arange(80_000), -np.arange(1, 80_001), np.arange(80_000) << 40):
         assert len(np.unique(minhash._slots(ids))) > 0.98 * len(ids)
+
+
+def test_sets_of_many_ids_come_by_a_join(spark, docs):
+    d = docs([f"{i} one two three four five six" for i in range(200)] + [(None, "null id here")]).select(F.col("doc_id").alias("id"), "text")
+    ids = spark.createDataFrame([(i,) for i in range(0, 200, 3)], "id long")
+    scratch = Scratch(spark)
+    picked = {r["id"]: r["items"] for r in minhash._sets_of(d, ids, spark, scratch, 5).collect()}
+    # 67 ids on 64 places: too many to pick by
+    joined = {r["id"]: r["items"] for r in minhash._sets_of(d, ids, spark, scratch, 5, bits=6).collect()}
+    assert picked == joined and sorted(picked) == list(range(0, 200, 3))
+    assert minhash._id_bits(ids, 6) is None and minhash._id_bits(ids, minhash.ID_BITS) is not None
+
+
+def test_results_stay_when_other_tables_go(spark, docs):
+    scratch = Scratch(spark)
+    a, b = (scratch.save(docs(["x", "y"]), n) for n in "ab")
+    paths = dict(scratch.paths)
+    scratch.keep(b)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    there = lambda p: jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p))
+    assert not there(paths[id(a)]) and there(paths[id(b)]) and b.count() == 2
+    scratch.close()
+    assert not there(paths[id(b)])
