@@ -2,9 +2,10 @@
 
 Every rolling pair of words of a text is hashed and joined to the places where a template has the same pair. Pairs of
 one template that keep their distance to it lie on one diagonal (text position less template position); a diagonal's
-votes are counted, neighbouring diagonals are merged, and a span counts when enough of the template stands there. Each
-vote is verified on the words themselves, so a span holds what it says whatever the hashes do. A text is read and split
-once. DataFrame functions only.
+votes are counted, neighbouring diagonals are merged, and groups that hold enough of the template are candidates. A
+candidate is verified: its votes must stand in the template's order, within a stretch of the text little longer than
+the template. Each vote is verified on the words themselves, so a span holds what it says whatever the hashes do. A text
+is read and split once. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ STATEMENTS = [
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("mozilla public license version 2 0", "mpl"),
 ]
-#: Share of a statement's pairs that a span must hold, and how far apart diagonals may lie to be merged.
-SHARE, NEIGHBOUR = 0.7, 2
+#: Share of a statement's pairs that a span must hold, how far apart diagonals may lie to be merged, and the share of a
+#: statement's words by which a span may be longer than it.
+SHARE, NEIGHBOUR, LONGER = 0.7, 2, 0.3
 
 
 def lower_words(text: Column) -> Column:
@@ -74,8 +76,8 @@ def license_hits(documents: DataFrame, pairs: DataFrame, *, id_col: str = "doc_i
 def license_spans(hits: DataFrame, t: DataFrame) -> DataFrame:
     """(id, key, template, label, exact, start, n, share): one row per span in the hits of the templates t.
 
-    A base phrase has one row per place where all its words stand; a statement one row per merged group of diagonals,
-    those with a single vote among them, that together hold 70 % of its word pairs. Templates have at least two words;
+    A base phrase has one row per place where all its words stand; a statement one row per merged group of diagonals that
+    holds a stretch with 70 % of its word pairs in order, the best one. Templates have at least two words;
     they are given in code, so broadcasting them is bounded. Null texts, empty texts and texts of one word have no
     spans. Rows that repeat id and text count once here.
     """
@@ -86,10 +88,35 @@ def license_spans(hits: DataFrame, t: DataFrame) -> DataFrame:
 
     w = W.partitionBy("id", "key", "template").orderBy("diagonal")
     near = votes.filter("NOT exact").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > NEIGHBOUR).cast("int"), F.lit(1)))
-    near = near.withColumn("run", F.sum("new").over(w)).groupBy("id", "key", "template", "label", "exact", "n", "run")
-    held = F.size(F.array_distinct(F.flatten(F.collect_list("places"))))  # a pair that votes on two diagonals is held once
-    near = near.agg(F.min(F.col("diagonal") + F.array_min("places")).alias("start"), (held / (F.first("n") - 1)).alias("share")).filter(F.col("share") >= SHARE)
-    return whole.unionByName(near.select("id", "key", "template", "label", "exact", "start", "n", "share"))
+    near = near.withColumn("run", F.sum("new").over(w))
+    group = ["id", "key", "template", "label", "exact", "n", "run"]
+    near = near.select(*group, "diagonal", F.explode("places").alias("at"))
+    likely = near.groupBy(*group).agg(F.size(F.collect_set("at")).alias("held")).filter(F.col("held") >= SHARE * (F.col("n") - 1))
+    likely = near.join(likely.select(F.col("id").alias("i"), F.col("key").alias("k"), F.col("template").alias("t"), F.col("run").alias("r")), F.expr("id <=> i AND key = k AND template = t AND run = r"), "left_semi")
+    best = verified_spans(likely.withColumn("pos", F.col("diagonal") + F.col("at")), group, t)
+    return whole.unionByName(best.select("id", "key", "template", "label", "exact", "start", "n", "share"))
+
+
+def verified_spans(votes: DataFrame, group: list[str], t: DataFrame) -> DataFrame:
+    """The best stretch of each group of votes (pos in the text, at in the template) of templates of n words.
+
+    From each vote on, the votes within the template's length and LONGER of it are read, and the longest chain among them
+    whose places rise in the text and in the template is counted; the largest share counts, then the first start. A stretch
+    holds a bounded number of votes, so nothing grows with the text but the number of stretches.
+    """
+    span = F.col("n") - 2 + F.floor(LONGER * F.col("n")).cast("int")
+    # a range frame takes a constant, so the widest of all templates is read and cut to the template's own
+    widest = t.agg(F.max(span)).first()[0] or 0
+    w = W.partitionBy(*group).orderBy("pos").rangeBetween(0, widest)
+    x = votes.withColumn("stretch", F.collect_list(F.struct("pos", "at")).over(w))
+    x = x.withColumn("stretch", F.filter("stretch", lambda v: v["pos"] <= F.col("pos") + span))
+    x = x.filter(F.size(F.array_distinct(F.transform("stretch", lambda v: v["at"]))) >= SHARE * (F.col("n") - 1))
+    # of one place in the text the later places in the template first, so that a chain takes one of them; best[i] is the longest chain that ends at i
+    order = F.array_sort(F.transform("stretch", lambda v: F.struct(v["pos"].alias("pos"), (-v["at"]).alias("back"))))
+    zero = F.array_repeat(F.lit(0), F.col("n") - 1)
+    longer = lambda best, v: F.transform(best, lambda c, i: F.when(i == -v["back"], F.greatest(c, 1 + F.coalesce(F.array_max(F.slice(best, 1, -v["back"])), F.lit(0)))).otherwise(c))
+    x = x.withColumn("share", F.array_max(F.aggregate(order, zero, longer)) / (F.col("n") - 1)).filter(F.col("share") >= SHARE)
+    return x.groupBy(*group).agg(F.max(F.struct("share", (-F.col("pos")).alias("back"))).alias("x")).select(*group, F.col("x.share").alias("share"), (-F.col("x.back")).alias("start"))
 
 
 def license_labels(documents: DataFrame, spark: SparkSession, *, phrases: list | None = None, statements: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
