@@ -8,13 +8,15 @@ sample, is a candidate, and an exact alignment decides.
 Walks of a text don't depend on a window's length as long as they stay inside it, so one walk from each word serves the
 items of all lengths. Long items are cut into parts of 10 to 13 words (7 to 9 for items of 14 to 19 words): one part at
 least has no more than one of the accepted edits, and each part is looked up as an item of its own. An edit desynchronises
-what follows it in the direction of the walk only, so forward and backward walks find it from both sides.
+what follows it in the direction of the walk only, so forward and backward walks find it from both sides. Items of up to six
+words, of which none may be edited, are read by one walk that always moves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,11 @@ from answerlens.llm import bytehash as bh
 
 #: Share of an item's words that may be edited.
 EDITED = 0.15
-#: Independent walks in each direction.
+#: Independent walks in each direction, and the walk that always moves on, for items that must stand unedited.
 WALKS = 4
+STRAIGHT = 2 * WALKS
+#: Ends of stretches that are traced back at a time.
+ENDS = 4096
 #: Steps whose symbols a sample compares, for parts of up to 9 words and for longer ones; each walk has all samples.
 SHORT = ((0, 2, 4), (1, 3, 5))
 LONG = ((0, 2, 4, 7), (1, 3, 5, 8), (2, 4, 6, 9))
@@ -55,6 +60,8 @@ def parts_of(n: int) -> list[tuple[int, int]]:
 
 def step_bits(words: np.ndarray, walk: int) -> np.ndarray:
     """32 bits per word: whether the walk moves on from the word at steps 0 to 31."""
+    if walk == STRAIGHT:
+        return np.full(len(words), 0xFFFFFFFF, dtype=np.uint32)
     return (bh.mix(words + bh._STEP[40 + walk]) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -84,10 +91,10 @@ class Items:
             for first, end in parts_of(len(w)):
                 alone = end - first == len(w) <= SHORT_PART
                 for sample in samples_of(end - first):
-                    for walk in range(2 * WALKS):
+                    for walk in [STRAIGHT] if len(w) <= WHOLE else range(2 * WALKS):
                         part, place = (w[first:end], first) if walk % 2 == 0 else (w[first:end][::-1], end)
                         at = _walk_of(part, walk, sample[-1] + 1)
-                        if at[-1] < len(part) and len({at[t] for t in sample}) >= min(len(sample), LEAST_ALONE if alone else LEAST, len(w)):
+                        if at[-1] < len(part) and len({at[t] for t in sample}) >= min(len(sample), LEAST_ALONE if alone else LEAST):
                             symbols = part[np.array([at[t] for t in sample])]
                             key = int(_key([symbols[k : k + 1] for k in range(len(sample))])[0])
                             found.setdefault((walk, sample), []).append((key, int(symbols[0]), i, place))
@@ -139,7 +146,7 @@ def candidates(words: np.ndarray, at: np.ndarray, items: Items) -> np.ndarray:
     padding = np.zeros(items.steps, dtype=np.uint64)
     lines = [np.concatenate([x, padding]) for x in (words, words[::-1])]
     highs = [(x >> np.uint64(64 - items.bits)).astype(np.int32) for x in lines]
-    for walk in range(2 * WALKS):
+    for walk in range(2 * WALKS + 1):
         samples = [s for w, s in items.index if w == walk]
         if not samples:
             continue
@@ -190,13 +197,19 @@ def best_stretch(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, in
     dist = int(row.min())
     if dist > most:
         return None
-    ends = np.flatnonzero(row == dist)
-    # backwards from each end; what lies before the text's first word is never part of a stretch
-    back = ends[:, None] - 1 - np.arange(min(len(text), len(item) + dist))[None, :]
-    size = _last_row(item[::-1], text[np.maximum(back, 0)], False) if len(text) else np.full((len(ends), 1), dist)
-    which, n = np.nonzero((size == dist) & (np.arange(size.shape[1])[None, :] <= ends[:, None]))
-    _, first, end = min((abs(int(k) - len(item)), int(ends[w] - k), int(ends[w])) for w, k in zip(which, n, strict=True))
-    return dist, first, end
+    ends, best = np.flatnonzero(row == dist), None
+    for some in np.array_split(ends, len(ends) // ENDS + 1):
+        # backwards from each end; what lies before the text's first word is never part of a stretch
+        back = some[:, None] - 1 - np.arange(min(len(text), len(item) + dist))[None, :]
+        size = _last_row(item[::-1], text[np.maximum(back, 0)], False) if len(text) else np.full((len(some), 1), dist)
+        which, n = np.nonzero((size == dist) & (np.arange(size.shape[1])[None, :] <= some[:, None]))
+        off, first, end = np.abs(n - len(item)), some[which] - n, some[which]
+        for k in np.lexsort((end, first, off))[:1]:
+            found = (int(off[k]), int(first[k]), int(end[k]))
+            best = found if best is None else min(best, found)
+        if best and best[0] == 0:  # later ends give later stretches
+            break
+    return dist, best[1], best[2]
 
 
 def _search(held):
@@ -214,21 +227,30 @@ def _search(held):
 
 
 def _matches(words: np.ndarray, at: np.ndarray, items: Items) -> Iterator[tuple]:
-    known: tuple | None = None
-    for d, i, s in candidates(words, at, items).tolist():
+    """The closest stretch of each region; regions of one item in one text that overlap are aligned as one."""
+    for d, i, first, end in _regions(candidates(words, at, items), at, items):
         most, n = items.most[i], len(items.words[i])
-        if s + n + most <= at[d] or s - most >= at[d + 1]:
-            continue
-        first, end = max(at[d], s - most), min(at[d + 1], s + n + most)
         # each word of the item that isn't edited stands in the region
         if np.isin(items.words[i], words[first:end]).sum() < n - most:
             continue
         best = best_stretch(items.words[i], words[first:end], most)
         if best:
-            found = (d, items.ids[i], int(first - at[d]) + best[1], int(first - at[d]) + best[2], best[0], abs(best[2] - best[1] - n))
-            if found != known:
-                yield found
-            known = found
+            yield d, items.ids[i], int(first - at[d]) + best[1], int(first - at[d]) + best[2], best[0], abs(best[2] - best[1] - n)
+
+
+def _regions(found: np.ndarray, at: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first, end) around the candidates, which come in order."""
+    if not len(found):
+        return
+    d, i, s = found.T
+    most, n = np.array(items.most)[i], np.array([len(w) for w in items.words])[i]
+    first, end = np.maximum(at[d], s - most), np.minimum(at[d + 1], s + n + most)
+    inside = first < end
+    d, i, first, end = d[inside], i[inside], first[inside], end[inside]
+    if len(d):
+        new = np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (first[1:] > end[:-1]))
+        start = np.flatnonzero(new)
+        yield from zip(d[start].tolist(), i[start].tolist(), first[start].tolist(), np.maximum.reduceat(end, start).tolist(), strict=True)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +265,8 @@ def benchmark_matches(documents: DataFrame, benchmark: DataFrame, spark: SparkSe
 
     A stretch of words, of any length, matches when at most ``edited`` of the item's words (lower-cased, split at white
     space) are inserted, deleted or replaced. Of one document and item the closest stretch is returned, of equally
-    close ones that whose length is nearest to the item's, then the first. An unedited passage is always found, edited
-    ones with the chances that the README gives; what is found has its exact distance in that place.
+    close ones that whose length is nearest to the item's, then the first. Items of up to six words must stand unedited and
+    are always found; longer ones are found with the chances that the README gives, and have the exact distance there.
 
     The benchmark is read in passes of at most PASS_WORDS words, so its size in a worker is bounded; documents are
     never shuffled. Null or empty texts and items match nothing; rows that share a doc_id are one document and the
@@ -255,7 +277,7 @@ def benchmark_matches(documents: DataFrame, benchmark: DataFrame, spark: SparkSe
     hashed = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("t")).mapInArrow(_hashed, "id long, words array<long>").filter("size(words) > 0")
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out, block, held = None, [], 0
-    for row in [*hashed.orderBy("id", F.xxhash64("words")).toLocalIterator(), None]:
+    for row in chain(hashed.orderBy("id", F.xxhash64("words")).toLocalIterator(), [None]):
         if block and (row is None or held + len(row.words) > PASS_WORDS):
             part = docs.mapInArrow(_search(spark.sparkContext.broadcast(Items(block, edited))), "id long, item_id long, first_word long, end_word long, distance int, off long")
             out, block, held = part if out is None else out.unionByName(part), [], 0

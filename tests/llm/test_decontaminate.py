@@ -1,6 +1,7 @@
 """Passages with inserted and deleted words, up to the accepted share of edits."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -132,3 +133,34 @@ def test_repeats_clashes_long_texts_and_empty_tables(spark, docs):
     assert got == [(1, "7", 200_000, 200_020, 0), (1, "None", 200_000, 200_020, 0), (2, "7", 0, 20, 0), (2, "None", 0, 20, 0)]
     assert sorted(r.doc_id for r in dc.drop_contaminated(d, bench, spark).collect()) == [3, 4] and dc.drop_contaminated(d, bench, spark).columns == d.columns
     assert dc.benchmark_matches(d.limit(0), bench, spark).count() == dc.benchmark_matches(d, bench.limit(0), spark).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6])
+def test_unedited_short_items_are_always_found(n):
+    rng = random.Random(70 + n)
+    items = [_words(rng, n) for _ in range(1500)]
+    texts = [_words(rng, 3) + x + _words(rng, 3) for x in items]
+    assert {(i, i) for i in range(1500)} <= _found(items, texts)
+    twice = [[w, w] for w in _words(rng, 50)]
+    assert {(i, i) for i in range(50)} <= _found(twice, [_words(rng, 2) + x + _words(rng, 2) for x in twice])
+
+
+def test_repetitive_texts_and_items_cost_little_and_give_the_first_place():
+    rng = random.Random(8)
+    line = _words(rng, 5)
+    started = time.monotonic()
+    for item, text in ((line * 8, line * 800), (line[:1] * 40, line[:1] * 4000), (line * 3, [*_words(rng, 9), *line * 2000])):
+        held = dc.Items([(1, item)])
+        got = list(dc._matches(np.array(text, dtype=np.uint64), np.array([0, len(text)]), held))
+        assert [(m[0], m[1], m[4], m[5]) for m in got] == [(0, 1, 0, 0)]
+        assert text[got[0][2] : got[0][3]] == item and got[0][2] == (9 if text[:5] != line and len(set(text)) > 1 else 0)
+    assert time.monotonic() - started < 20
+
+
+def test_a_large_benchmark_takes_passes(spark, docs, monkeypatch):
+    rng = random.Random(5)
+    items = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(12)) for _ in range(30)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(dc, "PASS_WORDS", 50)
+    got = {(r.doc_id, r.item_id) for r in dc.benchmark_matches(docs(["start " + x + " end" for x in items]), bench, spark).collect()}
+    assert got == {(i, i) for i in range(30)}
