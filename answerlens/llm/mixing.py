@@ -22,8 +22,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Mean number of rows that are ranked in one task's group.
 CELL = 4096
-#: Most Newton steps, and the share of a target by which its sum may be off.
-NEWTON_STEPS, CLOSE = 60, 1e-7
+#: Most Newton steps, the share of a target by which its sum may be off, and the steps that are taken between two writes.
+NEWTON_STEPS, CLOSE, UNWRITTEN = 60, 1e-7, 5
 
 
 def word_count(text: Column) -> Column:
@@ -73,23 +73,26 @@ def balance(classes: DataFrame, targets: DataFrame, scratch: Scratch, *, most: i
     scale = F.col("source_size") / F.col("filled")
     state = targets.filter((F.col("target") > 0) & (F.col("target") < F.col("source_size") * most))
     nothing = F.lit(None).cast("double")
+    names = ["sid", "target", "scale", "tilt", "lo", "hi", "done"]
     state = scratch.save(state.select("sid", "target", scale.alias("scale"), F.lit(0.0).alias("tilt"), nothing.alias("lo"), nothing.alias("hi"), F.lit(False).alias("done")), "tilts")
-    for _ in range(NEWTON_STEPS):
+    r, words = rate(F.col("size"), F.col("scale"), F.col("tilt"), most), F.col("docs") * F.col("size")
+    slope = F.when(r < most, words * F.col("size") / F.col("scale") * r).otherwise(0.0)
+    newton = F.when(F.col("slope") > 0, F.col("tilt") + F.col("gap") / F.col("slope"))
+    inside = newton.isNotNull() & (F.abs(newton) < 1e6) & F.coalesce(newton > F.col("lo"), F.lit(True)) & F.coalesce(newton < F.col("hi"), F.lit(True))
+    far = F.greatest(F.lit(1.0), F.abs("tilt"))
+    other = F.when(F.col("hi").isNull(), F.col("tilt") + far).when(F.col("lo").isNull(), F.col("tilt") - far).otherwise((F.col("lo") + F.col("hi")) / 2)
+    for _ in range(NEWTON_STEPS // UNWRITTEN):
         if state.filter("NOT done").isEmpty():
             break
-        r, words = rate(F.col("size"), F.col("scale"), F.col("tilt"), most), F.col("docs") * F.col("size")
-        sums = classes.join(state.filter("NOT done").select("sid", "scale", "tilt"), "sid").groupBy("sid").agg(
-            exact(words * r).alias("sum"), exact(F.when(r < most, words * F.col("size") / F.col("scale") * r).otherwise(0.0)).alias("slope")
-        )
-        x = state.join(sums, "sid", "left").withColumn("gap", F.col("target") - F.col("sum"))
-        x = x.withColumn("lo", F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("hi")))
-        newton = F.when(F.col("slope") > 0, F.col("tilt") + F.col("gap") / F.col("slope"))
-        inside = newton.isNotNull() & (F.abs(newton) < 1e6) & F.coalesce(newton > F.col("lo"), F.lit(True)) & F.coalesce(newton < F.col("hi"), F.lit(True))
-        far = F.greatest(F.lit(1.0), F.abs("tilt"))
-        other = F.when(F.col("hi").isNull(), F.col("tilt") + far).when(F.col("lo").isNull(), F.col("tilt") - far).otherwise((F.col("lo") + F.col("hi")) / 2)
-        done = F.col("done") | (F.abs("gap") <= CLOSE * F.col("target"))
-        x = x.withColumn("done", done).withColumn("tilt", F.when(F.col("done"), F.col("tilt")).when(inside, newton).otherwise(other))
-        state = scratch.save(x.select("sid", "target", "scale", "tilt", "lo", "hi", "done"), "tilts")
+        x, before = state, state
+        for _ in range(UNWRITTEN):  # the state goes along as the key of the sums, so that each step reads the classes once
+            x = classes.join(x, "sid").groupBy(*names).agg(exact(F.when(~F.col("done"), words * r)).alias("sum"), exact(F.when(~F.col("done"), slope)).alias("slope"))
+            x = x.withColumn("gap", F.when(~F.col("done"), F.col("target") - F.col("sum")))
+            x = x.withColumn("lo", F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("hi")))
+            x = x.withColumn("done", F.col("done") | (F.abs("gap") <= CLOSE * F.col("target")))
+            x = x.withColumn("tilt", F.when(F.col("done"), F.col("tilt")).when(inside, newton).otherwise(other)).select(*names)
+        state = scratch.save(x, "tilts")
+        scratch.drop(before)
     return state.select("sid", "tilt")
 
 
@@ -106,16 +109,20 @@ def class_rates(classes: DataFrame, scratch: Scratch, *, weights: tuple = WEIGHT
     return scratch.save(at.withColumn("before", before).select("sid", "source", "size", "docs", "source_size", "target", "rate", "before"), "rates")
 
 
-def ranks(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows (n, hash, sid, size, docs) with ``rank``: a number from 1 to docs inside each (sid, size).
+def rank_cells(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (n, hash, sid, size, docs), written, with the cell of about CELL rows that each is ranked in.
 
-    Ranks follow cells of about CELL rows, so that no source and size meets in one task: cells of the hash, and for a hash
-    that many rows share (repeats of one document, which are alike) cells of the row.
+    No source and size meets in one task: cells follow the hash, and for a hash that many rows share (repeats of one
+    document, which are alike) the row.
     """
     many = rows.groupBy("hash").agg(F.count("*").alias("copies")).filter(F.col("copies") > CELL)
     x = rows.join(many, "hash", "left").withColumn("own", F.when(F.col("copies").isNotNull(), F.col("hash")))
     salt = F.when(F.col("copies").isNull(), F.pmod("hash", F.ceil(F.col("docs") / CELL))).otherwise(F.pmod(F.xxhash64("n"), F.ceil(F.col("copies") / CELL)))
-    x = scratch.save(x.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("salt", salt).drop("copies"), "cells")
+    return scratch.save(x.withColumn("own", F.coalesce("own", F.lit(0))).withColumn("salt", salt).drop("copies"), "cells")
+
+
+def ranks(x: DataFrame) -> DataFrame:
+    """Rows with their cells and ``rank``: a number from 1 to docs inside each (sid, size)."""
     cell = ["sid", "size", "own", "salt"]
     earlier = W.partitionBy("sid", "size").orderBy("own", "salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = x.groupBy(*cell).agg(F.count("*").alias("held")).select(*cell, F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
@@ -146,10 +153,12 @@ def mix_sources(documents: DataFrame, *, weights: tuple = WEIGHTS, most: int = M
     classes = scratch.save(rows.groupBy("source", "size").agg(F.count("*").alias("docs")), "classes")
     rates = class_rates(classes, scratch, weights=weights, most=most).withColumnsRenamed({"source": "s", "size": "z"})
     narrow = rows.drop("row").join(rates, rows["source"].eqNullSafe(rates["s"]) & (rows["size"] == rates["z"])).drop("source", "s", "z")
-    ranked = ranks(narrow, scratch)
+    cells = rank_cells(narrow, scratch)
+    ranked = ranks(cells)
     passed = lambda k: F.floor(F.col("before") + (F.col("rank") - k) * F.col("rate") + 0.5)
     copies = F.greatest(F.lit(0), F.least(F.lit(most), passed(0) - passed(1))).cast("int")
     out = ranked.select("n", "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    scratch.keep(cells, rows) if keep else scratch.keep(cells)
     return out.join(rows.select("n", "row"), "n").drop("n") if keep else out.drop("n")
 
 
