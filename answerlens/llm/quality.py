@@ -88,13 +88,14 @@ def train_quality(documents: DataFrame, labels: DataFrame, spark: SparkSession,
     """Weights of 2**18 slots (slot 0 holds the bias too), the mean of the shards' models.
 
     Learns only from labelled rows whose crc32(id as text) modulo 5 is not 0, at most ``sample`` of them, those with
-    the smallest hash of their id. Null ids, null labels and rows without a document are left out. Without any row all
+    the smallest hash of their id; of rows that share an id one is read, that with the smallest hash of id and text. Null
+    ids, null labels and rows without a document are left out. Without any row all
     weights are 0 and every score is 0.5. The model is 2 MB whatever the input.
     """
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL AND crc32(CAST(id AS STRING)) % 5 <> 0")
     lab = lab.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = docs.join(F.broadcast(lab), "id").withColumn("turn", F.xxhash64("id", "text"))
+    rows = docs.join(F.broadcast(lab), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("id", "text").alias("turn"), "text", "label")).alias("x")).select("x.*")
     rows = rows.select(F.struct(F.pmod("turn", F.lit(SHARDS)).alias("shard"), "turn").alias("shard"), "label", "text")
     rows = rows.mapInArrow(_train_rows, "shard struct<shard:long,turn:long>, label double, slots array<int>, counts array<int>")
     models = rows.select("shard.*", "label", "slots", "counts").groupBy("shard").applyInPandas(_ftrl, "slot int, w double")

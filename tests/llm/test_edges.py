@@ -39,6 +39,15 @@ def test_quality_edges_and_clashes(spark, docs):
     assert not quality.train_quality(d.limit(0), spark.createDataFrame([], "doc_id long, quality int"), spark).any()
 
 
+def test_many_rows_of_one_id_teach_once(spark, docs):
+    rows = [(i, f"good {i} words") for i in range(1, 40)] + [(50 + i, f"bad {i} words") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 50), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    once = quality.train_quality(docs(rows), labels, spark)
+    assert (once == quality.train_quality(docs(rows + rows[:10] * 500), labels, spark)).all()
+    # texts that share an id: one of them is read
+    assert (quality.train_quality(docs([(1, "a b"), (1, "c d")]), labels, spark) != 0).sum() == 5  # four slots and the bias
+
+
 def test_ftrl_equals_a_dense_version():
     rng = np.random.default_rng(4)
     rows = pd.DataFrame({"turn": np.arange(30), "label": rng.integers(0, 2, 30).astype(float)})
