@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answerlens.sources.stored import stored
+
 # Words that queries drop, and two-letter words that are noise.
 STOPWORDS = """
 what how why when where who whom which whose explain tells tell describe summary summarize overview about between difference different compare comparison versus vs
@@ -66,14 +68,21 @@ def lecture_numbers(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: x.cast("int"))))
 
 
-def lecture_range(c: Column, most: int = 1000) -> Column:
-    """Numbers of '13 through 15', '3-5' or '3 to 5', expanded; a range that falls or is longer than ``most`` is none."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    pattern = r"([0-9]{1,6})\s*(?:-|–|to|through|thru)\s*([0-9]{1,6})"
-    pairs = F.arrays_zip(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(low, F.lit(pattern), F.lit(2)).alias("b"))
-    a, b = (lambda x: x["a"].cast("int")), (lambda x: x["b"].cast("int"))
-    fine = F.filter(pairs, lambda x: (a(x) <= b(x)) & (b(x) - a(x) < most))
-    return F.array_distinct(F.flatten(F.transform(fine, lambda x: F.sequence(a(x), b(x)))))
+# How a range of lectures is written.
+LECTURE_RANGE = r"(?i)(?:lecture|lec\.?|week)s?\s*([0-9]+)\s*(?:to|through|[-–—])\s*([0-9]+)"
+
+
+def lecture_spans(c: Column) -> Column:
+    """array<struct<low,high>> of ranges such as 'lectures 13 through 15' or 'week 3-5'; falling ranges, and numbers that no long holds, are left out."""
+    text = F.coalesce(c, F.lit(""))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(LECTURE_RANGE), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(LECTURE_RANGE), F.lit(2)).alias("b"))
+    spans = F.transform(pairs, lambda x: F.struct(x["a"].try_cast("long").alias("low"), x["b"].try_cast("long").alias("high")))
+    return F.filter(spans, lambda x: x["low"] <= x["high"])
+
+
+def lecture_range(c: Column) -> Column:
+    """All numbers of the ranges in a text, sorted, each once. The list is as long as the ranges say; lecture_spans has the ranges alone."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(lecture_spans(c), lambda x: F.sequence(x["low"], x["high"])))))
 
 
 def grams(terms: Column, n: int) -> Column:
@@ -168,3 +177,39 @@ def expand_aliases(tokens_of: DataFrame, aliases: DataFrame) -> DataFrame:
     all_words = t.select("id", F.lit(0).alias("kind"), "pos", F.lit(0).alias("sub"), F.col("term").alias("word")).unionByName(more.select("id", F.lit(1).alias("kind"), "pos", "sub", "word"))
     first = all_words.groupBy("id", "word").agg(F.min(F.struct("kind", "pos", "sub")).alias("at"))
     return first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("x")).select("id", F.transform("x", lambda r: r["word"]).alias("terms"))
+
+
+def phrase_places(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(query_id, concept_id, pos, n): where a phrase of n words stands in a text, for phrases of any number of words.
+
+    texts is (query_id, query_text), phrases (concept_id, term). A phrase is looked up by its first word, an equi-join with
+    the places of the text, and the words that follow are compared in place. Repeated phrases count once.
+    """
+    index = phrases.select("concept_id", tokens(F.col("term")).alias("words")).filter(F.size("words") > 0).distinct().withColumn("first", F.get("words", F.lit(0)))
+    longest = index.agg(F.max(F.size("words"))).first()[0] or 1
+    toks = texts.select("query_id", tokens(F.col("query_text")).alias("toks"))
+    places = toks.select("query_id", "toks", F.posexplode("toks").alias("pos", "first")).select("query_id", "pos", "first", F.slice("toks", F.col("pos") + 1, longest).alias("ahead"))
+    found = places.join(index, "first").filter(F.slice("ahead", F.lit(1), F.size("words")) == F.col("words"))
+    return found.select("query_id", "concept_id", "pos", F.size("words").alias("n"))
+
+
+def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, term): which terms a text contains, anywhere in it, whatever the case; texts is (id, text), terms (term).
+
+    Each term is looked up by the rarest of its grams of three characters (or by itself if it is shorter), an equi-join with
+    the grams of the texts; what is found is verified. Blank terms are in no text. The looked-up grams are a written table,
+    so that Spark knows their size when it picks the join.
+    """
+    low = texts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    t = terms.select(F.lower("term").alias("term")).filter(F.trim("term") != "").distinct().withColumn("n", F.least(F.length("term"), F.lit(3)))
+    grams_of = lambda c, n: F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    by_size = lambda c: F.when(F.col("n") == 3, grams_of(c, 3)).when(F.col("n") == 2, grams_of(c, 2)).otherwise(grams_of(c, 1))
+    asked = t.select("term", F.explode(F.array_distinct(by_size(F.col("term")))).alias("gram"))
+    asked = stored(asked, "grams")
+    sizes = sorted(r.n for r in asked.select(F.length("gram").alias("n")).distinct().collect()) or [3]  # three numbers at most
+    held = low.select("id", F.explode(F.array_distinct(F.concat(*[grams_of(F.col("text"), n) for n in sizes]))).alias("gram"))
+    counts = held.join(asked.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("count"))
+    rarest = asked.join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "gram")).alias("x"))
+    rarest = stored(rarest.filter("x.count > 0").select("term", "x.gram"), "rarest")
+    found = held.join(rarest, "gram").select("id", "term").distinct()
+    return low.join(found, "id").filter(F.contains("text", F.col("term"))).select("id", "term")

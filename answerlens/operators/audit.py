@@ -10,14 +10,11 @@ from answerlens.functions import text as T
 
 
 def chunks_per_concept(chunks: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:
-    """(concept_id, chunks, thin): chunks that contain any term of a concept; every concept has a row.
-
-    Terms are folded into one row of few columns per chunk scan: the term table is a parameter table, broadcast.
-    """
-    t = terms.select("concept_id", F.lower("term").alias("term")).distinct().groupBy("concept_id").agg(F.collect_set("term").alias("terms"))
-    low = chunks.select("id", F.lower(F.concat_ws(" ", "topic", "source_excerpt")).alias("blob"))
-    hit = low.join(F.broadcast(t), F.exists("terms", lambda x: F.contains("blob", x))).groupBy("concept_id").agg(F.countDistinct("id").alias("chunks"))
-    return t.select("concept_id").join(hit, "concept_id", "left").select("concept_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), (F.coalesce("chunks", F.lit(0)) < least).alias("thin"))
+    """(concept_id, chunks, thin): chunks that contain any term of a concept; every concept has a row."""
+    t = terms.select("concept_id", F.lower("term").alias("term")).distinct()
+    held = T.containing(chunks.select("id", F.concat_ws(" ", "topic", "source_excerpt").alias("text")), t.select("term"))
+    hit = held.join(t, "term").groupBy("concept_id").agg(F.countDistinct("id").alias("chunks"))
+    return t.select("concept_id").distinct().join(hit, "concept_id", "left").select("concept_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), (F.coalesce("chunks", F.lit(0)) < least).alias("thin"))
 
 
 def pattern_issues(items: DataFrame, patterns: list[tuple[str, str]], field: str) -> DataFrame:

@@ -32,12 +32,8 @@ def resolve_mode(queries: DataFrame, allowed: tuple = ("chat", "quiz", "compare"
 
 
 def linked_concepts(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, concepts, n): concepts whose terms a query names, by first place; words by equality, phrases as grams."""
-    toks = T.tokens(F.col("query_text"))
-    words = queries.select("query_id", F.posexplode(toks).alias("pos", "term"))
-    pairs = queries.select("query_id", F.posexplode(T.grams(toks, 2)).alias("pos", "term"))
-    found = words.unionByName(pairs).join(terms.select("concept_id", F.lower("term").alias("term")).distinct(), "term")
-    first = found.groupBy("query_id", "concept_id").agg(F.min("pos").alias("pos"))
+    """(query_id, concepts, n): concepts whose terms, of any number of words, a query names, by first place."""
+    first = T.phrase_places(queries, terms).groupBy("query_id", "concept_id").agg(F.min("pos").alias("pos"))
     out = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "concept_id"))).alias("x"))
     return out.select("query_id", F.array_join(F.transform("x", lambda r: r["concept_id"]), ",").alias("concepts"), F.size("x").cast("long").alias("n"))
 

@@ -234,7 +234,7 @@ def supporting(hits: DataFrame, chunks: DataFrame, edges: DataFrame, types: list
     """Chunks of useful types from lectures next to those hit, none of them hit itself; the first n by lecture and id."""
     hit = hits.select("query_id", "id").join(chunks.select("id", "lecture_number"), "id")
     lectures = hit.select("query_id", F.col("lecture_number").alias("src")).distinct()
-    near = lectures.join(F.broadcast(edges), "src").select("query_id", F.col("dst").alias("lecture_number")).distinct()
+    near = lectures.join(edges, "src").select("query_id", F.col("dst").alias("lecture_number")).distinct()
     near = near.join(lectures.withColumnRenamed("src", "lecture_number"), ["query_id", "lecture_number"], "left_anti")
     # only the first n of a lecture can be among the first n of a query
     first = chunks.filter(F.col("chunk_type").isin(types)).select("id", "lecture_number").withColumn("r", F.row_number().over(W.partitionBy("lecture_number").orderBy("id"))).filter(F.col("r") <= n)
@@ -260,7 +260,7 @@ def entity_hits(candidates: DataFrame, chunks: DataFrame, terms: DataFrame, keep
     """
     ids = candidates.select("id").distinct()
     toks = chunks.join(ids, "id", "left_semi").select("id", F.explode(T.tokens(F.concat_ws(" ", "topic", "source_excerpt"))).alias("term"))
-    n = toks.join(F.broadcast(terms.select("concept_id", F.lower("term").alias("term")).distinct()), "term").groupBy("id", "concept_id").agg(F.count("*").alias("hits"))
+    n = toks.join(terms.select("concept_id", F.lower("term").alias("term")).distinct(), "term").groupBy("id", "concept_id").agg(F.count("*").alias("hits"))
     return candidates.select("query_id", "id", "rank").join(n, "id", "left" if keep else "inner").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("long"))
 
 
@@ -326,3 +326,41 @@ def keyword_sets(hits_a: DataFrame, hits_b: DataFrame, chunks: DataFrame, cap: i
 
 def catalogue(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("lecture_number").agg(F.min_by(T.topic_head(F.col("topic")), "id").alias("title"), F.count("*").alias("sections"), F.min("id").alias("first_id"))
+
+
+def related_in_evidence(named: DataFrame, edges: DataFrame, evidence: DataFrame, barred: DataFrame | None = None) -> DataFrame:
+    """(query_id, concept_id, related): of the concepts related to a query's first, the first in graph order that its evidence holds.
+
+    named is (query_id, place, concept_id), edges (src, kind, pos, dst), evidence entity_hits of its chunks, barred
+    (query_id, concept_id) what the user doesn't want. The first five related concepts are looked at; without one of them
+    in the evidence a query has no row.
+    """
+    e = edges.filter("kind = 'related'").withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("pos", "dst"))).filter(F.col("r") <= 5)
+    x = named.filter("place = 1").select("query_id", "concept_id").join(e.select(F.col("src").alias("concept_id"), "r", F.col("dst").alias("related")), "concept_id")
+    x = x.join(evidence.select("query_id", F.col("concept_id").alias("related")).distinct(), ["query_id", "related"], "left_semi")
+    if barred is not None:
+        x = x.join(barred.select("query_id", F.col("concept_id").alias("related")), ["query_id", "related"], "left_anti")
+    return x.groupBy("query_id", "concept_id").agg(F.min(F.struct("r", "related")).alias("x")).select("query_id", "concept_id", "x.related")
+
+
+def recaps(ranked: DataFrame, chunks: DataFrame, *, lines: int = 10, topics_of: int = 8, topics: int = 6, main: int = 720, line: int = 320) -> DataFrame:
+    """(key, title, main_line, supporting, topics, lectures) of ranked rows (key, id, rank): what a recap of them says.
+
+    The main line is the first line of the first chunk; supporting are (topic, line) of the first ten chunks that have
+    both; topics the first six different topic heads of the first eight; lectures counts those of all rows. Explanations
+    come before excerpts where both are there. One pass: the first rows of a key are cut before texts are gathered.
+    """
+    text = F.trim(F.coalesce(F.nullif(F.trim("clean_explanation"), F.lit("")), "source_excerpt", F.lit("")))
+    c = chunks.select("id", "lecture_number", F.trim(F.coalesce("topic", F.lit(""))).alias("topic"), F.get(F.split(text, "\n"), F.lit(0)).alias("first"))
+    x = ranked.select("key", "id", "rank").join(c, "id")
+    wide = x.groupBy("key").agg(F.countDistinct("lecture_number").alias("lectures"))
+    x = x.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("rank", "id"))).filter(F.col("place") <= max(lines, topics_of))
+    rows = F.array_sort(F.collect_list(F.struct("place", "topic", "first")))
+    x = x.groupBy("key").agg(rows.alias("rows"))
+    heads = F.filter(F.transform(F.filter("rows", lambda r: r["place"] <= topics_of), lambda r: T.topic_head(r["topic"])), lambda t: t != "")
+    told = F.filter("rows", lambda r: (r["place"] <= lines) & (r["topic"] != "") & (r["first"] != ""))
+    lead = F.get("rows", F.lit(0))
+    return x.join(wide, "key").select(
+        "key", T.topic_head(lead["topic"]).alias("title"), F.trim(F.substring(lead["first"], 1, main)).alias("main_line"),
+        F.transform(told, lambda r: F.struct(r["topic"].alias("topic"), F.substring(r["first"], 1, line).alias("line"))).alias("supporting"), F.slice(F.array_distinct(heads), 1, topics).alias("topics"), "lectures",
+    )

@@ -78,12 +78,13 @@ def one_liners(lines: DataFrame, names: list[str]) -> DataFrame:
 
 
 def pick_by_topic(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, picked, fallback): chunks per topic asked for; a topic that none has falls back to all."""
+    """(query_id, picked, fallback): chunks whose topic contains the one asked for; one that none contains falls back to all."""
     by_topic = chunks.groupBy(F.lower("topic").alias("topic")).agg(F.count("*").alias("n"))
-    total = chunks.agg(F.count("*").alias("total"))
-    hit = wanted.join(F.broadcast(by_topic), F.contains(by_topic["topic"], F.lower(F.trim(wanted["needle"])))).groupBy("query_id").agg(F.sum("n").alias("n"))
-    x = wanted.join(hit, "query_id", "left").join(F.broadcast(total))
-    return x.select("query_id", F.coalesce("n", "total").alias("picked"), F.col("n").isNull().alias("fallback"))
+    asked = wanted.select("query_id", F.lower(F.trim("needle")).alias("term"))
+    pairs = T.containing(by_topic.select(F.col("topic").alias("id"), F.col("topic").alias("text")), asked.select("term"))
+    hit = asked.join(pairs.withColumnRenamed("id", "topic"), "term").join(by_topic, "topic").groupBy("query_id").agg(F.sum("n").alias("n"))
+    total = chunks.agg(F.count("*")).scalar()
+    return wanted.join(hit, "query_id", "left").select("query_id", F.coalesce("n", total).alias("picked"), F.col("n").isNull().alias("fallback"))
 
 
 def quiz_items(chunks: DataFrame, seed: int, per_lecture: int = 1) -> DataFrame:
@@ -114,7 +115,7 @@ def query_types(queries: DataFrame, patterns: dict[str, str]) -> DataFrame:
     low, lec = F.lower("query_text"), F.size(T.lecture_numbers(F.col("query_text")))
     is_ = lambda name: low.rlike(patterns[name]) if name in patterns else F.lit(False)
     kind = (
-        F.when(is_("quiz"), "quiz").when(is_("compare"), "compare").when(is_("summary"), "summary").when((F.size(T.lecture_range(F.col("query_text"))) > 0) | is_("synthesis") | (lec >= 2), "synthesis")
+        F.when(is_("quiz"), "quiz").when(is_("compare"), "compare").when(is_("summary"), "summary").when((F.size(T.lecture_spans(F.col("query_text"))) > 0) | is_("synthesis") | (lec >= 2), "synthesis")
         .when((F.size(T.tokens(F.col("query_text"))) <= 3) & is_("vague"), "vague_followup").when(lec == 1, "lecture_specific").when(is_("definition"), "definition").otherwise("general")
     )
     return queries.select("query_id", kind.alias("type"))

@@ -24,24 +24,37 @@ STEPS = {
     "simplified_reteach": ["Restate answer in plainer language", "Use one analogy", "Use one concrete example"],
     "multi_step_explanation": ["Define concept", "Explain mechanism", "Explain purpose or motivation", "Optional example"],
 }
+# The intent of comparisons with more than two sides, and the intents that don't fan out.
+MANY_SIDES = "compare_multi"
+NO_FAN_OUT = ["compare", "compare_multi", "lecture_summary", "teaching_plus_check"]
+# Lines of a tier, and the characters by which they are told apart.
+TIER_LINES, TIER_KEY = 8, 240
 # Hints of a concept and of all, concepts of a fan-out and its hits per concept, related names.
 HINTS_EACH, HINTS, FAN_OUT, FAN_HITS, RELATED = 4, 12, 3, 5, 5
 
 
-def answer_plans(typed: DataFrame) -> DataFrame:
-    """(query_id, intent, steps) of (query_id, query_type); an unknown or null type is general."""
+def answer_plans(typed: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """(query_id, intent, steps, style) of (query_id, query_type); an unknown or null type is general.
+
+    entities (query_id, entity) are the sides of comparisons: more than two are an intent of their own, with general steps.
+    """
     intents = F.create_map(*[F.lit(x) for kv in INTENTS.items() for x in kv])
     steps = F.create_map(*[x for k, v in STEPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    x = typed.withColumn("intent", F.coalesce(F.try_element_at(intents, F.coalesce(F.lower("query_type"), F.lit(""))), F.lit(INTENTS["general"])))
-    return x.select("query_id", "intent", F.try_element_at(steps, F.col("intent")).alias("steps"))
+    kind = F.coalesce(F.lower("query_type"), F.lit(""))
+    x = typed.withColumn("intent", F.coalesce(F.try_element_at(intents, kind), F.lit(INTENTS["general"])))
+    if entities is not None:
+        x = x.join(entities.groupBy("query_id").agg(F.count("*").alias("sides")), "query_id", "left").withColumn("intent", F.when((kind == "compare") & (F.col("sides") > 2), MANY_SIDES).otherwise(F.col("intent")))
+    style = F.when(kind == "vague_followup", "simplified").when(kind == "quiz", "quiz").otherwise("teaching")
+    return x.select("query_id", "intent", F.coalesce(F.try_element_at(steps, F.col("intent")), F.array(*map(F.lit, STEPS[INTENTS["general"]]))).alias("steps"), style.alias("style"))
 
 
 def named_concepts(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, concept_id, place): the concepts whose terms stand in a query, numbered by their first place, then id."""
-    toks = T.tokens(F.col("query_text"))
-    words = queries.select("query_id", F.posexplode(toks).alias("pos", "term")).unionByName(queries.select("query_id", F.posexplode(T.grams(toks, 2)).alias("pos", "term")))
-    found = words.join(terms.select("concept_id", F.lower("term").alias("term")).distinct(), "term").groupBy("query_id", "concept_id").agg(F.min("pos").alias("pos"))
-    return found.select("query_id", "concept_id", F.row_number().over(W.partitionBy("query_id").orderBy("pos", "concept_id")).alias("place"))
+    """(query_id, concept_id, place): the concepts whose terms, of any number of words, stand in a query.
+
+    They are numbered by their first place, at one place the longer term first, then by id.
+    """
+    found = T.phrase_places(queries, terms).groupBy("query_id", "concept_id").agg(F.min(F.struct("pos", (-F.col("n")).alias("n"))).alias("at"))
+    return found.select("query_id", "concept_id", F.row_number().over(W.partitionBy("query_id").orderBy("at", "concept_id")).alias("place"))
 
 
 def concept_scope(queries: DataFrame, terms: DataFrame, lectures: DataFrame, hints: DataFrame) -> DataFrame:
@@ -77,14 +90,18 @@ def concept_lookups(pairs: DataFrame, edges: DataFrame, axes: DataFrame) -> Data
     return out.select("a", "b", *[F.coalesce(c, none).alias(c) for c in ("prerequisites", "related", "axes")])
 
 
-def fan_out(hits: DataFrame, queries: DataFrame, terms: DataFrame, chunks: DataFrame, *, top_k: int = 10, least: int = FAN_OUT, toks: DataFrame | None = None) -> DataFrame:
+def fan_out(hits: DataFrame, queries: DataFrame, terms: DataFrame, chunks: DataFrame, *, top_k: int = 10, least: int = FAN_OUT, toks: DataFrame | None = None, intents: DataFrame | None = None) -> DataFrame:
     """hits (query_id, id, rank) with, for queries of ``least`` concepts or more, the hits of the first three added.
 
+    intents is (query_id, intent); queries that compare, sum up a lecture or ask a quiz stay as they are.
+
     A concept is asked for by its terms, once for all queries; what is new is added behind, concept by concept, up to
     four times ``top_k`` in all.
     """
     named = named_concepts(queries, terms)
     many = named.groupBy("query_id").agg(F.max("place").alias("n")).filter(F.col("n") >= least)
+    if intents is not None:
+        many = many.join(intents.filter(F.col("intent").isin(NO_FAN_OUT)), "query_id", "left_anti")
     named = named.filter(F.col("place") <= FAN_OUT).join(many, "query_id", "left_semi")
     asked = terms.groupBy(F.col("concept_id").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("query_text"))
     sub = R.top_k(R.lexical_scores(asked, chunks, toks), FAN_HITS).select(F.col("query_id").alias("concept_id"), "id", F.col("rank").alias("sub"))
@@ -139,15 +156,18 @@ def expanded_queries(queries: DataFrame, aliases: DataFrame, known: DataFrame) -
     return q.join(words, "query_id", "left").select("query_id", F.concat_ws(" ", "query_text", F.array_join("words", " "), other).alias("expanded"))
 
 
-def tiered_lines(lines: DataFrame, own: list[str], peers: list[str], forbidden: list[str], fillers: list[str]) -> DataFrame:
-    """(key, line, tier, place, provisional) of (key, pos, line): the lines of the best tier that a key has.
+def tiered_lines(lines: DataFrame, own: list[str], peers: list[str], forbidden: list[str], fillers: list[str], *, most: int = TIER_LINES) -> DataFrame:
+    """(key, line, tier, place, provisional) of (key, pos, line): the first ``most`` lines of the best tier that a key has.
 
     Tier 1 has neither forbidden nor peer terms, tier 2 no forbidden ones, tier 3 is all that is left, which is provisional.
-    Lines stand by hits of their own terms less 0.35 of their filler score, the shorter first, then as they came.
+    Lines stand by hits of their own terms less 0.35 of their filler score, the shorter first, then as they came; of lines
+    that agree in their first 240 characters, whatever the case, the first counts. Of tier 3 the first sixteen are looked at.
     """
     held = lambda terms: sum((T.term_hits(F.col("line"), t) for t in terms), F.lit(0))
     tier = F.when((held(forbidden) == 0) & (held(peers) == 0), 1).when(held(forbidden) == 0, 2).otherwise(3)
     score = F.round(held([t for t in own if len(t) >= 2]) - 0.35 * T.filler_score(F.col("line"), fillers), 9)
     x = lines.withColumn("tier", tier).withColumn("score", score).withColumn("best", F.min("tier").over(W.partitionBy("key"))).filter("tier = best")
-    order = W.partitionBy("key").orderBy(F.desc("score"), F.length("line"), "pos")
-    return x.select("key", "line", "tier", F.row_number().over(order).alias("place"), (F.col("tier") == 3).alias("provisional"))
+    x = x.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), F.length("line"), "pos"))).filter((F.col("tier") < 3) | (F.col("at") <= max(2 * most, 8)))
+    once = x.groupBy("key", "tier", F.substring(F.lower(F.trim("line")), 1, TIER_KEY).alias("told")).agg(F.min(F.struct("at", "line")).alias("x")).filter("told <> ''")
+    out = once.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("x.at"))).filter(F.col("place") <= most)
+    return out.select("key", F.trim("x.line").alias("line"), "tier", "place", (F.col("tier") == 3).alias("provisional"))

@@ -57,7 +57,7 @@ def _(v):
 @query("s9_families", "SELECT k.id, f.family FROM <chunks> k LEFT JOIN (SELECT lecture_number, min(concept_family) AS family FROM <chunks> GROUP BY 1) f ON f.lecture_number = k.lecture_number")
 def _(v):
     dim = v.chunks.groupBy("lecture_number").agg(F.min("concept_family").alias("family"))
-    return v.chunks.select("id", "lecture_number").join(F.broadcast(dim), "lecture_number", "left").select("id", "family")
+    return v.chunks.select("id", "lecture_number").join(dim, "lecture_number", "left").select("id", "family")
 
 
 @query("s11_intents", "SELECT category, CASE category WHEN 'compare' THEN 'compare' ELSE 'definition' END AS intent, count(*) AS n FROM <cases> GROUP BY 1")

@@ -1,4 +1,4 @@
-"""Queries of line sides, secondary texts, sub-questions and text units."""
+"""Queries of line sides, secondary texts and sub-questions."""
 
 from __future__ import annotations
 
@@ -16,22 +16,9 @@ from answerlens.plans.registry import query
 from answerlens.plans.retrieval_queries import _ENT, entities
 from answerlens.plans.routing_queries import _ROUTED, _TEXTS, PATTERNS
 from answerlens.plans.structured_queries import _NAMED
+from answerlens.plans.text_queries import _SENTENCES, units_sql
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}\p{{M}}_]+')"
-_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
-_UNITS = "list_filter(list_transform(string_split(coalesce({0}, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-
-
-def _units(c: str) -> str:
-    lines = _UNITS.format(c)
-    return f"CASE WHEN len({lines}) = 1 AND length({lines}[1]) > 200 THEN {_SENTENCES.format(f'trim({c})')} ELSE {lines} END"
-
-
-@query("t11_units", f"SELECT doc_id, unnest(range(len(u)))::INT AS pos, unnest(u) AS unit FROM (SELECT doc_id, {_units('text')} AS u FROM <documents>)")
-def _(v):
-    return v.documents.select("doc_id", F.posexplode(T.units(F.col("text"))).alias("pos", "unit"))
-
-
 #: A word that each concept's side must not have.
 _BARRED = {"c1": "by", "c2": "that", "c3": "de", "c4": "la"}
 _BAD = "['" + "'], ['".join(_BARRED.values()) + "']"
@@ -46,7 +33,7 @@ WITH {_ENT}, {_NAMED}, sided AS (SELECT query_id AS key, max(CASE WHEN place = 1
 told AS (SELECT concept_id, list(term ORDER BY term) AS ts FROM <concept_terms> GROUP BY 1), barred AS (SELECT unnest({list(_BARRED)}) AS concept_id, unnest([{_BAD}]) AS bs),
 wanted AS (SELECT key, 'a' AS side, ca AS concept_id FROM sided UNION ALL SELECT key, 'b', cb FROM sided),
 picked AS (SELECT key, side, id, row_number() OVER (PARTITION BY key, side ORDER BY score DESC, id) AS place FROM wanted JOIN es ON es.query_id = key AND es.concept_id = wanted.concept_id),
-cut AS (SELECT key, side, place, {_units('source_excerpt')} AS u FROM picked JOIN <chunks> k ON k.id = picked.id WHERE place <= 4),
+cut AS (SELECT key, side, place, {units_sql('source_excerpt')} AS u FROM picked JOIN <chunks> k ON k.id = picked.id WHERE place <= 4),
 rows_of AS (SELECT key, side, place, unnest(range(len(u))) AS pos, unnest(u) AS unit FROM cut),
 split AS (SELECT r.*, {_WORDS.format('unit')} AS w, x.ts AS ta, y.ts AS tb, n.bs AS na, m.bs AS nb FROM rows_of r JOIN sided s ON s.key = r.key JOIN told x ON x.concept_id = ca JOIN told y ON y.concept_id = cb JOIN barred n ON n.concept_id = ca JOIN barred m ON m.concept_id = cb),
 points AS (SELECT *, {_held('ta')} AS sa, {_held('tb')} AS sb, {_held('na')} > 0 AS ba, {_held('nb')} > 0 AS bb FROM split),

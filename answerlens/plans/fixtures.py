@@ -79,6 +79,10 @@ JOIN <concept_terms> t ON t.term = k.word""",
     "word_concepts": """
 SELECT DISTINCT substr(word, 1, 1) AS concept_id, word AS term
 FROM (SELECT lower(split_part(query_text, ' ', 3)) AS word FROM <queries> UNION ALL SELECT lower(split_part(query_text, ' ', 6)) AS word FROM <queries>) w WHERE length(word) >= 5""",
+    "many_concepts": """
+SELECT DISTINCT substr(word, 1, 1) AS concept_id, word AS term
+FROM (SELECT regexp_extract(lower(split_part(query_text, ' ', 3)), '^[a-z]+$', 0) AS word FROM <queries> UNION ALL SELECT regexp_extract(lower(split_part(query_text, ' ', 6)), '^[a-z]+$', 0) AS word FROM <queries> UNION ALL SELECT regexp_extract(lower(split_part(query_text, ' ', 8)), '^[a-z]+$', 0) AS word FROM <queries>
+  UNION ALL SELECT regexp_extract(lower(split_part(query_text, ' ', 9)), '^[a-z]+$', 0) AS word FROM <queries>) w WHERE length(word) >= 4""",
     "concept_hints": "SELECT concept_id, row_number() OVER (PARTITION BY concept_id ORDER BY lecture_number DESC) - 1 AS pos, 'lecture ' || CAST(lecture_number AS STRING) AS hint FROM <concept_lectures>",
     "concept_edges": """
 SELECT a.concept_id AS src, CASE WHEN b.concept_id < a.concept_id THEN 'prerequisite' ELSE 'related' END AS kind, -count(*) AS pos, b.concept_id AS dst

@@ -259,15 +259,31 @@ def _(v):
     return h.join(found, ["query_id", "id"], "left_semi")
 
 
-@query("r42_concept_pairs", "SELECT least(a.concept_id, b.concept_id) AS low, greatest(a.concept_id, b.concept_id) AS high, count(*) AS axes FROM <concept_terms> a JOIN <concept_terms> b ON a.concept_id < b.concept_id JOIN (SELECT DISTINCT topic FROM <chunks>) t ON true GROUP BY 1, 2")
+@query("r42_concept_pairs", "SELECT least(low, high) AS low, greatest(low, high) AS high, count(DISTINCT axis) AS axes FROM <concept_axes> GROUP BY 1, 2")
 def _(v):
-    a = v.concept_terms.groupBy("concept_id").agg(F.count("*").alias("n"))
-    topics = v.chunks.select("topic").distinct().agg(F.count("*").alias("t"))
-    x = a.alias("a").join(F.broadcast(a).alias("b"), F.col("a.concept_id") < F.col("b.concept_id")).join(F.broadcast(topics))
-    return x.select(F.col("a.concept_id").alias("low"), F.col("b.concept_id").alias("high"), (F.col("a.n") * F.col("b.n") * F.col("t")).alias("axes"))
+    return v.concept_axes.groupBy(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).agg(F.countDistinct("axis").alias("axes"))
 
 
-@query("r46_recap", f"""
-SELECT lecture_number, string_split(min_by(source_excerpt, id), chr(10))[1] AS main_line, count(DISTINCT topic) AS topics, min(id) AS low, max(id) AS high FROM <chunks> GROUP BY 1""")
+def _recap_sql(ranked: str) -> str:
+    first = "string_split(trim(coalesce(nullif(trim(clean_explanation), ''), source_excerpt, '')), chr(10))[1]"
+    return f"""x AS (SELECT key, trim(coalesce(topic, '')) AS topic, {first} AS first, lecture_number, row_number() OVER (PARTITION BY key ORDER BY place, k.id) AS place FROM ({ranked}) r JOIN <chunks> k ON k.id = r.id),
+w AS (SELECT key, count(DISTINCT lecture_number) AS lectures FROM x GROUP BY 1), lead AS (SELECT key, trim(string_split(topic, '—')[1]) AS title, trim(substr(first, 1, 720)) AS main_line FROM x WHERE place = 1),
+told AS (SELECT key, string_agg(topic || ': ' || substr(first, 1, 320), chr(10) ORDER BY place) AS supporting FROM x WHERE place <= 10 AND topic <> '' AND first <> '' GROUP BY 1),
+heads AS (SELECT key, trim(string_split(topic, '—')[1]) AS head, min(place) AS place FROM x WHERE place <= 8 AND trim(string_split(topic, '—')[1]) <> '' GROUP BY 1, 2), six AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place) AS r FROM heads),
+named AS (SELECT key, string_agg(head, ', ' ORDER BY place) AS topics FROM six WHERE r <= 6 GROUP BY 1)
+SELECT w.key, title, main_line, md5(coalesce(supporting, '')) AS supporting, coalesce(topics, '') AS topics, lectures FROM w JOIN lead USING (key) LEFT JOIN told USING (key) LEFT JOIN named USING (key)"""
+
+
+def _told(out):
+    lines = F.array_join(F.transform("supporting", lambda r: F.concat(r["topic"], F.lit(": "), r["line"])), "\n")
+    return out.select("key", "title", "main_line", F.md5(lines).alias("supporting"), F.array_join("topics", ", ").alias("topics"), "lectures")
+
+
+@query("r46_recap", "WITH " + _recap_sql("SELECT lecture_number AS key, id, 0 AS place FROM <chunks>"))
+def _(v):
+    return _told(R.recaps(v.chunks.select(F.col("lecture_number").alias("key"), "id", F.lit(0).alias("rank")), v.chunks))
+
+
+@query("r46_topic_recap", f"WITH {_LEX}, " + _recap_sql("SELECT query_id AS key, id, rank AS place FROM ranked WHERE rank <= 8"))
 def _(v):
-    return v.chunks.groupBy("lecture_number").agg(F.get(F.split(F.min_by("source_excerpt", "id"), "\n"), F.lit(0)).alias("main_line"), F.countDistinct("topic").alias("topics"), F.min("id").alias("low"), F.max("id").alias("high"))
+    return _told(R.recaps(hits(v, 8).withColumnRenamed("query_id", "key"), v.chunks))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from answerlens.operators import retrieval as R
 from answerlens.operators import selection as S
+from answerlens.operators import structured as K
 from answerlens.plans.registry import query
 from answerlens.plans.retrieval_queries import _ENT, _LEX, _CONF, _Q, asked, entities, hits, scores
 
@@ -77,9 +78,14 @@ def _(v):
     return R.top_k(own, 12).select("query_id", "id", F.col("rank").alias("place"))
 
 
-@query("r43_related_in_evidence", f"WITH {_ENT} SELECT query_id, min(concept_id) AS concept_id FROM eh WHERE concept_id <> 'c1' GROUP BY 1")
+@query("r43_related_in_evidence", rf"""
+WITH {_ENT}, spoken AS (SELECT query_id, concept_id, min(pos) AS pos FROM (SELECT query_id, unnest(regexp_extract_all(lower(query_text), '[a-z0-9]+')) AS term, unnest(range(len(regexp_extract_all(lower(query_text), '[a-z0-9]+')))) AS pos FROM <queries>) JOIN <concept_terms> USING (term) GROUP BY 1, 2),
+lead AS (SELECT query_id, concept_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, concept_id) AS place FROM spoken) WHERE place = 1),
+near AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY pos, dst) AS r FROM <concept_edges> WHERE kind = 'related'), barred AS (SELECT query_id, 'c2' AS concept_id FROM <queries> WHERE query_id % 5 = 0)
+SELECT l.query_id, l.concept_id, min_by(dst, r) AS related FROM lead l JOIN near ON src = l.concept_id AND r <= 5 WHERE (l.query_id, dst) IN (SELECT (query_id, concept_id) FROM eh) AND (l.query_id, dst) NOT IN (SELECT (query_id, concept_id) FROM barred) GROUP BY 1, 2""")
 def _(v):
-    return entities(v).filter("concept_id <> 'c1'").groupBy("query_id").agg(F.min("concept_id").alias("concept_id"))
+    barred = v.queries.filter("query_id % 5 = 0").select("query_id", F.lit("c2").alias("concept_id"))
+    return R.related_in_evidence(K.named_concepts(v.queries, v.concept_terms), v.concept_edges, entities(v), barred)
 
 
 @query("r45_one_liners", f"WITH {_LEX}, {_LINES}, x AS (SELECT *, {_n('line', '[' + repr('that') + ']')} = 0 AS no FROM lines) SELECT query_id, struct_extract(min((no, rank, pos, id, line)), 5) AS line, NOT struct_extract(min((no, rank, pos, id, line)), 1) AS named FROM x GROUP BY 1")

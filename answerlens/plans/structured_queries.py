@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from answerlens.functions import text as T
+from answerlens.operators import constraints as C
 from answerlens.operators import retrieval as R
+from answerlens.operators import selection as Y
 from answerlens.operators import structured as S
 from answerlens.plans.registry import query
 from answerlens.plans.retrieval_queries import _LEX, _Q, hits
-from answerlens.plans.text_queries import terms_sql
+from answerlens.plans.routing_queries import _ROUTED, _TEXTS, PATTERNS
+from answerlens.plans.text_queries import terms_sql, units_sql
 
-_TYPES = ["definition", "compare", "summary", "synthesis", "lecture_specific", "quiz", "vague_followup", "other"]
-_TYPE = "CASE query_id % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TYPES)) + " END"
 _NAMED = r"""
 words AS (SELECT query_id, unnest(regexp_extract_all(lower(query_text), '[a-z0-9]+')) AS term, unnest(range(len(regexp_extract_all(lower(query_text), '[a-z0-9]+')))) AS pos FROM <queries>),
 named AS (SELECT query_id, concept_id, row_number() OVER (PARTITION BY query_id ORDER BY min(pos), concept_id) AS place FROM words JOIN <concept_terms> USING (term) GROUP BY query_id, concept_id)"""
@@ -28,28 +30,50 @@ def _(v):
     return x.select("query_id", F.array_join(F.col("lectures").cast("array<string>"), ",").alias("lectures"), F.array_join("hints", "|").alias("hints"))
 
 
-_INTENT = "CASE " + f"({_TYPE}) " + " ".join(f"WHEN '{t}' THEN '{i}'" for t, i in S.INTENTS.items()) + f" ELSE '{S.INTENTS['general']}' END"
-_STEPS = "CASE intent " + " ".join("WHEN '{}' THEN '{}'".format(k, " | ".join(v)) for k, v in S.STEPS.items()) + " END"
+@query("q7_named_phrases", r"""
+WITH terms AS (SELECT 'p' || (query_id % 5) AS concept_id, split_part(query_text, ' ', 2) || ' ' || split_part(query_text, ' ', 3) || ' ' || split_part(query_text, ' ', 4) AS term FROM <queries> WHERE query_id % 3 = 0
+  UNION ALL SELECT 'q' || (query_id % 4), split_part(query_text, ' ', 2) || '-' || split_part(query_text, ' ', 3) || ' ' || split_part(query_text, ' ', 4) || ' ' || split_part(query_text, ' ', 5) FROM <queries> WHERE query_id % 3 = 1
+  UNION ALL SELECT 's' || (query_id % 3), split_part(query_text, ' ', 2) FROM <queries>),
+ph AS (SELECT DISTINCT concept_id, regexp_extract_all(lower(term), '[a-z0-9]+') AS p FROM terms WHERE len(regexp_extract_all(lower(term), '[a-z0-9]+')) > 0), q AS (SELECT query_id, regexp_extract_all(lower(query_text), '[a-z0-9]+') AS w FROM <queries>),
+at AS (SELECT query_id, concept_id, len(p) AS n, unnest(list_filter(range(1, len(w) - len(p) + 2), lambda i: w[i:i + len(p) - 1] = p)) AS pos FROM q CROSS JOIN ph),
+f AS (SELECT query_id, concept_id, min((pos, -n)) AS spot FROM at GROUP BY 1, 2) SELECT query_id, concept_id, row_number() OVER (PARTITION BY query_id ORDER BY spot, concept_id) AS place FROM f""".replace("at AS (SELECT", "seen AS (SELECT").replace("FROM at GROUP", "FROM seen GROUP"))
+def _(v):
+    word = lambda n: F.split_part("query_text", F.lit(" "), F.lit(n))
+    q, name = v.queries, lambda k, n: F.concat(F.lit(k), (F.col("query_id") % n).cast("string")).alias("concept_id")
+    three = q.filter("query_id % 3 = 0").select(name("p", 5), F.concat_ws(" ", word(2), word(3), word(4)).alias("term"))
+    four = q.filter("query_id % 3 = 1").select(name("q", 4), F.concat(word(2), F.lit("-"), word(3), F.lit(" "), word(4), F.lit(" "), word(5)).alias("term"))
+    return S.named_concepts(q, three.unionByName(four).unionByName(q.select(name("s", 3), word(2).alias("term"))))
+
+
+_TYPED = _ROUTED.split("heads AS (")[0].strip().rstrip(",")
+_INTENT = f"CASE WHEN type = 'compare' AND len(e) > 2 THEN '{S.MANY_SIDES}' " + " ".join(f"WHEN type = '{t}' THEN '{i}'" for t, i in S.INTENTS.items()) + f" ELSE '{S.INTENTS['general']}' END"
+_STEPS = "CASE intent " + " ".join("WHEN '{}' THEN '{}'".format(k, " | ".join(v)) for k, v in S.STEPS.items()) + " ELSE '{}' END".format(" | ".join(S.STEPS[S.INTENTS["general"]]))
+
+
+def plans(v):
+    """Answer plans of the queries' own types and sides."""
+    texts = v.sql(_TEXTS)
+    sides = C.compare_entities(texts, sides=r"\s+(?:with|that)\s+", listing="^$", clause=r"(?s)\s+for\s.*$")
+    return S.answer_plans(Y.query_types(texts, PATTERNS).withColumnRenamed("type", "query_type"), sides)
 
 
-@query("q9_answer_plans", f"SELECT query_id, intent, {_STEPS} AS steps FROM (SELECT query_id, {_INTENT} AS intent FROM <queries>)")
+@query("q9_answer_plans", f"WITH {_TYPED}, p AS (SELECT query_id, {_INTENT} AS intent, CASE type WHEN 'vague_followup' THEN 'simplified' WHEN 'quiz' THEN 'quiz' ELSE 'teaching' END AS style FROM routed) SELECT query_id, intent, {_STEPS} AS steps, style FROM p")
 def _(v):
-    typed = v.queries.select("query_id", F.get(F.array(*map(F.lit, _TYPES)), (F.col("query_id") % 8).cast("int")).alias("query_type"))
-    return S.answer_plans(typed).withColumn("steps", F.array_join("steps", " | "))
+    return plans(v).withColumn("steps", F.array_join("steps", " | "))
 
 
-_SUB = _LEX.replace(_Q, "(SELECT concept_id AS query_id, string_agg(term, ' ' ORDER BY term) AS query_text FROM <word_concepts> GROUP BY 1)").replace("query_id % 20 AS lecture", "-1 AS lecture")
+_SUB = _LEX.replace(_Q, "(SELECT concept_id AS query_id, string_agg(term, ' ' ORDER BY term) AS query_text FROM <many_concepts> GROUP BY 1)").replace("query_id % 20 AS lecture", "-1 AS lecture")
 
 
 @query("r21_fan_out", f"""
-WITH {_LEX}, {_NAMED.replace('<concept_terms>', '<word_concepts>')}, sub AS (WITH {_SUB} SELECT query_id AS concept_id, id, rank AS sub FROM ranked WHERE rank <= 5),
+WITH {_LEX}, {_NAMED.replace('<concept_terms>', '<many_concepts>')}, plans AS (WITH {_TYPED} SELECT query_id, {_INTENT} AS intent FROM routed), sub AS (WITH {_SUB} SELECT query_id AS concept_id, id, rank AS sub FROM ranked WHERE rank <= 5),
 x AS (SELECT query_id, id, 0 AS place, rank AS sub FROM ranked WHERE rank <= 10
-  UNION ALL SELECT n.query_id, s.id, n.place, s.sub FROM named n JOIN sub s USING (concept_id) WHERE n.place <= 3 AND n.query_id IN (SELECT query_id FROM named WHERE place = 2)),
+  UNION ALL SELECT n.query_id, s.id, n.place, s.sub FROM named n JOIN sub s USING (concept_id) WHERE n.place <= 3 AND n.query_id IN (SELECT query_id FROM named WHERE place = 3) AND n.query_id NOT IN (SELECT query_id FROM plans WHERE intent IN ('compare', 'compare_multi', 'lecture_summary', 'teaching_plus_check'))),
 f AS (SELECT query_id, id, min(place * 1000 + sub) AS spot FROM x GROUP BY 1, 2)
 SELECT query_id, id, rank, spot >= 1000 AS added FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot, id) AS rank FROM f) WHERE rank <= 40""")
 def _(v):
     base = hits(v, 10)
-    return S.fan_out(base, v.queries, v.word_concepts, v.chunks, least=2, toks=v.stored("tokens", lambda: R.field_tokens(v.chunks)))
+    return S.fan_out(base, v.queries, v.many_concepts, v.chunks, toks=v.stored("tokens", lambda: R.field_tokens(v.chunks)), intents=plans(v))
 
 
 @query("r42_concept_lookups", """
@@ -109,12 +133,15 @@ _HOLDS = "len(list_filter(regexp_extract_all(lower(line), '[a-z0-9]+'), lambda t
 
 
 @query("r29_tiered_lines", f"""
-WITH {_LEX}, l AS (SELECT query_id AS key, r.rank AS pos, k.clean_explanation AS line FROM ranked r JOIN <chunks> k ON k.id = r.id WHERE r.rank <= 8),
-t AS (SELECT *, CASE WHEN {_HOLDS.format('the')} + {_HOLDS.format('het')} = 0 AND {_HOLDS.format('on')} + {_HOLDS.format('of')} = 0 THEN 1 WHEN {_HOLDS.format('the')} + {_HOLDS.format('het')} = 0 THEN 2 ELSE 3 END AS tier,
+WITH {_LEX}, u AS (SELECT query_id AS key, rank, {units_sql('source_excerpt')} AS u FROM ranked r JOIN <chunks> k ON k.id = r.id WHERE r.rank <= 8),
+l AS (SELECT key, rank * 1000000 + unnest(range(len(u))) AS pos, unnest(u) AS line FROM u),
+t AS (SELECT *, CASE WHEN {_HOLDS.format('the')} + {_HOLDS.format('de')} = 0 AND {_HOLDS.format('on')} + {_HOLDS.format('of')} = 0 THEN 1 WHEN {_HOLDS.format('the')} + {_HOLDS.format('de')} = 0 THEN 2 ELSE 3 END AS tier,
   round({_HOLDS.format('in')} + {_HOLDS.format('la')} - 0.35::DOUBLE * (contains(lower(line), 'of the')::INT + contains(lower(line), 'in the')::INT) / greatest(len(regexp_extract_all(lower(line), '\\S+')) / 20.0::DOUBLE, 1.0), 9) AS score FROM l),
-b AS (SELECT *, min(tier) OVER (PARTITION BY key) AS best FROM t)
-SELECT key AS query_id, md5(line) AS line, tier, row_number() OVER (PARTITION BY key ORDER BY score DESC, length(line), pos) AS place, tier = 3 AS provisional FROM b WHERE tier = best""")
+b AS (SELECT *, min(tier) OVER (PARTITION BY key) AS best FROM t), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, length(line), pos) AS spot FROM b WHERE tier = best),
+d AS (SELECT key, tier, min((spot, line)) AS x FROM o WHERE tier < 3 OR spot <= 16 GROUP BY key, tier, substr(lower(trim(line)), 1, 240)), p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY struct_extract(x, 1)) AS place FROM d)
+SELECT key AS query_id, md5(trim(struct_extract(x, 2))) AS line, tier, place, tier = 3 AS provisional FROM p WHERE place <= 8""")
 def _(v):
-    lines = hits(v, 8).join(v.chunks.select("id", "clean_explanation"), "id").select(F.col("query_id").alias("key"), F.col("rank").alias("pos"), F.col("clean_explanation").alias("line"))
-    out = S.tiered_lines(lines, ["in", "la"], ["on", "of"], ["the", "het"], ["of the", "in the"])
+    cut = hits(v, 8).join(v.chunks.select("id", "source_excerpt"), "id").select("query_id", "rank", F.posexplode(T.units(F.col("source_excerpt"))).alias("pos", "line"))
+    lines = cut.select(F.col("query_id").alias("key"), (F.col("rank").cast("long") * 1_000_000 + F.col("pos")).alias("pos"), "line")
+    out = S.tiered_lines(lines, ["in", "la"], ["on", "of"], ["the", "de"], ["of the", "in the"])
     return out.select(F.col("key").alias("query_id"), F.md5("line").alias("line"), "tier", "place", "provisional")

@@ -58,9 +58,17 @@ def _(v):
     return q.select("id", F.array_join(T.lecture_numbers(F.col("q")).cast("array<string>"), ",").alias("numbers"))
 
 
-@query("t6_lecture_ranges", "SELECT id, array_to_string(range(lecture_number, lecture_number + id % 4 + 1), ',') AS numbers FROM <chunks>")
-def _(v):
-    q = v.chunks.select("id", F.concat(F.lit("weeks "), "lecture_number", F.lit(" through "), (F.col("lecture_number") + F.col("id") % 4).cast("string")).alias("q"))
+@query("t6_lecture_ranges", """
+SELECT id, array_to_string(CASE id % 6 WHEN 0 THEN range(n, n + id % 4 + 1) WHEN 2 THEN range(n, n + 6) WHEN 4 THEN range(n, n + 1201) WHEN 5 THEN range(0, n + 1) ELSE [] END, ',') AS numbers
+FROM (SELECT id, lecture_number::BIGINT AS n FROM <chunks>)""")
+def _(v):
+    n = lambda k=0: (F.col("lecture_number") + k).cast("string")
+    texts = [
+        F.concat(F.lit("lectures "), n(), F.lit(" through "), (F.col("lecture_number") + F.col("id") % 4).cast("string")), F.concat(F.lit("scores "), n(), F.lit("-"), n(3), F.lit(" at home")),
+        F.concat(F.lit("Week "), n(), F.lit("—"), n(2), F.lit(" and lec. "), n(1), F.lit(" to "), n(5)), F.concat(F.lit("lecture "), n(3), F.lit(" to "), n()),
+        F.concat(F.lit("weeks "), n(), F.lit(" – "), n(1200)), F.concat(F.lit("LEC 0-"), n(), F.lit(", lecture 5 or 6, and lecture 99999999999999999999-3")),
+    ]
+    q = v.chunks.select("id", F.get(F.array(*texts), (F.col("id") % 6).cast("int")).alias("q"))
     return q.select("id", F.array_join(T.lecture_range(F.col("q")).cast("array<string>"), ",").alias("numbers"))
 
 
@@ -100,6 +108,20 @@ def _(v):
     return T.expand_aliases(q, aliases).select("id", F.array_join("terms", " ").alias("terms"))
 
 
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+_LINES_OF = "list_filter(list_transform(string_split(coalesce({0}, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def units_sql(c: str) -> str:
+    lines = _LINES_OF.format(c)
+    return f"CASE WHEN len({lines}) = 1 AND length({lines}[1]) > 200 THEN {_SENTENCES.format(f'trim({c})')} ELSE {lines} END"
+
+
+@query("t11_units", f"SELECT doc_id, unnest(range(len(u)))::INT AS pos, unnest(u) AS unit FROM (SELECT doc_id, {units_sql('text')} AS u FROM <documents>)")
+def _(v):
+    return v.documents.select("doc_id", F.posexplode(T.units(F.col("text"))).alias("pos", "unit"))
+
+
 @query("t12_term_hits", f"SELECT doc_id, len(list_filter({_TOK.format('text')}, lambda t: t = 'the')) AS the_hits, contains(lower(text), 'of the')::INT AS phrase_hits FROM <documents>")
 def _(v):
     return v.documents.select("doc_id", T.term_hits(F.col("text"), "the").cast("long").alias("the_hits"), T.term_hits(F.col("text"), "of the").alias("phrase_hits"))

@@ -60,3 +60,48 @@ def test_fan_out_adds_behind_and_once(spark):
     hits = spark.createDataFrame([(1, 3, 1), (1, 0, 2), (2, 3, 1)], "query_id long, id long, rank int")
     got = [(r.query_id, r.id, r["rank"], r.added) for r in structured.fan_out(hits, q, terms, chunks).orderBy("query_id", "rank").collect()]
     assert got == [(1, 3, 1, False), (1, 0, 2, False), (1, 1, 3, True), (1, 2, 4, True), (2, 3, 1, False)]
+
+
+def test_aliases_of_any_length_in_order(spark):
+    q = spark.createDataFrame([(1, "The hidden Markov model of speech"), (2, "markov chain; hidden-markov-model!"), (3, None), (4, "hidden")], "query_id long, query_text string")
+    terms = spark.createDataFrame([("h", "hidden markov model"), ("m", "Markov"), ("g", "hidden"), ("g", "the hidden markov model of speech and more"), ("m", "markov"), ("e", ""), ("e", None)], "concept_id string, term string")
+    got = {}
+    for r in structured.named_concepts(q, terms).orderBy("query_id", "place").collect():
+        got.setdefault(r.query_id, []).append(r.concept_id)
+    # at one place the longer term stands first
+    assert got == {1: ["h", "g", "m"], 2: ["m", "h", "g"], 4: ["g"]}
+    assert structured.named_concepts(q, terms.limit(0)).count() == 0
+
+
+def test_comparisons_do_not_fan_out(spark):
+    chunks = spark.createDataFrame([(i, 1, t, t) for i, t in enumerate(["alpha text", "beta text", "gamma text"])], "id long, lecture_number int, topic string, source_excerpt string")
+    q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta gamma")], "query_id long, query_text string")
+    terms = spark.createDataFrame([("a", "alpha"), ("b", "beta"), ("c", "gamma")], "concept_id string, term string")
+    hits = spark.createDataFrame([(1, 0, 1), (2, 0, 1)], "query_id long, id long, rank int")
+    intents = spark.createDataFrame([(1, "compare"), (2, "direct_definition")], "query_id long, intent string")
+    got = structured.fan_out(hits, q, terms, chunks, intents=intents).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {1: 1, 2: 3}
+
+
+def test_styles_and_many_sides(spark):
+    df = spark.createDataFrame([(1, "compare"), (2, "quiz"), (3, "vague_followup"), (4, "compare")], "query_id long, query_type string")
+    sides = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (4, "a"), (4, "b")], "query_id long, entity string")
+    got = {r.query_id: (r.intent, r.style, len(r.steps)) for r in structured.answer_plans(df, sides).collect()}
+    assert got == {1: ("compare_multi", "teaching", 4), 2: ("teaching_plus_check", "quiz", 3), 3: ("simplified_reteach", "simplified", 3), 4: ("compare", "teaching", 4)}
+
+
+def test_tiers_drop_repeats_and_stop(spark):
+    rows = [("a", i, f"alpha line {i % 12:02}") for i in range(30)] + [("a", 40, "ALPHA LINE 00"), ("c", 1, "  ")] + [("d", i, f"bad line {i:02}") for i in range(20)]
+    df = spark.createDataFrame(rows, "key string, pos int, line string")
+    got = structured.tiered_lines(df, ["alpha"], ["beta"], ["bad"], ["of the"]).orderBy("key", "place").collect()
+    assert [r.line for r in got if r.key == "a"] == [f"alpha line {i:02}" for i in range(8)] and [r.key for r in got].count("d") == 8 and {r.provisional for r in got if r.key == "d"} == {True}
+    assert not [r for r in got if r.key == "c"]
+
+
+def test_lecture_ranges_need_a_lecture_and_have_no_cap(spark):
+    rows = ["lectures 13 through 15", "scores 3-5 at home", "weeks 3—5 and lec. 4 to 6", "Lecture 5 to 3", "lecture 3 to 1200", "week 99999999999999999999 to 99999999999999999999", None, "lec 2–2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    got = [r.x for r in df.select("i", T.lecture_range(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == [[13, 14, 15], [], [3, 4, 5, 6], [], list(range(3, 1201)), [], [], [2]]
+    wide = spark.createDataFrame([("lecture 1 to 900000000000",)], "t string").select(T.lecture_spans(F.col("t")).alias("s")).first()
+    assert [(x.low, x.high) for x in wide.s] == [(1, 900000000000)]
