@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from answerlens.functions import text as T
+from answerlens.sources.stored import stored
 
 # Weights of fields for tokens and for phrases, and the constants of the score.
 FIELD_WEIGHTS = {"topic": 3.0, "keywords": 2.5, "sample_questions": 2.0, "clean_explanation": 1.2, "source_excerpt": 1.0, "sample_answer": 0.7}
@@ -76,12 +77,8 @@ def token_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | No
     )
 
 
-def phrase_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None, toks: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, phrase_score, phrase_events): query pairs and triples that stand consecutively in a field.
-
-    At most five events per query and chunk count: fields in order, pairs before triples, each query place once.
-    """
-    weights = weights or PHRASE_WEIGHTS
+def asked_grams(q: DataFrame) -> DataFrame:
+    """(query_id, gpos, n, gram): pairs and triples of consecutive query terms, in all their forms."""
     fam = lambda i: T.family(F.get("terms", i))
 
     def places(n: int) -> DataFrame:
@@ -91,7 +88,16 @@ def phrase_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | N
             x = x.withColumn(f"f{k}", F.explode(f"f{k}"))
         return x.select("query_id", "gpos", F.lit(n).alias("n"), F.concat_ws(" ", *[f"f{k}" for k in range(n)]).alias("gram"))
 
-    asked = places(2).unionByName(places(3))
+    return places(2).unionByName(places(3))
+
+
+def phrase_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | None = None, toks: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, phrase_score, phrase_events): query pairs and triples that stand consecutively in a field.
+
+    At most five events per query and chunk count: fields in order, pairs before triples, each query place once.
+    """
+    weights = weights or PHRASE_WEIGHTS
+    asked = asked_grams(q)
     toks = field_tokens(chunks) if toks is None else toks
     grams = toks.select("id", "ord", "field", F.explode(F.concat(T.grams(F.col("toks"), 2), T.grams(F.col("toks"), 3))).alias("gram"))
     found = grams.join(asked, "gram").select("query_id", "id", "ord", "field", "n", "gpos").distinct()
@@ -101,19 +107,53 @@ def phrase_scores(q: DataFrame, chunks: DataFrame, weights: dict[str, float] | N
     return found.groupBy("query_id", "id").agg(F.sum(gain).alias("phrase_score"), F.count("*").alias("phrase_events"))
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame, toks: DataFrame | None = None) -> DataFrame:
+def asked_keys(q: DataFrame) -> DataFrame:
+    """(key, query_id, n, pos): what queries look up. Tokens (n 1) in all their forms, pairs and triples of forms (n 2 and 3), lectures (n 0)."""
+    variants = q.select("query_id", F.posexplode("terms").alias("pos", "t")).select(F.explode(T.family(F.col("t"))).alias("key"), "query_id", F.lit(1).alias("n"), "pos")
+    grams = asked_grams(q).select(F.col("gram").alias("key"), "query_id", "n", F.col("gpos").alias("pos"))
+    named = q.select(F.explode(F.transform("lectures", _lecture_key)).alias("key"), "query_id", F.lit(0).alias("n"), F.lit(0).alias("pos"))
+    return variants.unionByName(grams).unionByName(named).distinct()
+
+
+def _lecture_key(n: Column) -> Column:
+    return F.concat(F.lit("# "), n.cast("string"))
+
+
+def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, id, score, token_score, strong_score, phrase_score, phrase_events, lecture_bonus, matched) of all matches.
 
-    ``toks`` are the stored field_tokens of chunks; without them each part of the score cuts the texts itself.
+    Tokens, phrases and lectures are keys of one lookup. What queries ask for is written first, so that Spark knows its size
+    when it picks the joins; keys of the chunks that nobody asks for are dropped where they are read; the rest moves once,
+    by chunk. Pairs of query and chunk are made, summed up and cut by top_k where the chunk is and don't move themselves.
     """
-    q = query_table(queries)
-    named = q.select("query_id", F.explode("lectures").alias("lecture_number"))
-    bonus = chunks.select("id", "lecture_number").join(named, "lecture_number").select("query_id", "id", F.lit(LECTURE_BONUS).alias("lecture_bonus"))
-    s = token_scores(q, chunks, toks=toks).join(phrase_scores(q, chunks, toks=toks), ["query_id", "id"], "left").join(bonus, ["query_id", "id"], "full")
-    s = s.na.fill(0.0, ["token_score", "strong_score", "phrase_score", "lecture_bonus"]).na.fill(0, ["matched", "phrase_events"])
+    asked = stored(asked_keys(query_table(queries)), "asked")
+    wanted = asked.filter("n < 2").select(F.col("key").alias("tok")).distinct()
+    fields = [F.struct(F.lit(i).alias("ord"), F.lit(f).alias("field"), T.tokens(F.col(f)).alias("toks")) for i, f in enumerate(fields_of(chunks))]
+    c = chunks.select("id", _lecture_key(F.col("lecture_number")).alias("lecture"), F.array(*fields).alias("f"))
+    c = c.withColumn("total", F.aggregate("f", F.lit(0).cast("long"), lambda n, x: n + F.size(x["toks"])))
+    parts = F.concat("f", F.array(F.struct(F.lit(len(fields)).alias("ord"), F.lit("lecture").alias("field"), F.array("lecture").alias("toks"))))
+    held = c.select("id", "total", F.explode(parts).alias("x")).select("id", "total", "x.ord", "x.field", F.posexplode("x.toks").alias("pos", "tok"))
+    held = held.join(wanted, "tok", "left_semi").repartition("id")
+    # all words of a phrase are asked for themselves, so phrases are made of the tokens that are left, where they are consecutive
+    then = W.partitionBy("id", "ord").orderBy("pos")
+    ahead = lambda k: F.when(F.lead("pos", k).over(then) == F.col("pos") + k, F.lead("tok", k).over(then))
+    held = held.withColumn("one", ahead(1)).withColumn("two", ahead(2))
+    keys = F.array("tok", F.when(F.col("one").isNotNull(), F.concat_ws(" ", "tok", "one")), F.when(F.col("two").isNotNull(), F.concat_ws(" ", "tok", "one", "two")))
+    held = held.select("id", "total", "ord", "field", F.explode(F.array_compact(keys)).alias("key"))
+    n_of = held.groupBy("id", "total", "ord", "field", "key").agg(F.count("*").alias("times"))
+    best = n_of.join(asked, "key").groupBy("id", "total", "query_id", "ord", "field", "n", "pos").agg(F.max("times").alias("times"))
+    one, phrase = F.col("n") == 1, F.col("n") > 1
+    gain = F.when(one, _weight(F.col("field"), FIELD_WEIGHTS) * (1.0 + REPEAT_GAIN * F.least(F.col("times") - 1, F.lit(REPEAT_MOST)))).otherwise(0.0)
+    worth = F.when(F.col("n") == 2, BIGRAM).otherwise(TRIGRAM) * F.coalesce(_weight(F.col("field"), PHRASE_WEIGHTS), F.lit(0.4))
+    s = best.withColumn("gain", gain).groupBy("id", "total", "query_id").agg(
+        F.sum("gain").alias("token_score"), F.sum(F.when(F.col("field").isin("topic", "keywords"), F.col("gain")).otherwise(0.0)).alias("strong_score"),
+        F.size(F.collect_set(F.when(one, F.col("pos")))).cast("long").alias("matched"), F.max(F.when(F.col("n") == 0, LECTURE_BONUS).otherwise(0.0)).alias("lecture_bonus"),
+        F.slice(F.array_sort(F.collect_list(F.when(phrase, F.struct("ord", "n", "pos", worth.alias("worth"))))), 1, PHRASE_EVENTS).alias("phrases"),
+    )
+    s = s.withColumn("phrase_score", F.aggregate("phrases", F.lit(0.0), lambda a, x: a + x["worth"])).withColumn("phrase_events", F.size("phrases").cast("long"))
     raw = F.col("token_score") + F.col("phrase_score") + F.col("lecture_bonus")
-    s = s.join(index_stats(chunks, toks), "id").withColumn("score", F.round(raw / (1.0 + LENGTH_LAMBDA * F.log1p("total_tokens")), 9))
-    return s.drop("total_tokens")
+    score = F.round(raw / (1.0 + LENGTH_LAMBDA * F.log1p("total")), 9)
+    return s.select("query_id", "id", "token_score", "strong_score", "matched", "phrase_score", "phrase_events", "lecture_bonus", score.alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -126,8 +166,8 @@ def top_k(scores: DataFrame, k: int, *keys: str) -> DataFrame:
 def confidence(queries: DataFrame, scores: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, top_score, second_score, margin, coverage, hits, confidence); queries without a hit have confidence 0."""
     q = query_table(queries).select("query_id", "terms", "lectures")
-    every = W.partitionBy("query_id")
-    two = top_k(scores.filter("score > 0").withColumn("hits", F.count("*").over(every)), 2).join(chunks.select("id", "lecture_number"), "id")
+    n = scores.filter("score > 0").groupBy("query_id").agg(F.count("*").alias("hits"))
+    two = top_k(scores, 2).join(n, "query_id").join(chunks.select("id", "lecture_number"), "id")
     best = two.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.struct("score", "token_score", "strong_score", "phrase_score", "phrase_events", "matched", "lecture_number"))).alias("b"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.max("hits").alias("hits"))
     x = q.join(best, "query_id", "left").select("*", "b.*").drop("b")
     second = F.coalesce("second", F.lit(0.0))

@@ -69,10 +69,10 @@ def sub_queries(routed: DataFrame, entities: DataFrame, extras: DataFrame) -> Da
     return whole.unionByName(more).unionByName(sides)
 
 
-def sub_scores(subs: DataFrame, chunks: DataFrame, toks: DataFrame | None = None) -> DataFrame:
+def sub_scores(subs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Lexical scores of all sub-queries in one pass; query_id is the struct (query_id, sub). A set lecture filters."""
     tagged = subs.select(F.struct("query_id", "sub").alias("query_id"), "query_text", "lecture")
-    s = R.lexical_scores(tagged.select("query_id", "query_text"), chunks, toks)
+    s = R.lexical_scores(tagged.select("query_id", "query_text"), chunks)
     inside = tagged.filter("lecture IS NOT NULL").select("query_id", "lecture")
     return s.join(inside, "query_id", "left").join(chunks.select("id", "lecture_number"), "id").filter("lecture IS NULL OR lecture = lecture_number").drop("lecture", "lecture_number")
 

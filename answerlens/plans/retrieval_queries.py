@@ -39,12 +39,13 @@ def asked(v):
 
 
 def scores(v):
-    """Scores of all matches, computed and written once for whatever a query asks of them."""
-    return v.stored("scores", lambda: R.lexical_scores(asked(v), v.chunks, v.stored("tokens", lambda: R.field_tokens(v.chunks))))
+    """Scores of all matches, written once where several parts of a query ask for them."""
+    return v.stored("scores", lambda: R.lexical_scores(asked(v), v.chunks))
 
 
 def hits(v, k):
-    return R.top_k(scores(v), k).select("query_id", "id", "score", "rank")
+    """The first k chunks of each query, written once; only they are, not the scores that they come from."""
+    return v.stored(f"hits{k}", lambda: R.top_k(R.lexical_scores(asked(v), v.chunks), k).select("query_id", "id", "score", "rank"))
 
 
 @query("r1_postings", f"WITH f AS ({' UNION ALL '.join(f'''SELECT id, '{f}' AS field, {_TOK.format(f)} AS w FROM <chunks>''' for f in _FIELDS)}) SELECT tok, field, count(*) AS n, count(DISTINCT id) AS chunks FROM (SELECT id, field, unnest(w) AS tok FROM f) GROUP BY 1, 2")
@@ -64,7 +65,7 @@ def _(v):
 
 @query("r4_lexical_scores", f"WITH {_LEX} SELECT query_id, id, round(score, 6) AS score, lecture_bonus FROM scored")
 def _(v):
-    return scores(v).select("query_id", "id", F.round("score", 6).alias("score"), "lecture_bonus")
+    return R.lexical_scores(asked(v), v.chunks).select("query_id", "id", F.round("score", 6).alias("score"), "lecture_bonus")
 
 
 @query("r5_lexical_topk", f"WITH {_LEX} SELECT query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
@@ -87,7 +88,7 @@ def _(v):
 
 @query("r7_diagnostics", f"WITH {_LEX} SELECT query_id, count(*) AS hits, round(max(score), 6) AS top_score, round(sum(token_score), 4) AS token_mass, sum(phrase_events) AS phrase_events FROM ranked GROUP BY 1")
 def _(v):
-    s = scores(v).filter("score > 0")
+    s = R.lexical_scores(asked(v), v.chunks).filter("score > 0")
     return s.groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("top_score"), F.round(F.sum("token_score"), 4).alias("token_mass"), F.sum("phrase_events").alias("phrase_events"))
 
 

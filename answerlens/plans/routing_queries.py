@@ -69,7 +69,7 @@ def routed(v):
         return plain.join(longer, ["query_id", "sub"], "left").withColumn("query_text", F.coalesce("text", "query_text")).drop("text")
 
     made = v.stored("subs", subs)
-    return made, v.stored("sub_scores", lambda: X.sub_scores(made, v.chunks, v.stored("tokens", lambda: R.field_tokens(v.chunks))))
+    return made, v.stored("sub_scores", lambda: X.sub_scores(made, v.chunks))
 
 
 @query("r20_routed", f"""

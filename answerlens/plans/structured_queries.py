@@ -73,7 +73,7 @@ f AS (SELECT query_id, id, min(place * 1000 + sub) AS spot FROM x GROUP BY 1, 2)
 SELECT query_id, id, rank, spot >= 1000 AS added FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot, id) AS rank FROM f) WHERE rank <= 40""")
 def _(v):
     base = hits(v, 10)
-    return S.fan_out(base, v.queries, v.many_concepts, v.chunks, toks=v.stored("tokens", lambda: R.field_tokens(v.chunks)), intents=plans(v))
+    return S.fan_out(base, v.queries, v.many_concepts, v.chunks, intents=plans(v))
 
 
 @query("r42_concept_lookups", """
