@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from answerlens.functions import text as T
 from answerlens.operators.conversations import FOLLOW_UPS, REPHRASED
 
 OUTCOME = "id long, session_id long, follow_up_type string, was_rephrased boolean, changed_topic boolean"
-_OUTCOME_STATE = "asked string, pending long, seq long"
 LOCK = "user_id long, seq long, event string"
-_LOCK_STATE = "failures int, locked_until double"
+#: The setting that ordered state needs, and its value.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def _terms(text: str | None, drop: frozenset) -> set[str]:
@@ -33,42 +31,91 @@ def judge(asked: str | None, said: str | None, words: dict[str, str] | None = No
     return kind or ("rephrase" if again else "new_topic"), again, kind is None and not again
 
 
-def _outcomes(words: dict[str, str] | None):
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            asked, pending, _ = state.get
-            state.remove()
+class _Ordered(StatefulProcessor):
+    """Rows of a key in the order of their event time: they wait until the watermark has passed them, then go one by one.
+
+    ``step`` takes a row and the key's own state and gives what comes out; ``end`` is asked once the watermark is ``idle``
+    past the last row, and the key's state goes.
+    """
+
+    rows = own = ""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.rows)
+        self.kept = handle.getValueState("kept", "last long, " + self.own)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for frame in rows:
+            values = [tuple(None if pd.isna(x) else x for x in r) for r in self.taken(frame).itertuples(index=False)]
+            self.waiting.appendList(values)
+            for at in {r[0] for r in values}:
+                self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
+        due, rest = [r for r in waiting if r[0] <= now], [r for r in waiting if r[0] > now]
+        kept = tuple(self.kept.get()) if self.kept.exists() else (None, *self.first)
+        out, last, own = [], kept[0], kept[1:]
+        for r in due:
+            own = self.step(key, r, own, out)
+            last = r[0]
+        if due:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            self.kept.update((last, *own))
+            self.handle.registerTimer(last + self.idle_ms)
+        elif not rest and last is not None and now >= last + self.idle_ms:
+            self.end(key, own, out)
+            self.kept.clear()
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(c: pd.Series) -> pd.Series:
+    return c.astype("datetime64[ms]").astype("int64")
+
+
+class _Outcomes(_Ordered):
+    rows, own, first = "at long, seq long, id long, role string, said string", "asked string, pending long", (None, -1)
+    columns = ["id", "session_id", "follow_up_type", "was_rephrased", "changed_topic"]
+
+    def __init__(self, idle_ms: int, words: dict[str, str] | None):
+        super().__init__(idle_ms)
+        self.words = words
+
+    def taken(self, frame):
+        return pd.DataFrame({"at": _ms(frame["created_at"]), "seq": frame["seq"], "id": frame["id"], "role": frame["role"], "said": frame["content_text"]})
+
+    def step(self, key, row, own, out):
+        (_, _, id_, role, said), (asked, pending) = row, own
+        if role == "user":
             if pending >= 0:
-                yield pd.DataFrame([(pending, key[0], "none", False, False)], columns=["id", "session_id", "follow_up_type", "was_rephrased", "changed_topic"])
-            return
-        asked, pending, last = state.get if state.exists else (None, -1, -1)
-        out = []
-        for r in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if r.role == "user":
-                if pending >= 0:
-                    out.append((pending, key[0], *judge(asked, r.content_text, words)))
-                asked, pending = r.content_text, -1
-            elif r.role == "assistant":
-                pending = r.id
-            else:
-                pending = -1
-            last = r.seq
-        state.update((asked, pending, last))
-        if state.getCurrentWatermarkMs() >= 0:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 60_000)
-        yield pd.DataFrame(out, columns=["id", "session_id", "follow_up_type", "was_rephrased", "changed_topic"])
-
-    return step
-
-
-def stream_outcomes(messages: DataFrame, *, words: dict[str, str] | None = None, late: str = "1 hour") -> DataFrame:
-    """Outcome of each answer when the next user turn of its session arrives, or 'none' when the watermark passes.
-
-    State is one row per open session. Turns of a session are ordered by seq inside a micro-batch; a batch must not
-    hold turns that precede those of an earlier batch.
+                out.append((pending, key[0], *judge(asked, said, self.words)))
+            return said, -1
+        return asked, id_ if role == "assistant" else -1
+
+    def end(self, key, own, out):
+        if own[1] >= 0:
+            out.append((own[1], key[0], "none", False, False))
+
+
+def stream_outcomes(messages: DataFrame, *, words: dict[str, str] | None = None, late: str = "1 hour", idle_minutes: int = 60) -> DataFrame:
+    """Outcome of each answer when the next user turn of its session is due, or 'none' when the session has been idle.
+
+    Turns wait in state until the watermark has passed them and then go by time and seq, so micro-batches may bring them in
+    any order within ``late``; the session's state goes ``idle_minutes`` after its last turn. Needs the RocksDB state store
+    (STATE_STORE); run_available sets it.
     """
     m = messages.select(F.col("created_at").cast("timestamp").alias("created_at"), "id", "session_id", "seq", "role", "content_text").withWatermark("created_at", late)
-    return m.groupBy("session_id").applyInPandasWithState(_outcomes(words), OUTCOME, _OUTCOME_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return m.groupBy("session_id").transformWithStateInPandas(_Outcomes(idle_minutes * 60_000, words), OUTCOME, "Append", "EventTime")
 
 
 def stream_windows(logs: DataFrame, size: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -84,46 +131,71 @@ def stream_sessions(logs: DataFrame, gap: str = "30 minutes", late: str = "1 hou
     return x.groupBy(F.session_window("created_at", gap).alias("w"), "session_id").agg(F.count("*").alias("n")).select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def lock_events(rows: pd.DataFrame, failures: int, until: float, *, most: int = 8, minutes: int = 15) -> tuple[list[tuple], int, float]:
-    """Events of one user's ordered attempts (seq, at in seconds, ok) and the counters after them.
+def lock_step(at: float, ok: bool, failures: int, until: float, *, most: int, minutes: int) -> tuple[str | None, int, float]:
+    """The event of an attempt (at in seconds), and the counters after it."""
+    if at < until:
+        return "blocked", failures, until
+    if ok:
+        return None, 0, until
+    if failures + 1 >= most:
+        return "locked", failures + 1, at + minutes * 60
+    return None, failures + 1, until
 
-    ``most`` failures in a row lock for ``minutes``; attempts while locked are blocked and don't count; a success
-    resets. The count stays when a lock ends, so one more failure locks again.
+
+def lock_events(rows: pd.DataFrame, *, most: int = 8, minutes: int = 15, idle_minutes: int = 7 * 24 * 60) -> list[tuple]:
+    """(seq, event) of one user's attempts (seq, at in seconds, ok), in their order.
+
+    ``most`` failures in a row lock for ``minutes``; attempts while locked are blocked and don't count; a success resets.
+    The count stays when a lock ends, so one more failure locks again. A user who was away for ``idle_minutes`` starts anew.
     """
-    out = []
+    out, failures, until, last = [], 0, 0.0, None
     for r in rows.sort_values(["at", "seq"]).itertuples():
-        if r.at < until:
-            out.append((r.seq, "blocked"))
-        elif r.ok:
-            failures = 0
-        else:
-            failures += 1
-            if failures >= most:
-                until = r.at + minutes * 60
-                out.append((r.seq, "locked"))
-    return out, failures, until
+        if last is not None and r.at - last > idle_minutes * 60:
+            failures, until = 0, 0.0
+        event, failures, until = lock_step(r.at, r.ok, failures, until, most=most, minutes=minutes)
+        last = r.at
+        if event:
+            out.append((r.seq, event))
+    return out
+
+
+class _Locks(_Ordered):
+    rows, own, first = "at long, seq long, ok boolean", "failures int, until double", (0, 0.0)
+    columns = ["user_id", "seq", "event"]
 
+    def __init__(self, idle_ms: int, most: int, minutes: int):
+        super().__init__(idle_ms)
+        self.most, self.minutes = most, minutes
 
-def _locks(most: int, minutes: int):
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, until = state.get if state.exists else (0, 0.0)
-        out, failures, until = lock_events(pd.concat(list(frames)), failures, until, most=most, minutes=minutes)
-        state.update((int(failures), float(until)))
-        yield pd.DataFrame([(key[0], int(s), e) for s, e in out], columns=["user_id", "seq", "event"])
+    def taken(self, frame):
+        return pd.DataFrame({"at": _ms(frame["at"]), "seq": frame["seq"], "ok": frame["ok"]})
 
-    return step
+    def step(self, key, row, own, out):
+        event, failures, until = lock_step(row[0] / 1000, bool(row[2]), *own, most=self.most, minutes=self.minutes)
+        if event:
+            out.append((key[0], row[1], event))
+        return int(failures), float(until)
 
+    def end(self, key, own, out):
+        pass
 
-def stream_lockouts(attempts: DataFrame, *, most: int = 8, minutes: int = 15) -> DataFrame:
-    """(user_id, seq, event) of attempts (user_id, seq, at, ok): 'locked' and 'blocked'. State is one row per user."""
-    return attempts.groupBy("user_id").applyInPandasWithState(_locks(most, minutes), LOCK, _LOCK_STATE, "append", GroupStateTimeout.NoTimeout)
+
+def stream_lockouts(attempts: DataFrame, *, most: int = 8, minutes: int = 15, late: str = "1 hour", idle_minutes: int = 7 * 24 * 60) -> DataFrame:
+    """(user_id, seq, event) of attempts (user_id, seq, at in seconds, ok): 'locked' and 'blocked'.
+
+    Attempts wait until the watermark has passed them and go by time and seq, whatever micro-batch brings them within
+    ``late``; milliseconds count. A user's counters go ``idle_minutes`` after the last attempt, so state follows the
+    users of that time. ``idle_minutes`` is at least ``minutes``. Needs STATE_STORE, as stream_outcomes.
+    """
+    x = attempts.select("user_id", "seq", F.timestamp_millis(F.round(F.col("at") * 1000).cast("long")).alias("at"), "ok").withWatermark("at", late)
+    return x.groupBy("user_id").transformWithStateInPandas(_Locks(max(idle_minutes, minutes) * 60_000, most, minutes), LOCK, "Append", "EventTime")
 
 
-def batch_lockouts(attempts: DataFrame, *, most: int = 8, minutes: int = 15) -> DataFrame:
+def batch_lockouts(attempts: DataFrame, *, most: int = 8, minutes: int = 15, idle_minutes: int = 7 * 24 * 60) -> DataFrame:
     """The same over a whole table; a user's attempts are one group, since a lock changes which later ones count."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, _, _ = lock_events(rows, 0, 0.0, most=most, minutes=minutes)
+        out = lock_events(rows, most=most, minutes=minutes, idle_minutes=max(idle_minutes, minutes))
         return pd.DataFrame([(rows["user_id"].iloc[0], s, e) for s, e in out], columns=["user_id", "seq", "event"])
 
     return attempts.groupBy("user_id").applyInPandas(fold, LOCK)
@@ -140,6 +212,11 @@ def stream_log_hits(logs: DataFrame, hits: DataFrame, late: str = "1 hour") -> D
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there, into a table of files under the checkpoint folder, and returns that table."""
     spark = stream.sparkSession
-    out = f"{checkpoint}/{name}/out"
-    (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{checkpoint}/{name}/state").outputMode(mode).trigger(availableNow=True).start()).awaitTermination()
+    out, old = f"{checkpoint}/{name}/out", spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{checkpoint}/{name}/state").outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE[0], old) if old else spark.conf.unset(STATE_STORE[0])
     return spark.read.schema(stream.schema).parquet(out)

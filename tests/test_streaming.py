@@ -1,4 +1,6 @@
+import datetime
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -15,11 +17,31 @@ def files(spark, df, path, parts=3):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(path)
 
 
-def test_outcomes_equal_batch(spark, tmp_path):
-    m = Views(spark, SF).messages.cache()
-    got = jobs.run_available(jobs.stream_outcomes(files(spark, m, str(tmp_path / "in"))), "outcomes", str(tmp_path))
-    got = {(r.id, r.follow_up_type, r.was_rephrased, r.changed_topic) for r in got.collect() if r.follow_up_type != "none"}
-    assert got == {tuple(r) for r in C.outcomes(m).collect()} and got
+def shuffled(spark, df, at, path, last, parts=4, late=3000):
+    """The rows in micro-batches whose times overlap by up to ``late`` seconds, and rows (``last``) that move the watermark on."""
+    x = df.withColumn("o", F.unix_timestamp(F.col(at).cast("timestamp")) + F.pmod(F.xxhash64(*df.columns), F.lit(late)))
+    cuts = x.approxQuantile("o", [i / parts for i in range(1, parts)], 0.0)
+    group = sum(((F.col("o") > c).cast("int") for c in cuts), F.lit(0))
+    for i in range(parts):
+        x.filter(group == i).drop("o").orderBy(F.rand(i)).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are read by their time
+    for row in last:
+        spark.createDataFrame([row], df.schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_outcomes_equal_batch_whatever_order_batches_bring(spark, tmp_path):
+    m = Views(spark, SF).messages.select("id", "session_id", "seq", "role", "content_text", "created_at").cache()
+    far = [(10**9 + i, 10**9, i, "user", "x", datetime.datetime(2031 + i, 1, 1)) for i in range(2)]
+    stream = jobs.stream_outcomes(shuffled(spark, m, "created_at", str(tmp_path / "in"), far))
+    rows = jobs.run_available(stream, "outcomes", str(tmp_path)).collect()
+    got = {(r.id, r.follow_up_type, r.was_rephrased, r.changed_topic) for r in rows if r.follow_up_type != "none"}
+    assert got == {tuple(r) for r in C.outcomes(m).collect()} and got and len(rows) == len({r.id for r in rows})
+    last = m.groupBy("session_id").agg(F.max(F.struct("seq", "role", "id")).alias("x")).filter("x.role = 'assistant'").select("x.id")
+    assert {r.id for r in rows if r.follow_up_type == "none"} == {r.id for r in last.collect()}
+    left = spark.read.format("statestore").option("stateVarName", "kept").load(f"{tmp_path}/outcomes/state")
+    assert left.count() <= 1  # of the far session at most
 
 
 def test_windows_equal_batch(spark, tmp_path):
@@ -36,16 +58,22 @@ def test_sessions(spark, tmp_path):
     assert got and all(r.n >= 1 and r.start < r.end for r in got)
 
 
-def test_lockouts_equal_batch_and_rules(spark, tmp_path):
+def test_lockouts_equal_batch_whatever_order_batches_bring(spark, tmp_path):
     rng = random.Random(1)
-    rows = [(u, i, float(i * 20 + u), rng.random() < 0.08) for u in range(6) for i in range(200)]
+    rows = [(u, i, 1e6 + i * 20 + u, rng.random() < 0.08) for u in range(6) for i in range(200)]
     df = spark.createDataFrame(rows, "user_id long, seq long, at double, ok boolean")
-    df.repartitionByRange(4, "at").write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    got = sorted(tuple(r) for r in jobs.run_available(jobs.stream_lockouts(s), "locks", str(tmp_path)).collect())
-    assert got == sorted(tuple(r) for r in jobs.batch_lockouts(df).collect()) and got
-    one = spark.createDataFrame([(1, i, float(i), False) for i in range(8)] + [(1, 8, 10.0, True), (1, 9, 1000.0, False)], df.schema)
+    far = [(99, i, 1e9 + i * 1e8, True) for i in range(2)]
+    got = jobs.run_available(jobs.stream_lockouts(shuffled(spark, df, "at", str(tmp_path / "in"), far, late=1500)), "locks", str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in jobs.batch_lockouts(df).collect()) and got
+    assert spark.read.format("statestore").option("stateVarName", "kept").load(f"{tmp_path}/locks/state").count() <= 1
+
+
+def test_lockout_rules(spark):
+    schema = "user_id long, seq long, at double, ok boolean"
+    one = spark.createDataFrame([(1, i, float(i), False) for i in range(8)] + [(1, 8, 10.0, True), (1, 9, 1000.0, False)], schema)
     assert [tuple(r)[1:] for r in jobs.batch_lockouts(one).orderBy("seq").collect()] == [(7, "locked"), (8, "blocked"), (9, "locked")]
+    away = spark.createDataFrame([(1, i, float(i), False) for i in range(7)] + [(1, 8, 10_000.0, False)], schema)
+    assert jobs.batch_lockouts(away, idle_minutes=60).count() == 0 and jobs.batch_lockouts(away).count() == 1
 
 
 def test_log_hit_join(spark, tmp_path):
