@@ -20,8 +20,6 @@ CATEGORY_INTENT = {
 }
 INTENTS = ["compare", "definition", "retrieval_grounded", "step_by_step", "synthesis"]
 PASS_SCORE, QUARTER = 0.75, 0.25
-STEPS = r"(?mi)^\s*(?:\d+[\).]|step\s+\d+\b|[-*]\s+step\b)"
-CONTRAST = r"(?i)\b(while|whereas|difference|vs\.?|compared|contrast|unlike|but)\b"
 
 
 def errors(c: str = "error_categories") -> Column:
@@ -38,20 +36,6 @@ def intent_of(category: Column, explicit: Column | None = None, mapping: dict |
     return found if explicit is None else F.coalesce(F.nullif(F.lower(F.trim(explicit)), F.lit("")), found)
 
 
-def score_cases(cases: DataFrame, *, structure: Column | None = None) -> DataFrame:
-    """A quarter each for mode, required terms, no forbidden term and structure; passes at 0.75 without a forbidden term."""
-    answer = F.lower(F.coalesce("actual_response", F.lit("")))
-    mode = F.lower(F.trim("effective_mode")) == F.lower(F.trim("expected_mode"))
-    detected = F.lower(F.trim("detected_mode")) == F.lower(F.trim("expected_mode"))
-    mode = F.coalesce(F.when(F.col("category") == "mode_detection", detected).otherwise(mode), F.lit(False))
-    out = cases.select(
-        "id", "evaluation_run_id", "test_id", mode.alias("mode_ok"), F.forall(terms(F.col("must_include")), lambda t: F.contains(answer, t)).alias("content_ok"),
-        (~F.exists(terms(F.col("must_not_include")), lambda t: F.contains(answer, t))).alias("forbidden_ok"), (F.lit(True) if structure is None else F.coalesce(structure, F.lit(False))).alias("structure_ok"),
-    )
-    score = sum((F.col(c).cast("int") for c in ("mode_ok", "content_ok", "forbidden_ok", "structure_ok")), F.lit(0)) * QUARTER
-    return out.withColumn("score", score).withColumn("passed", (F.col("score") >= PASS_SCORE) & F.col("forbidden_ok"))
-
-
 def mean_score(cases: DataFrame, severity: Column) -> DataFrame:
     """The mean of the components that apply: mode, required terms, forbidden terms and severity (fail 0, weak 0.7)."""
     answer = F.lower(F.coalesce("actual_response", F.lit("")))

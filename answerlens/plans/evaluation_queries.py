@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from answerlens.operators import case_scoring as P
 from answerlens.operators import evaluation as E
 from answerlens.operators import judge as K
 from answerlens.plans.registry import query
@@ -18,23 +19,44 @@ def intent():
     return E.intent_of(F.col("category"), mapping=INTENT_BY_LANG)
 
 
-_SCORED = f"""
-SELECT id, evaluation_run_id, test_id, effective_mode = expected_mode AS mode_ok,
-       {_ALL('must_include', "lower(actual_response)")} AS content_ok, {_ALL('must_not_include', "lower(actual_response)", 'NOT')} AS forbidden_ok,
-       regexp_matches(actual_response, '[.]') AS structure_ok FROM <cases>"""
+#: Cases whose answers have the marks of every layout, with modes, sections and diagnostics that come and go.
+_LAID_OUT = """
+SELECT id, evaluation_run_id, test_id, CASE WHEN id % 19 = 0 THEN 'clarification' WHEN id % 17 = 0 THEN 'mode_detection' ELSE category END AS category, CASE WHEN id % 7 = 0 THEN NULL WHEN id % 12 = 1 THEN 'quiz' ELSE expected_mode END AS expected_mode, detected_mode,
+       CASE WHEN id % 11 = 0 THEN NULL WHEN id % 12 = 1 OR id % 12 = 5 THEN 'quiz' ELSE effective_mode END AS effective_mode, must_include, must_not_include, CASE WHEN id % 6 = 0 THEN 'the,of' ELSE '' END AS expected_sections, CASE WHEN id % 8 = 1 THEN 'token' ELSE NULL END AS forbidden_sections,
+       id % 3 <> 0 AS has_diag, CASE WHEN id % 10 = 3 THEN 'compare' ELSE 'direct_definition' END AS answer_mode, id % 9 = 4 AS missing_side,
+       CASE id % 5 WHEN 0 THEN 'Course Answer: ' || CASE WHEN id % 4 = 0 THEN 'Whereas ' ELSE '' END || actual_response WHEN 1 THEN 'Summary: ### Key  Points ' || actual_response
+         WHEN 2 THEN 'Quiz:' || chr(10) || ' 2) ' || actual_response || chr(10) || 'Answer key: b' WHEN 3 THEN substr(actual_response, 1, 90) || '? ### Direct answer' ELSE actual_response END AS actual_response
+FROM <cases>"""
+_IN = lambda c: f"contains(low, '{c}')"
+_LIST = lambda c: f"list_filter(string_split(coalesce({c}, ''), ','), lambda t: t <> '')"
+_SCORED = rf"""
+laid AS ({_LAID_OUT}), p0 AS (SELECT *, lower(actual_response) AS low, coalesce(effective_mode, 'chat') AS eff, coalesce(expected_mode, '') AS want FROM laid),
+p1 AS (SELECT *, category = 'clarification' OR (NOT has_diag AND eff <> 'chat' AND contains(low, '?') AND (contains(low, 'tell me which') OR contains(low, 'tell me what') OR length(trim(actual_response)) < 500)) AS asks FROM p0),
+p2 AS (SELECT *, CASE WHEN asks THEN 'clarification' ELSE eff END AS path, len(list_filter({_LIST('expected_sections')}, lambda s: NOT contains(low, s))) > 0 AS lacks, len(list_filter({_LIST('forbidden_sections')}, lambda s: contains(low, s))) > 0 AS barred,
+  len(list_intersect(regexp_extract_all(low, '[\p{{L}}\p{{N}}\p{{M}}_]+'), ['while', 'whereas', 'difference', 'vs', 'compared', 'contrast', 'unlike', 'but'])) > 0 AS contrasts FROM p1),
+p3 AS (SELECT *, CASE path
+  WHEN 'compare' THEN [CASE WHEN NOT {_IN('course answer:')} THEN 'structure_compare_no_course_answer_header' END, CASE WHEN NOT contrasts THEN 'structure_compare_no_contrast_cue' END, CASE WHEN has_diag AND missing_side THEN 'structure_compare_missing_side_flag' END]
+  WHEN 'summary' THEN [CASE WHEN NOT {_IN('summary:')} THEN 'structure_summary_no_header' END, CASE WHEN NOT regexp_matches(low, '###\s*key\s+(topics|points)') THEN 'structure_summary_no_key_section' END, CASE WHEN barred THEN 'structure_summary_forbidden_substring' END,
+    CASE WHEN {_IN('### direct answer')} THEN 'structure_summary_has_direct_answer' END, CASE WHEN {_IN('course answer:')} AND NOT {_IN('summary:')} THEN 'structure_summary_wrong_block' END]
+  WHEN 'quiz' THEN [CASE WHEN NOT {_IN('quiz:')} THEN 'structure_quiz_no_header' END, CASE WHEN NOT {_IN('answer key:')} THEN 'structure_quiz_no_answer_key' END, CASE WHEN NOT regexp_matches(actual_response, '(?m)^\s*(Q[1-3]\b|[0-9]+[\).]\s)') THEN 'structure_quiz_no_numbered_questions' END,
+    CASE WHEN {_IN('### direct answer')} OR {_IN('### explanation')} THEN 'structure_quiz_forbidden_block' END, CASE WHEN {_IN('course answer:')} THEN 'structure_quiz_has_course_answer' END]
+  WHEN 'clarification' THEN [CASE WHEN NOT ({_IN('?')} OR {_IN('tell me which')} OR {_IN('for example')}) THEN 'structure_clarification_no_followup' END, CASE WHEN {_IN('### direct answer')} THEN 'structure_clarification_has_direct_answer' END]
+  ELSE [CASE WHEN lacks THEN 'structure_chat_missing_expected_section' END, CASE WHEN barred THEN 'structure_chat_forbidden' END, CASE WHEN has_diag AND answer_mode = 'compare' THEN 'structure_chat_wrong_answer_mode' END] END AS own FROM p2),
+p4 AS (SELECT *, list_filter(list_concat(own, [CASE WHEN (want IN ('compare', 'summary', 'quiz') AND path NOT IN ('clarification', want)) OR (want = 'chat' AND eff <> 'chat' AND NOT asks) THEN 'structure_routing_mismatch' END, CASE WHEN lacks THEN 'expected_section_missing' END]), lambda x: x IS NOT NULL) AS errs FROM p3),
+p5 AS (SELECT *, CASE WHEN category = 'mode_detection' THEN detected_mode = want ELSE want = '' OR eff = want END AS mode_ok, {_ALL('must_include', 'low')} AS content_ok, {_ALL('must_not_include', 'low', 'NOT')} AND NOT barred AS forbidden_ok, len(errs) = 0 AS structure_ok FROM p4)"""
 
 
 @query("e1_quarter_score", f"""
-WITH s AS ({_SCORED}), t AS (SELECT *, 0.25::DOUBLE * (mode_ok::INT + content_ok::INT + forbidden_ok::INT + structure_ok::INT) AS score FROM s)
-SELECT *, score >= 0.75 AND forbidden_ok AS passed FROM t""")
+WITH {_SCORED}, t AS (SELECT *, 0.25::DOUBLE * (mode_ok::INT + content_ok::INT + forbidden_ok::INT + structure_ok::INT) AS score,
+  list_concat(errs, list_filter([CASE WHEN NOT mode_ok THEN CASE WHEN category = 'mode_detection' THEN 'mode_detected_mismatch' ELSE 'mode_mismatch' END END, CASE WHEN NOT content_ok THEN 'must_include_failed' END, CASE WHEN NOT forbidden_ok THEN 'forbidden_leak' END], lambda x: x IS NOT NULL)) AS found FROM p5)
+SELECT id, evaluation_run_id, test_id, mode_ok, content_ok, forbidden_ok, structure_ok, array_to_string(list_sort(list_distinct(found)), ';') AS errors, score, score >= 0.75 AND forbidden_ok AS passed FROM t""")
 def _(v):
-    return E.score_cases(v.cases, structure=F.col("actual_response").rlike("[.]"))
+    return P.score_cases(v.sql(_LAID_OUT)).withColumn("errors", F.array_join("errors", ";"))
 
 
-@query("e2_structure_checks", f"""
-SELECT id, {_INTENT} AS intent, regexp_matches(actual_response, '(?m)^\\s*(?:[0-9]+[).]|[sS]tep\\s+[0-9])') AS has_steps, contains(lower(actual_response), ' the ') AS has_cue FROM <cases>""")
+@query("e2_structure_checks", f"WITH {_SCORED} SELECT id, path, structure_ok, array_to_string(list_sort(list_distinct(errs)), ';') AS errors FROM p5")
 def _(v):
-    return v.cases.select("id", intent().alias("intent"), F.col("actual_response").rlike(r"(?m)^\s*(?:[0-9]+[).]|[sS]tep\s+[0-9])").alias("has_steps"), F.contains(F.lower("actual_response"), F.lit(" the ")).alias("has_cue"))
+    return P.structure_checks(v.sql(_LAID_OUT)).withColumn("errors", F.array_join("errors", ";"))
 
 
 @query("e3_mean_score", f"""
