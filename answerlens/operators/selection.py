@@ -89,10 +89,11 @@ def pick_by_topic(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def quiz_items(chunks: DataFrame, seed: int, per_lecture: int = 1) -> DataFrame:
     """One seeded chunk per lecture with three other topics as wrong answers; the same seed gives the same items."""
-    w = W.partitionBy("lecture_number").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
+    drawn = lambda c: F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(c).cast("string")), 256)
+    w = W.partitionBy("lecture_number").orderBy(drawn("id"), "id")
     item = chunks.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_lecture).select("id", "lecture_number", "topic")
     # an item leaves out at most its own topic, so three of the first four are left
-    topics = chunks.select(F.col("topic").alias("other")).filter("other IS NOT NULL").distinct().select(F.xxhash64(F.lit(seed), "other").alias("h"), "other")
+    topics = chunks.select(F.col("topic").alias("other")).filter("other IS NOT NULL").distinct().select(drawn("other").alias("h"), "other")
     topics = topics.orderBy("h", "other").limit(4).agg(F.array_sort(F.collect_list(F.struct("h", "other"))).alias("all"))
     wrong = F.slice(F.filter(F.transform("all", lambda x: x["other"]), lambda t: t != F.col("topic")), 1, 3)
     return item.join(F.broadcast(topics)).select("id", "lecture_number", "topic", F.array_join(wrong, " | ").alias("wrong"))

@@ -11,9 +11,16 @@ from answerlens.plans.registry import query
 _STOP = ["the", "and", "that", "les", "der"]
 
 
-@query("s2_invalid_chunks", "SELECT id, 'bad_key' AS rules FROM <chunks> WHERE NOT regexp_matches(chunk_key, '^[a-z0-9:._-]+$') UNION ALL SELECT id, 'no_body' FROM <chunks> WHERE trim(source_excerpt) = ''")
-def _(v):
-    return v.chunks.select("id", F.array_join(A.invalid_rules(v.chunks), ";").alias("rules")).filter("rules <> ''")
+@query("s2_invalid_chunks", """
+WITH k AS (SELECT id, id % 7 = 1 AS no_topic, id % 5 = 2 AS bad_key, id % 11 = 3 AS no_body, lecture_number < 3 AS bad_number FROM <chunks>)
+SELECT id, array_to_string(list_filter([CASE WHEN no_topic THEN 'empty_heading' END, CASE WHEN bad_key THEN 'bad_key' END, CASE WHEN no_body THEN 'no_body' END, CASE WHEN bad_number THEN 'bad_number' END], lambda x: x IS NOT NULL), ';') AS rules FROM k WHERE no_topic OR bad_key OR no_body OR bad_number""")
+def _(v):
+    id_ = F.col("id")
+    broken = v.chunks.select(
+        "id", F.when(id_ % 7 == 1, " ").otherwise(F.col("topic")).alias("topic"), F.when(id_ % 5 == 2, F.concat("chunk_key", F.lit(" x"))).otherwise(F.col("chunk_key")).alias("chunk_key"),
+        F.when(id_ % 11 != 3, F.col("source_excerpt")).alias("source_excerpt"), F.when(F.col("lecture_number") >= 3, F.col("lecture_number")).alias("lecture_number"),
+    )
+    return broken.select("id", F.array_join(A.invalid_rules(broken), ";").alias("rules")).filter("rules <> ''")
 
 
 @query("s3_chunk_keys", r"""

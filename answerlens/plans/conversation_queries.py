@@ -150,6 +150,8 @@ def _(v):
     return v.documents.select("doc_id", F.md5(V.clean(F.col("text"), r"^(?:All rights|Licensed|Released)[^\n]*$")).alias("cleaned"))
 
 
-@query("v14_repeated_sentences")
+@query("v14_repeated_sentences", r"""
+WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM <documents>)
+SELECT doc_id, sentence, count(*) AS n FROM s WHERE length(sentence) > 6 GROUP BY 1, 2 HAVING count(*) >= 3""")
 def _(v):
-    return V.repeated_sentences(v.documents)
+    return V.repeated_sentences(v.documents, longest_short=6)

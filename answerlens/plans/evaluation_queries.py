@@ -212,10 +212,10 @@ def _(v):
 _VIOL = f"""
 SELECT id, {_INTENT} AS intent, CASE WHEN {_INTENT} = 'step_by_step' AND NOT regexp_matches(actual_response, '(?mi)^\\s*(?:\\d+[).]|step\\s+\\d+\\b|[-*]\\s+step\\b)') THEN 'missing_steps_format'
   WHEN {_INTENT} = 'definition' AND NOT contains(lower(actual_response), 'key idea') THEN 'missing_key_idea'
-  WHEN {_INTENT} = 'compare' AND NOT regexp_matches(actual_response, '(?i)(while|whereas|difference|vs\\.?|compared|contrast|unlike|but)') THEN 'incorrect_template' END AS violation FROM <cases>"""
+  WHEN {_INTENT} = 'compare' AND NOT regexp_matches(actual_response, '(?i)\\b(while|whereas|difference|vs\\.?|compared|contrast|unlike|but)\\b') THEN 'incorrect_template' END AS violation FROM <cases>"""
 
 
-@query("e21_structure")
+@query("e21_structure", f"WITH x AS ({_VIOL}) SELECT intent, count(*) AS total, count(*) FILTER (violation IS NULL) AS compliant, round((count(*) FILTER (violation IS NULL)) / count(*), 6) AS rate FROM x GROUP BY 1")
 def _(v):
     return E.structure_summary(E.structure_violations(v.cases, intent()))
 
@@ -384,7 +384,7 @@ def _(v):
     return K.in_scope(v.cases, ["chat", "compare"]).groupBy("mode").agg(F.count("*").alias("n"))
 
 
-@query("k2_judge_input")
+@query("k2_judge_input", f"WITH {_HITS}, e AS (SELECT id, substr(string_agg(blob, chr(10) || '---' || chr(10) ORDER BY pos), 1, 8000) AS evidence FROM blobs GROUP BY 1) SELECT c.id, query_text AS query, actual_response AS answer, evidence FROM <cases> c LEFT JOIN e ON e.id = c.id")
 def _(v):
     return K.judge_input(v.cases, v.chunks)
 

@@ -115,9 +115,9 @@ def _(v):
     return L.provider_rollup(v.response_variants)
 
 
-@query("a14_repeated_answers", "SELECT substr(sha256(content_text), 1, 32) AS fingerprint, count(*) AS n, min(id) AS first_id FROM <messages> WHERE content_text IS NOT NULL AND role = 'assistant' GROUP BY 1 HAVING count(*) >= 2")
+@query("a14_repeated_answers", "SELECT substr(sha256(actual_response), 1, 32) AS fingerprint, count(*) AS n, min(id) AS first_id FROM <cases> WHERE actual_response IS NOT NULL GROUP BY 1 HAVING count(*) >= 2")
 def _(v):
-    return L.repeated_answers(v.messages.filter("role = 'assistant'"), "content_text")
+    return L.repeated_answers(v.cases, "actual_response")
 
 
 @query("a15_cost", f"""

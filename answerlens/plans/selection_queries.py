@@ -67,7 +67,10 @@ def _(v):
     return S.pick_by_topic(wanted, v.chunks)
 
 
-@query("r36_quiz_items")
+@query("r36_quiz_items", """
+WITH i AS (SELECT id, lecture_number, topic FROM (SELECT *, row_number() OVER (PARTITION BY lecture_number ORDER BY sha256('7:' || id), id) AS r FROM <chunks>) WHERE r = 1),
+f AS (SELECT list(topic ORDER BY h, topic) AS four FROM (SELECT topic, sha256('7:' || topic) AS h FROM (SELECT DISTINCT topic FROM <chunks>) ORDER BY h, topic LIMIT 4))
+SELECT id, lecture_number, topic, array_to_string(list_filter(four, lambda t: t <> topic)[1:3], ' | ') AS wrong FROM i, f""")
 def _(v):
     return S.quiz_items(v.chunks, 7)
 
