@@ -137,10 +137,10 @@ def embedding_near_duplicates(embeddings: DataFrame, spark: SparkSession, *, thr
     rows = rows.withColumn("dim", F.size("v")).withColumn("key", F.when(F.coalesce(fine, F.lit(False)), F.sha2(F.concat_ws(",", F.col("label"), F.col("v").cast("array<string>")), 256)))
     plain = rows.select("id", "key")
     reps = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.any_value("label").alias("label"), F.any_value("dim").alias("dim"), F.any_value("v").alias("v"))
-    reps = scratch.save(reps.withColumn("id", F.xxhash64("key")), "vectors")
+    reps = scratch.save(reps.withColumn("id", F.monotonically_increasing_id()), "vectors")  # written, so that a vector keeps its number
 
     n = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    some = reps.orderBy("id").limit(sample).select("v", "dim").toPandas() if n else pd.DataFrame({"v": [], "dim": []})
+    some = reps.orderBy(F.xxhash64("key"), "key").limit(sample).select("v", "dim").toPandas() if n else pd.DataFrame({"v": [], "dim": []})
     width = int(some["dim"].max()) if n else 1
     unit = np.concatenate([_padded(_unit(list(g["v"])), width) for _, g in some.groupby("dim")]) if n else np.ones((1, 1))
     held = spark.sparkContext.broadcast(fit_cells(unit, cell_count(n, sample)))
@@ -148,7 +148,7 @@ def embedding_near_duplicates(embeddings: DataFrame, spark: SparkSession, *, thr
     at = scratch.save(reps.select("id", "label", "dim", "copies", "v").mapInArrow(_cells(held, delta), "id long, label string, dim int, copies long, v " + kind + ", cell int, home boolean"), "cells")
 
     sizes = scratch.save(at.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    at = at.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.col("id"), F.col("blocks")).cast("int"))
+    at = at.join(sizes, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block pair (p, q): home rows of p against all rows of q; part 0 is p's, 1 is q's, 2 both (p = q)
     pairs = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     as_p = pairs.filter("home").select("label", "dim", "cell", F.col("block").alias("p"), F.col("o").alias("q"), F.when(F.col("block") == F.col("o"), 2).otherwise(0).alias("part"), "id", "copies", "v")
