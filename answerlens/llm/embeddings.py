@@ -162,6 +162,7 @@ def embedding_near_duplicates(embeddings: DataFrame, spark: SparkSession, *, thr
     named = scratch.save(named, "named")
     lows = scratch.save(named.groupBy("component").agg(F.min("low").alias("component_id")), "lows")
     named = scratch.save(named.join(lows, "component").join(links, "id", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "groups")
+    scratch.keep(named)
     out = plain.filter("key IS NOT NULL").join(named, "key").select("id", "n_links", F.coalesce("component_id", "id").alias("component_id"))
     out = out.unionByName(plain.filter("key IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -116,7 +116,9 @@ def filter_audit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_
     scratch = Scratch(documents.sparkSession)
     failed = scratch.save(failed_filters(documents, id_col=id_col, text_col=text_col, part_col=part_col), "failed", scan=True)
     cells = scratch.save(mask_cells(failed, labels, scratch, id_col=id_col), "cells")
-    out = order_steps(prefix_steps(cells, scratch))
+    steps = prefix_steps(cells, scratch)
+    scratch.keep(steps)
+    out = order_steps(steps)
     return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 

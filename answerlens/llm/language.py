@@ -166,6 +166,7 @@ def train_languages(documents: DataFrame, spark: SparkSession, *, sample: int =
     table = np.zeros((max(1, -(-len(langs) // 8)), 1 << (slot_bits - 3)), dtype=np.int64)
     for b in found.toArrow().to_batches():
         table[b.column("byte").to_numpy(), b.column("word").to_numpy()] = b.column("bits").to_numpy()
+    scratch.close()
     table = np.ascontiguousarray(table.view(np.uint8).reshape(len(table), 1 << slot_bits).T)
     full = np.array([((table[:, i >> 3] >> (i & 7)) & 1).mean() for i in range(len(langs))])
     return LanguageFilters([name for name, _ in langs], table, full**HASHES, sizes)

@@ -192,6 +192,7 @@ def importance_resample(documents: DataFrame, target: DataFrame, spark: SparkSes
     before = F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = x.groupBy("p").agg(F.count("*").alias("n")).select("p", before.alias("before"))  # a row per partition of the sort
     take = drawn * (scores.agg(F.sum(F.col("long_enough").cast("long"))).first()[0] or 0) // 100
+    scratch.keep(x)
     rank = F.col("before") + F.col("i") + 1
     return x.join(offsets, "p").select("doc_id", "n_features", "weight", "score", F.when(rank <= take, rank).alias("rank"))
 

@@ -3,24 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN = "spark.answerlens.scratch.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset and Spark is local (tests), one temporary folder per session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-answerlens-")
-        spark.conf.set(_OWN, base)
-    return base.rstrip("/")
+from answerlens.sources.stored import shared_dir
 
 
 class Scratch:
