@@ -52,26 +52,33 @@ def mean_score(cases: DataFrame, severity: Column) -> DataFrame:
     return cases.select("id", F.round(F.when(F.size(parts) > 0, mean).otherwise(0.0), 6).alias("score"))
 
 
+def _blob() -> Column:
+    return F.lower(F.concat_ws(" ", "topic", "source_excerpt", "clean_explanation"))
+
+
 def retrieved_text(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, pos, chunk text): the chunks of each case in their order; ids that aren't numbers are left out."""
     ids = cases.select("id", F.posexplode(F.split(F.coalesce("chunk_ids", F.lit("")), ",")).alias("pos", "c")).select("id", "pos", F.trim("c").try_cast("long").alias("chunk_id")).filter("chunk_id IS NOT NULL")
-    text = F.lower(F.concat_ws(" ", "topic", "source_excerpt", "clean_explanation"))
-    return ids.join(chunks.select(F.col("id").alias("chunk_id"), text.alias("blob")), "chunk_id", "left").select("id", "pos", "chunk_id", F.coalesce("blob", F.lit("")).alias("blob"))
+    return ids.join(chunks.select(F.col("id").alias("chunk_id"), _blob().alias("blob")), "chunk_id", "left").select("id", "pos", "chunk_id", F.coalesce("blob", F.lit("")).alias("blob"))
 
 
 def term_hits(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per case: flags of its retrieved chunks against its terms, without carrying chunk texts past the comparison."""
-    need, ban = terms(F.col("must_include")), terms(F.col("must_not_include"))
-    x = retrieved_text(cases, chunks).join(cases.select("id", need.alias("need"), ban.alias("ban")), "id")
-    hit = x.select("id", "pos", F.transform("need", lambda t: F.contains("blob", t)).alias("has"), F.exists("ban", lambda t: F.contains("blob", t)).alias("banned"))
+    """(id, top_1, top_k, banned, terms_found, terms_all, unseen): flags of a case's retrieved chunks against its terms.
+
+    Cases and chunks are read once each; a case's terms go along with its chunk ids, and texts end with the comparison.
+    """
+    ids = cases.select("id", terms(F.col("must_include")).alias("need"), terms(F.col("must_not_include")).alias("ban"), F.posexplode(F.split(F.coalesce("chunk_ids", F.lit("")), ",")).alias("pos", "c"))
+    ids = ids.select("id", "need", "ban", "pos", F.trim("c").try_cast("long").alias("chunk_id")).filter("chunk_id IS NOT NULL")
+    x = ids.join(chunks.select(F.col("id").alias("chunk_id"), _blob().alias("blob")), "chunk_id", "left").withColumn("blob", F.coalesce("blob", F.lit("")))
+    hit = x.select("id", "need", "pos", F.transform("need", lambda t: F.contains("blob", t)).alias("has"), F.exists("ban", lambda t: F.contains("blob", t)).alias("banned"))
     # a contains() on the joined row: names are resolved as columns
     full = F.size("has") > 0
     g = hit.withColumn("whole", full & F.forall("has", lambda b: b)).groupBy("id").agg(
-        F.max_by("whole", -F.col("pos")).alias("top_1"), F.bool_or("whole").alias("top_k"), F.bool_or("banned").alias("banned"), F.collect_list("has").alias("rows")
+        F.max_by("whole", -F.col("pos")).alias("top_1"), F.bool_or("whole").alias("top_k"), F.bool_or("banned").alias("banned"), F.collect_list("has").alias("rows"), F.first("need").alias("need")
     )
-    any_row = F.transform(F.sequence(F.lit(0), F.size(F.col("rows")[0]) - 1), lambda i: F.exists("rows", lambda r: F.get(r, i)))
-    some = F.size(F.col("rows")[0]) > 0
-    return g.select("id", "top_1", "top_k", "banned", F.when(some, F.size(F.filter(any_row, lambda b: b))).otherwise(0).alias("terms_found"), F.when(some, F.size(F.col("rows")[0])).otherwise(0).alias("terms_all"))
+    g = g.withColumn("seen", F.transform("need", lambda t, i: F.exists("rows", lambda r: F.get(r, i))))
+    found = F.size(F.filter("seen", lambda b: b))
+    return g.select("id", "top_1", "top_k", "banned", found.alias("terms_found"), F.size("need").alias("terms_all"), F.filter("need", lambda t, i: ~F.get("seen", i)).alias("unseen"))
 
 
 def failure_tags(cases: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -87,15 +94,13 @@ def failure_tags(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     return x.select("id", F.array_join(F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("validation_missed_error"))), ";").alias("tags"))
 
 
-def primary_errors(cases: DataFrame, chunks: DataFrame, intent: Column) -> DataFrame:
-    """(id, primary_error) of failed cases: the first rule that holds."""
+def primary_errors(cases: DataFrame, chunks: DataFrame, intent: Column, hits: DataFrame | None = None) -> DataFrame:
+    """(id, primary_error) of failed cases: the first rule that holds. hits are their term_hits, if already there."""
     answer = F.lower(F.coalesce("actual_response", F.lit("")))
     need = terms(F.col("must_include"))
-    hits = term_hits(cases, chunks)
-    per_term = retrieved_text(cases, chunks).join(cases.select("id", F.explode(F.array_distinct(need)).alias("t")), "id").groupBy("id", "t").agg(F.bool_or(F.contains("blob", "t")).alias("seen"))
-    unseen = per_term.filter("NOT seen").groupBy("id").agg(F.collect_set("t").alias("unseen"))
-    x = cases.filter(~_passed()).join(hits.select("id", "banned"), "id", "left").join(unseen, "id", "left")
-    lacking = F.exists(F.when(F.col("banned").isNull(), need).otherwise(F.coalesce("unseen", F.array().cast("array<string>"))), lambda t: ~F.contains(answer, t))
+    hits = term_hits(cases, chunks) if hits is None else hits
+    x = cases.filter(~_passed()).join(hits.select("id", "banned", "unseen"), "id", "left")
+    lacking = F.exists(F.when(F.col("banned").isNull(), need).otherwise(F.col("unseen")), lambda t: ~F.contains(answer, t))
     e = errors()
     has = lambda name: F.array_contains(e, name)
     kind = (

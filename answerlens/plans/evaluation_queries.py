@@ -99,8 +99,13 @@ _PRIMARY = f"""{_HITS}, primaries AS (SELECT c.id, c.test_id, c.query_text, CASE
   FROM <cases> c JOIN hits h ON h.id = c.id JOIN combined cb ON cb.id = c.id WHERE NOT c.pass_bool)"""
 
 
-def primary(v):
-    return E.primary_errors(v.cases, v.chunks, F.lit("definition"))
+def primary(v, hits=None):
+    return E.primary_errors(v.cases, v.chunks, F.lit("definition"), hits)
+
+
+def term_hits(v):
+    """Written once where two parts of a query read them."""
+    return v.stored("term_hits", lambda: E.term_hits(v.cases, v.chunks))
 
 
 @query("e5_primary_error", f"WITH {_PRIMARY} SELECT id, primary_error FROM primaries")
@@ -261,8 +266,8 @@ WITH {_PRIMARY}, e AS (SELECT 1 AS priority, primary_error AS issue, count(*) AS
 c AS (SELECT 4 AS priority, 'under_tested' AS issue, count(*) AS n FROM ({_COVER}) WHERE under_tested HAVING count(*) > 0)
 SELECT priority, issue, n FROM (SELECT * FROM e UNION ALL SELECT * FROM r UNION ALL SELECT * FROM c) ORDER BY priority, n DESC, issue LIMIT 3""")
 def _(v):
-    e = primary(v).groupBy(F.lit(1).alias("priority"), F.col("primary_error").alias("issue")).agg(F.count("*").alias("n"))
-    h = E.term_hits(v.cases, v.chunks).agg(F.count_if(~F.col("top_1")).alias("n"), F.count("*").alias("all")).filter(F.col("all") - F.col("n") < 0.8 * F.col("all")).select(F.lit(2).alias("priority"), F.lit("low_top_1").alias("issue"), "n")
+    e = primary(v, term_hits(v)).groupBy(F.lit(1).alias("priority"), F.col("primary_error").alias("issue")).agg(F.count("*").alias("n"))
+    h = term_hits(v).agg(F.count_if(~F.col("top_1")).alias("n"), F.count("*").alias("all")).filter(F.col("all") - F.col("n") < 0.8 * F.col("all")).select(F.lit(2).alias("priority"), F.lit("low_top_1").alias("issue"), "n")
     c = E.coverage_phases(v.cases).agg(F.count_if("under_tested").alias("n")).filter("n > 0").select(F.lit(4).alias("priority"), F.lit("under_tested").alias("issue"), "n")
     return e.unionByName(h).unionByName(c).orderBy("priority", F.desc("n"), "issue").limit(3)
 
