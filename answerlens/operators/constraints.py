@@ -12,7 +12,12 @@ from answerlens.functions import text as T
 LEAD = r"(?i)^(?:compare|contrast|difference\s+between|what\s+is\s+the\s+difference\s+between)\s+"
 SIDES = r"(?i)\s+(?:vs\.?|versus)\s+"
 LISTING = r"(?is)(?:compare|contrast)\s+(.+)$"
-CLAUSE = r"(?is)\s+(?:in\s+\w+|for\s+\w+|with\s+respect\s+to|according\s+to|within|during|regarding|when\s+(?:used|applied|training|doing))(?:\s.*)?$"
+CLAUSE = (
+    r"(?i)\s+(?:in\s+(?:this|the|that|a|an|our|\w+(?:\s+\w+)*)\b|with\s+respect\s+to\b|for\s+(?:this|the|that|a|an|our|\w+(?:\s+\w+)*)\b|"
+    r"according\s+to\b|within\b|during\b|regarding\b|when\s+(?:used|applied|training|doing)\b).*$"
+)
+DIFFERENT_FROM = r"(?is)\bhow\s+is\s+(.+?)\s+different\s+from\s+(.+?)\s*$"
+PAIR = r"(?i)(?:difference|differ|compare|comparison|contrast|versus|vs\.?)\s+(?:between\s+)?(.+?)\s+(?:and|vs\.?|versus|or|&)\s+(.+)"
 _EDGE = r"^\s+|[\s?.,;:]+$"
 
 
@@ -24,15 +29,18 @@ def _parts(c: Column, separator: str) -> Column:
     return F.filter(F.transform(F.split(c, separator), _trimmed), lambda x: x != "")
 
 
-def compare_entities(queries: DataFrame, *, sides: str = SIDES, listing: str = LISTING, clause: str = CLAUSE, most: int = 8) -> DataFrame:
+def compare_entities(queries: DataFrame, *, sides: str = SIDES, listing: str = LISTING, clause: str = CLAUSE, different: str = DIFFERENT_FROM, pair: str = PAIR, most: int = 8) -> DataFrame:
     """(query_id, pos, entity): what a query compares, in order; queries that compare nothing have no rows.
 
-    Two or more sides around a separator, else three or more items of a list after ``listing``.
+    Two or more sides around a separator, else three or more items of a list after ``listing``, else the two sides of "how
+    is one different from the other" (``different``) or of a comparison of one and the other (``pair``).
     """
     text = F.coalesce("query_text", F.lit(""))
     body = _trimmed(F.regexp_replace(F.trim(F.get(F.split(text, "[?]"), F.lit(0))), LEAD, ""))
-    two, items = _parts(body, sides), _parts(F.regexp_extract(text, listing, 1), r",|\s+and\s+")
-    found = F.when(F.size(two) >= 2, two).when(F.size(items) >= 3, items)
+    two, items = _parts(body, sides), _parts(F.regexp_extract(text, listing, 1), r",|\band\b")
+    groups = lambda c, p: F.filter(F.array(*[_trimmed(F.regexp_replace(F.trim(F.regexp_extract(c, p, k)), LEAD, "")) for k in (1, 2)]), lambda x: x != "")
+    apart, both = groups(body, different), groups(text, pair)
+    found = F.when(F.size(two) >= 2, two).when(F.size(items) >= 3, items).when(F.size(apart) == 2, apart).when(F.size(both) == 2, both)
     name = lambda x: _trimmed(F.regexp_replace(F.get(F.split(F.regexp_replace(x, LEAD, ""), ":"), F.lit(0)), clause, ""))
     return queries.select("query_id", F.posexplode(F.filter(F.transform(F.slice(found, 1, most), name), lambda x: x != "")).alias("pos", "entity"))
 
@@ -127,30 +135,39 @@ def structural_errors(concepts: DataFrame) -> DataFrame:
     return x.select("concept_id", F.explode(errors).alias("error"))
 
 
-def augmented_queries(queries: DataFrame, linked: DataFrame, terms: DataFrame, most: int = 18) -> DataFrame:
-    """(query_id, text): each query with the terms of its linked concepts (query_id, pos, concept_id) that it lacks.
+def augmented_queries(queries: DataFrame, linked: DataFrame, terms: DataFrame, hints: DataFrame | None = None, most: int = 18) -> DataFrame:
+    """(query_id, text): each query with the terms and hints of its linked concepts (query_id, pos, concept_id) that it lacks.
 
-    Terms whose text or whose words all stand in the query are left out. They follow by the concept's place, then the
-    term, until ``most`` words are added; the term that reaches the limit is kept. Queries without any stay as they are.
+    hints is (concept_id, pos, hint). Concepts go in order, each with its terms, then its hints. A phrase whose text stands
+    in the query, or whose words all stand there or in what was added before, is left out; once ``most`` words are added
+    no more follow. Queries without any stay as they are. A query's phrases are those of its concepts, so they are few.
     """
-    kb = terms.select("concept_id", F.lower(F.trim("term")).alias("term")).filter(F.length("term") >= 2).distinct()
+    kb = terms.select("concept_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("at"), F.lower(F.trim("term")).alias("term"))
+    if hints is not None:
+        kb = kb.unionByName(hints.select("concept_id", F.lit(1).alias("kind"), F.col("pos").cast("long").alias("at"), F.lower(F.trim("hint")).alias("term")))
     low = queries.select("query_id", T.normal_line(F.coalesce("query_text", F.lit(""))).alias("low"))
-    x = linked.join(kb, "concept_id").join(low, "query_id").withColumn("words", T.tokens(F.col("term")))
-    known = (F.size("words") > 0) & (F.size(F.array_except("words", T.tokens(F.col("low")))) == 0)
-    x = x.filter(~F.contains("low", F.col("term")) & ~known).groupBy("query_id", "term").agg(F.min(F.struct("pos", "concept_id")).alias("at"), F.greatest(F.first(F.size("words")), F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("query_id").orderBy("at", "term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    more = x.withColumn("before", before).filter(F.col("before") < most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("x"))
-    more = more.select("query_id", F.array_join(F.transform("x", lambda r: r["term"]), " ").alias("more"))
+    x = linked.join(kb.filter(F.length("term") >= 2).distinct(), "concept_id").join(low, "query_id").filter(~F.contains("low", F.col("term")))
+    order = F.struct("pos", "concept_id", "kind", "at", "term")
+    x = x.groupBy("query_id", "low").agg(F.array_sort(F.collect_list(order)).alias("x")).withColumn("have", T.tokens(F.col("low")))
+    x = x.withColumn("x", F.transform("x", lambda r: F.struct(r["term"].alias("term"), T.tokens(r["term"]).alias("words"))))
+    start = F.struct(F.col("have").alias("have"), F.array().cast("array<string>").alias("more"), F.lit(0).alias("n"))
+
+    def add(s, r):
+        known = (F.size(r["words"]) > 0) & (F.size(F.array_except(r["words"], s["have"])) == 0)
+        longer = F.struct(F.array_union(s["have"], r["words"]).alias("have"), F.concat(s["more"], F.array(r["term"])).alias("more"), (s["n"] + F.greatest(F.size(r["words"]), F.lit(1))).alias("n"))
+        return F.when(known | (s["n"] >= most), s).otherwise(longer)
+
+    more = x.select("query_id", F.array_join(F.aggregate("x", start, add)["more"], " ").alias("more")).filter("more <> ''")
     return queries.join(more, "query_id", "left").select("query_id", F.concat_ws(" ", "query_text", "more").alias("text"))
 
 
-def model_input(hits: DataFrame, chunks: DataFrame, most_chars: int = 8000) -> DataFrame:
+def model_input(hits: DataFrame, chunks: DataFrame, most_chars: int = 8000, text_col: str = "clean_explanation") -> DataFrame:
     """(query_id, section, n, text): texts of the hits (query_id, section, id, rank) by rank, each text once per query.
 
     A text that stands in two sections stays in the one that sorts first. Only texts of hits are read; a section's
     text is cut at ``most_chars`` characters, as a model's input is.
     """
-    c = chunks.join(hits.select("id").distinct(), "id", "left_semi").select("id", F.trim("clean_explanation").alias("line")).filter("line <> ''")
+    c = chunks.join(hits.select("id").distinct(), "id", "left_semi").select("id", F.trim(text_col).alias("line")).filter("line <> ''")
     once = hits.join(c, "id").groupBy("query_id", F.lower("line").alias("key")).agg(F.min(F.struct("section", "rank", "id", "line")).alias("x"))
     listed = once.groupBy("query_id", F.col("x.section").alias("section")).agg(F.array_sort(F.collect_list("x")).alias("x"))
     return listed.select("query_id", "section", F.size("x").cast("long").alias("n"), F.substring(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), 1, most_chars).alias("text"))

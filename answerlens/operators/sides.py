@@ -10,6 +10,8 @@ from answerlens.functions import text as T
 
 # How alike two scores must be for a shared line, lines that a side keeps, chunks of a side, terms that name a side.
 SHARED_RATIO, LINES, CHUNKS, NAMES = 0.6, 8, 4, 6
+# The least score of a side's best chunk, and the core lines that two sides are told apart by.
+SUPPORT, TOLD = 0.15, 3
 
 
 def hits_of(low: Column, words: Column, term: Column) -> Column:
@@ -89,3 +91,16 @@ def line_sides(units: DataFrame, terms: DataFrame, *, ratio: float = SHARED_RATI
     met = met.groupBy("key", "side", "term").agg(F.min(at).alias("at"))
     met = met.select("key", "side", F.lit("forbidden").alias("kind"), F.row_number().over(own).alias("place"), F.col("term").alias("line"))
     return core.unionByName(shared).unionByName(met)
+
+
+def needs_fallback(pairs: DataFrame, lines: DataFrame, support: DataFrame, *, least: float = SUPPORT) -> DataFrame:
+    """(key, fallback): whether a comparison's evidence is too weak to be told by lines.
+
+    pairs is (key), lines those of line_sides, support (key, side, support) the best score of each side's chunks. It falls
+    back where a side has no core line or support below ``least``, or where the first three core lines of both are the same.
+    """
+    first = lines.filter((F.col("kind") == "core") & (F.col("place") <= TOLD)).groupBy("key").pivot("side", ["a", "b"]).agg(F.array_sort(F.collect_set(T.normal_line(F.col("line")))))
+    weak = support.groupBy("key").agg(F.min("support").alias("low"), F.count("*").alias("sides"))
+    x = pairs.select("key").distinct().join(first, "key", "left").join(weak, "key", "left")
+    empty = (F.coalesce(F.size("a"), F.lit(0)) < 1) | (F.coalesce(F.size("b"), F.lit(0)) < 1)
+    return x.select("key", (empty | (F.col("a") == F.col("b")) | (F.coalesce("sides", F.lit(0)) < 2) | (F.col("low") < least)).alias("fallback"))

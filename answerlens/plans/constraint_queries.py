@@ -21,7 +21,7 @@ def _sql_parts(c: str, sep: str) -> str:
 
 
 @query("q4_compare_entities", rf"""
-WITH b AS (SELECT query_id, {_sql_parts(rf"regexp_replace(trim(string_split(query_text, '?')[1]), {_EDGE})", r'\s+with\s+')} AS two, {_sql_parts(r"regexp_extract(query_text, '(?s)the\s+(.+)$', 1)", r',|\s+and\s+')} AS items FROM <queries>),
+WITH b AS (SELECT query_id, {_sql_parts(rf"regexp_replace(trim(string_split(query_text, '?')[1]), {_EDGE})", r'\s+with\s+')} AS two, {_sql_parts(r"regexp_extract(query_text, '(?s)the\s+(.+)$', 1)", r',|\band\b')} AS items FROM <queries>),
 f AS (SELECT query_id, (CASE WHEN len(two) >= 2 THEN two WHEN len(items) >= 3 THEN items END)[1:8] AS f FROM b),
 e AS (SELECT query_id, list_filter(list_transform(f, lambda x: regexp_replace(regexp_replace(string_split(x, ':')[1], '(?s)\s+for\s.*$', ''), {_EDGE})), lambda x: x <> '') AS e FROM f)
 SELECT query_id, unnest(range(len(e))) AS pos, unnest(e) AS entity FROM e""")
@@ -118,18 +118,20 @@ def _(v):
 
 @query("r11_augmented_queries", rf"""
 WITH t AS (SELECT query_id, unnest({_WORD}) AS term, unnest(range(len({_WORD}))) AS pos FROM <queries>), l AS (SELECT query_id, concept_id, min(pos) AS pos FROM t JOIN <concept_terms> USING (term) GROUP BY 1, 2),
-x AS (SELECT l.query_id, k.term, min((pos, concept_id)) AS spot FROM l JOIN <concept_terms> k USING (concept_id) JOIN <queries> q ON q.query_id = l.query_id WHERE NOT contains(lower(trim(regexp_replace(query_text, '\s+', ' ', 'g'))), k.term) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot, term) AS place FROM x), m AS (SELECT query_id, string_agg(term, ' ' ORDER BY spot, term) AS more FROM r WHERE place <= 18 GROUP BY 1)
-SELECT q.query_id, query_text || coalesce(' ' || more, '') AS text FROM <queries> q LEFT JOIN m ON m.query_id = q.query_id""")
+kb AS (SELECT concept_id, 0 AS kind, 0 AS at, term FROM <concept_terms> UNION ALL SELECT concept_id, 1, pos, hint FROM <concept_hints>),
+x AS (SELECT l.query_id, k.term, min((l.pos, l.concept_id, kind, k.at)) AS spot FROM l JOIN kb k USING (concept_id) JOIN <queries> q ON q.query_id = l.query_id WHERE NOT contains(lower(trim(regexp_replace(query_text, '\s+', ' ', 'g'))), k.term) GROUP BY 1, 2),
+r AS (SELECT *, coalesce(sum(len(regexp_extract_all(term, '[a-z0-9]+'))) OVER (PARTITION BY query_id ORDER BY spot, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x),
+m AS (SELECT query_id, string_agg(term, ' ' ORDER BY spot, term) AS more FROM r WHERE before < 18 GROUP BY 1)
+SELECT q.query_id, query_text || coalesce(' ' || more, '') AS text FROM <queries> q LEFT JOIN m ON m.query_id = q.query_id""".replace(" AS at,", " AS spot_at,").replace("k.at", "k.spot_at"))
 def _(v):
     linked = Q.linked_concepts(v.queries, v.concept_terms).select("query_id", F.posexplode(F.split("concepts", ",")).alias("pos", "concept_id"))
-    return C.augmented_queries(v.queries, linked, v.concept_terms)
+    return C.augmented_queries(v.queries, linked, v.concept_terms, v.concept_hints)
 
 
 @query("r47_model_input", f"""
 WITH {_LEX}, h AS (SELECT query_id, CASE WHEN rank <= 4 THEN 'primary' ELSE 'supporting' END AS section, id, rank FROM ranked WHERE rank <= 8),
-o AS (SELECT query_id, lower(trim(clean_explanation)) AS key, min((section, rank, h.id, trim(clean_explanation))) AS x FROM h JOIN <chunks> k ON k.id = h.id WHERE trim(clean_explanation) <> '' GROUP BY 1, 2)
+o AS (SELECT query_id, lower(trim(source_excerpt)) AS key, min((section, rank, h.id, trim(source_excerpt))) AS x FROM h JOIN <chunks> k ON k.id = h.id WHERE trim(source_excerpt) <> '' GROUP BY 1, 2)
 SELECT query_id, struct_extract(x, 1) AS section, count(*) AS n, substr(string_agg(struct_extract(x, 4), chr(10) ORDER BY x), 1, 8000) AS text FROM o GROUP BY 1, 2""".replace("\no AS", "\nonce AS").replace("FROM o GROUP", "FROM once GROUP"))
 def _(v):
     h = hits(v, 8).select("query_id", F.when(F.col("rank") <= 4, "primary").otherwise("supporting").alias("section"), "id", "rank")
-    return C.model_input(h, v.chunks)
+    return C.model_input(h, v.chunks, text_col="source_excerpt")

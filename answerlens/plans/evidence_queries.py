@@ -1,4 +1,4 @@
-"""Queries of line sides, secondary texts and sub-questions."""
+"""Queries of line sides, secondary texts and sub-questions."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def _held(terms: str) -> str:
     return f"len(list_filter(w, lambda x: list_contains({terms}, x)))"
 
 
-@query("r28_line_sides", f"""
+_SIDES = f"""
 WITH {_ENT}, {_NAMED}, sided AS (SELECT query_id AS key, max(CASE WHEN place = 1 THEN concept_id END) AS ca, max(CASE WHEN place = 2 THEN concept_id END) AS cb FROM named GROUP BY 1 HAVING count(*) >= 2),
 told AS (SELECT concept_id, list(term ORDER BY term) AS ts FROM <concept_terms> GROUP BY 1), barred AS (SELECT unnest({list(_BARRED)}) AS concept_id, unnest([{_BAD}]) AS bs),
 wanted AS (SELECT key, 'a' AS side, ca AS concept_id FROM sided UNION ALL SELECT key, 'b', cb FROM sided),
@@ -41,21 +41,40 @@ marked AS (SELECT *, CASE WHEN sa >= 1 AND sb >= 1 AND NOT ba AND NOT bb AND lea
   WHEN ba AND sa > 0 THEN 'forbidden_a' WHEN bb AND sb > 0 THEN 'forbidden_b' ELSE 'skip' END AS label FROM points),
 c1 AS (SELECT key, side, lower(trim(unit)) AS low, min((place, pos, unit)) AS spot FROM marked WHERE label = side GROUP BY 1, 2, 3), c2 AS (SELECT *, row_number() OVER (PARTITION BY key, side ORDER BY spot) AS place FROM c1),
 s1 AS (SELECT key, lower(trim(unit)) AS low, min((side, place, pos, unit)) AS spot FROM marked WHERE label = 'shared' GROUP BY 1, 2),
-f1 AS (SELECT key, side, CASE WHEN side = 'a' THEN na[1] ELSE nb[1] END AS term, min((place, pos, unit)) AS spot FROM marked WHERE label = 'forbidden_' || side GROUP BY 1, 2, 3)
+f1 AS (SELECT key, side, CASE WHEN side = 'a' THEN na[1] ELSE nb[1] END AS term, min((place, pos, unit)) AS spot FROM marked WHERE label = 'forbidden_' || side GROUP BY 1, 2, 3)"""
+
+
+@query("r28_line_sides", _SIDES + """
 SELECT key AS query_id, side, 'core' AS kind, place, md5(trim(struct_extract(spot, 3))) AS line FROM c2 WHERE place <= 8
 UNION ALL SELECT key, 'both', 'shared', row_number() OVER (PARTITION BY key ORDER BY spot), md5(trim(struct_extract(spot, 4))) FROM s1
 UNION ALL SELECT key, side, 'forbidden', row_number() OVER (PARTITION BY key, side ORDER BY spot), md5(term) FROM f1""")
 def _(v):
+    return told(v)[1].select(F.col("key").alias("query_id"), "side", "kind", "place", F.md5("line").alias("line"))
+
+
+def told(v):
+    """(pairs of concepts, lines of their sides, support of each side)"""
     named = K.named_concepts(v.queries, v.concept_terms).filter("place <= 2")
     at = lambda n: F.max(F.when(F.col("place") == n, F.col("concept_id")))
     pairs = named.groupBy(F.col("query_id").alias("key")).agg(at(1).alias("a"), at(2).alias("b")).filter("b IS NOT NULL")
-    chosen = L.side_chunks(R.entity_scores(entities(v), ["c3"]), pairs)
+    scored = R.entity_scores(entities(v), ["c3"])
+    chosen = L.side_chunks(scored, pairs)
     barred = F.create_map(*[F.lit(x) for kv in _BARRED.items() for x in kv])
     own = v.concept_terms.groupBy("concept_id").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.array(barred[F.col("concept_id")]).alias("barred"))
     side = lambda c: own.select(F.col("concept_id").alias(c), F.col("terms").alias(f"terms_{c}"), F.col("barred").alias(f"not_{c}"))
     terms = pairs.join(side("a"), "a").join(side("b"), "b").select("key", F.col("terms_a").alias("a"), F.col("terms_b").alias("b"), "not_a", "not_b")
-    out = L.line_sides(L.unit_rows(chosen, v.chunks), terms)
-    return out.select(F.col("key").alias("query_id"), "side", "kind", "place", F.md5("line").alias("line"))
+    best = scored.groupBy(F.col("query_id").alias("key"), "concept_id").agg(F.max("score").alias("support"))
+    support = pairs.select("key", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("concept_id")), F.struct(F.lit("b").alias("side"), F.col("b").alias("concept_id")))).alias("x")).select("key", "x.*").join(best, ["key", "concept_id"])
+    return pairs, L.line_sides(L.unit_rows(chosen, v.chunks), terms), support
+
+
+@query("r44_fallback", _SIDES + r""",
+core AS (SELECT key, side, list_sort(list_distinct(list(lower(trim(regexp_replace(struct_extract(spot, 3), '\s+', ' ', 'g')))))) AS three FROM (SELECT *, row_number() OVER (PARTITION BY key, side ORDER BY place) AS r FROM c2) WHERE r <= 3 GROUP BY 1, 2),
+held AS (SELECT key, side, max(score) AS support FROM wanted JOIN es ON es.query_id = key AND es.concept_id = wanted.concept_id GROUP BY 1, 2)
+SELECT s.key AS query_id, x.three IS NULL OR y.three IS NULL OR x.three = y.three OR coalesce(h.support, -1) < 0.15 OR coalesce(i.support, -1) < 0.15 AS fallback FROM sided s
+LEFT JOIN core x ON x.key = s.key AND x.side = 'a' LEFT JOIN core y ON y.key = s.key AND y.side = 'b' LEFT JOIN held h ON h.key = s.key AND h.side = 'a' LEFT JOIN held i ON i.key = s.key AND i.side = 'b'""")
+def _(v):
+    return L.needs_fallback(*told(v)).select(F.col("key").alias("query_id"), "fallback")
 
 
 #: Words that occur stand for the phrases that mark what comes from outside.

@@ -17,6 +17,25 @@ def test_compare_entities(spark):
     assert got == {0: ["bagging", "boosting"], 1: ["a", "b", "c"], 2: ["PCA", "LDA"]}
 
 
+def test_two_sides_in_other_words(spark):
+    q = asked(spark, "How is a CNN different from an RNN?", "What is the difference between bias and variance in this course", "compare PCA and LDA", "Contrast x or y for the exam", "how is life", "Comparison of them")
+    got = {}
+    for r in C.compare_entities(q).orderBy("query_id", "pos").collect():
+        got.setdefault(r["query_id"], []).append(r["entity"])
+    assert got == {0: ["a CNN", "an RNN"], 1: ["bias", "variance"], 2: ["PCA", "LDA"], 3: ["x", "y"]}
+
+
+def test_augmented_queries_add_terms_then_hints_once(spark):
+    q = asked(spark, "the mfcc of speech", "pitch", None)
+    linked = spark.createDataFrame([(0, 0, "m"), (0, 1, "p"), (1, 0, "p")], "query_id int, pos int, concept_id string")
+    terms = spark.createDataFrame([("m", "MFCC"), ("m", "cepstral coefficients"), ("p", "pitch"), ("p", "f0 curve")], "concept_id string, term string")
+    hints = spark.createDataFrame([("m", 0, "coefficients"), ("m", 1, "lecture 4 slides"), ("p", 0, "f0 curve slides")], "concept_id string, pos int, hint string")
+    got = {r.query_id: r.text for r in C.augmented_queries(q, linked, terms, hints).collect()}
+    # all words of "coefficients" and of "f0 curve slides" are there by then
+    assert got == {0: "the mfcc of speech cepstral coefficients lecture 4 slides f0 curve pitch", 1: "pitch f0 curve f0 curve slides", 2: ""}
+    assert C.augmented_queries(q, linked, terms, hints, most=2).filter("query_id = 0").first().text == "the mfcc of speech cepstral coefficients"
+
+
 def test_compare_entities_drop_trailing_clauses(spark):
     q = asked(spark, "rnn vs transformers in this course")
     assert [r["entity"] for r in C.compare_entities(q).orderBy("pos").collect()] == ["rnn", "transformers"]

@@ -97,6 +97,14 @@ def test_line_sides_cut_and_order(spark):
     assert L.line_sides(units, t).filter("kind = 'core'").count() == L.LINES
 
 
+def test_weak_sides_fall_back(spark):
+    pairs = spark.createDataFrame([(k,) for k in "vwxyz"], "key string")
+    lines = [("v", "a", "one"), ("v", "b", "two"), ("w", "a", "Same  line"), ("w", "b", "same line"), ("x", "a", "only"), ("y", "a", "one"), ("y", "b", "two")]
+    lines = spark.createDataFrame([(k, s, "core", 1, t) for k, s, t in lines] + [("x", "both", "shared", 1, "t")], "key string, side string, kind string, place int, line string")
+    support = spark.createDataFrame([(k, s, 0.1 if k == "y" and s == "b" else 0.5) for k in "vwxy" for s in "ab"], "key string, side string, support double")
+    assert {r.key: r.fallback for r in L.needs_fallback(pairs, lines, support).collect()} == {"v": False, "w": True, "x": True, "y": True, "z": True}
+
+
 def _check(spark, text, lines, terms=(), relational=False, external=True):
     texts = spark.createDataFrame([(1, text, relational, external)], "id long, secondary string, relational boolean, external boolean")
     out = Y.check_secondary(texts, spark.createDataFrame([(1, x) for x in lines], "id long, line string"), spark.createDataFrame([(1, x) for x in terms], "id long, term string"))
