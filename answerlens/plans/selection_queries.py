@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from answerlens.operators import questions as Q
 from answerlens.operators import retrieval as R
 from answerlens.operators import selection as S
 from answerlens.operators import structured as K
@@ -134,9 +135,19 @@ def _(v):
     return S.distinct_evidence(x.filter("query_id % 2 = 0"), x.filter("query_id % 2 = 1").withColumn("query_id", F.col("query_id") - 1))
 
 
-@query("q15_gates", """
-WITH x AS (SELECT id AS query_id, num_chunks_hit AS hits, id % 7 = 0 AS spam, is_low_confidence AS low, id % 3 AS targets, id % 5 <> 0 AS complete FROM <retrieval_logs>)
-SELECT query_id, CASE WHEN hits = 0 THEN 'empty' WHEN spam THEN 'spam' WHEN low AND targets = 0 THEN 'low_confidence_no_target' WHEN NOT complete THEN 'incomplete' WHEN low THEN 'retry_wider' ELSE 'answer' END AS gate FROM x""")
+@query("q15_gates", f"""
+WITH {_ENT}, {_LOW}, seen AS (SELECT DISTINCT query_id FROM eh WHERE concept_id = 'c2'), low AS (SELECT c.query_id, hits, confidence < CASE WHEN s.query_id IS NULL THEN 0.35 ELSE 0.35 * 0.55 END AS low FROM conf c LEFT JOIN seen s ON s.query_id = c.query_id),
+asked_words AS (SELECT query_id, unnest(regexp_extract_all(lower(query_text), '[a-z0-9]+')) AS term FROM <queries>), spam AS (SELECT query_id, count(*) <= 40 AND count(*) FILTER (term IN (SELECT term FROM <concept_terms>)) >= 0.12::DOUBLE * count(*) AS spam FROM asked_words GROUP BY 1),
+targets AS (SELECT query_id, count(DISTINCT concept_id) AS targets FROM asked_words JOIN <concept_terms> USING (term) GROUP BY 1), whole AS (SELECT c.query_id, count(DISTINCT concept_id) >= 2 AS complete FROM cand c LEFT JOIN n ON n.id = c.id GROUP BY 1)
+SELECT q.query_id, CASE WHEN coalesce(hits, 0) = 0 THEN 'empty' WHEN coalesce(spam, false) THEN 'spam' WHEN coalesce(low, true) AND coalesce(targets, 0) = 0 THEN 'low_confidence_no_target' WHEN NOT coalesce(complete, false) THEN 'incomplete' WHEN coalesce(low, true) THEN 'retry_wider' ELSE 'answer' END AS gate
+FROM <queries> q LEFT JOIN low l ON l.query_id = q.query_id LEFT JOIN spam s ON s.query_id = q.query_id LEFT JOIN targets t ON t.query_id = q.query_id LEFT JOIN whole w ON w.query_id = q.query_id""")
 def _(v):
-    id_ = F.col("id")
-    return S.gates(v.retrieval_logs.select(id_.alias("query_id"), F.col("num_chunks_hit").alias("hits"), (id_ % 7 == 0).alias("spam"), F.col("is_low_confidence").alias("low"), (id_ % 3).alias("targets"), (id_ % 5 != 0).alias("complete")))
+    conf = R.confidence(asked(v), scores(v), v.chunks)
+    found = entities(v, keep=True)
+    low = S.low_confidence(conf, found.filter("concept_id = 'c2'"))
+    spam = Q.keyword_spam(v.queries, v.concept_terms, most_tokens=40, share=0.12).select("query_id", "spam")
+    targets = Q.linked_concepts(v.queries, v.concept_terms).select("query_id", F.col("n").alias("targets"))
+    x = v.queries.select("query_id").join(conf.select("query_id", "hits"), "query_id", "left")
+    for part in (low, spam, targets, R.complete_evidence(found, 2).select("query_id", "complete")):
+        x = x.join(part, "query_id", "left")
+    return S.gates(x.na.fill(0, ["hits", "targets"]).na.fill({"spam": False, "low": True, "complete": False}))
