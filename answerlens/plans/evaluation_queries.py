@@ -201,9 +201,9 @@ def _(v):
     return E.error_breakdown(primary(v).join(v.cases.select("id", "test_id"), "id"))
 
 
-@query("e20_retrieval_diagnostics", f"WITH {_HITS} SELECT * FROM hits")
+@query("e20_retrieval_diagnostics", f"WITH {_HITS}, l AS (SELECT f.id, list_filter(string_split(m, ','), lambda t: NOT contains(b, t)) AS u FROM found f JOIN combined c ON c.id = f.id) SELECT h.*, array_to_string(u, ',') AS unseen FROM hits h JOIN l ON l.id = h.id")
 def _(v):
-    return E.term_hits(v.cases, v.chunks)
+    return E.term_hits(v.cases, v.chunks).withColumn("unseen", F.array_join("unseen", ","))
 
 
 @query("e20_retrieval_rates", f"""
