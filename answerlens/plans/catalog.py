@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from answerlens.plans import audit_queries, constraint_queries, conversation_queries, evaluation_queries, evidence_queries, log_queries, retrieval_queries, routing_queries, selection_queries, source_queries, structured_queries, text_queries  # noqa: F401
+from answerlens.plans import audit_queries, constraint_queries, contract_queries, conversation_queries, evaluation_queries, evidence_queries, log_queries, retrieval_queries, routing_queries, selection_queries, source_queries, structured_queries, text_queries  # noqa: F401
 from answerlens.plans import registry
 
 FLAGSHIP = "r5_lexical_topk"
