@@ -23,6 +23,25 @@ def pattern_issues(items: DataFrame, patterns: list[tuple[str, str]], field: str
     return items.select("id", F.explode(found).alias("issue"))
 
 
+def pack_errors(packs: DataFrame) -> DataFrame:
+    """(pack_id, lecture, label, error) of concept packs (pack_id, payload as JSON text): errors of structure.
+
+    A payload that is no JSON object (or null) is pack_not_object; one without a list of concepts pack_missing_concepts; each
+    element of the list that is no object concept_not_object, labelled by its place from 0. A pack's lecture is its
+    lecture_id, else its lecture_number, where they say something (not blank, 0 or false), else pack_ and its id. Repeated packs are judged each.
+    """
+    at = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    said = lambda name: F.when(~F.trim(at(name, "string")).isin("", "0", "false"), at(name, "string"))
+    is_object = lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    x = packs.select("pack_id", F.try_parse_json("payload").alias("v")).withColumn("listed", at("concepts", "array<variant>"))
+    own = lambda error: F.array(F.struct(F.lit("(pack)").alias("label"), F.lit(error).alias("error")))
+    bad = F.filter(F.transform("listed", lambda e, i: F.when(~is_object(e), F.concat(F.lit("concept_"), i.cast("string")))), lambda label: label.isNotNull())
+    inner = F.transform(bad, lambda label: F.struct(label.alias("label"), F.lit("concept_not_object").alias("error")))
+    found = F.when(~is_object(F.col("v")), own("pack_not_object")).when(F.col("listed").isNull(), own("pack_missing_concepts")).otherwise(inner)
+    lecture = F.coalesce(said("lecture_id"), said("lecture_number"), F.concat(F.lit("pack_"), F.col("pack_id").cast("string")))
+    return x.select("pack_id", lecture.alias("lecture"), F.explode(found).alias("e")).select("pack_id", "lecture", "e.label", "e.error")
+
+
 def strip_stub(c: Column, stub: str) -> Column:
     return F.regexp_replace(c, stub, "")
 

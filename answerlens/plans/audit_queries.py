@@ -110,6 +110,16 @@ def _(v):
     return A.pattern_issues(v.chunks, _ISSUES, "source_excerpt")
 
 
+@query("g4_pack_errors", """
+WITH j AS (SELECT pack_id, payload, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS v FROM <packs>),
+l AS (SELECT *, CASE WHEN coalesce(json_extract_string(v, '$.lecture_id'), '') NOT IN ('', '0') THEN json_extract_string(v, '$.lecture_id') WHEN coalesce(json_extract_string(v, '$.lecture_number'), '') NOT IN ('', '0') THEN json_extract_string(v, '$.lecture_number') ELSE 'pack_' || pack_id END AS lecture FROM j),
+c AS (SELECT pack_id, lecture, unnest(range(CAST(json_array_length(v, '$.concepts') AS BIGINT))) AS i, v FROM l WHERE json_type(v, '$.concepts') = 'ARRAY')
+SELECT pack_id, lecture, '(pack)' AS label, CASE WHEN coalesce(json_type(v), '') <> 'OBJECT' THEN 'pack_not_object' ELSE 'pack_missing_concepts' END AS error FROM l WHERE coalesce(json_type(v), '') <> 'OBJECT' OR coalesce(json_type(v, '$.concepts'), '') <> 'ARRAY'
+UNION ALL SELECT pack_id, lecture, 'concept_' || i, 'concept_not_object' FROM c WHERE json_type(v, '$.concepts[' || i || ']') <> 'OBJECT'""")
+def _(v):
+    return A.pack_errors(v.packs)
+
+
 @query("g3_stripped_stubs", "SELECT id FROM <chunks> WHERE regexp_replace(source_excerpt, 'All rights reserved[.]', '', 'g') <> source_excerpt")
 def _(v):
     return v.chunks.filter(A.strip_stub(F.col("source_excerpt"), "All rights reserved[.]") != F.col("source_excerpt")).select("id")

@@ -23,6 +23,11 @@ SELECT doc_id AS id, lang || ':' || CAST(doc_id AS STRING) AS chunk_key, CAST(re
        split_part(text, chr(10), 1) AS clean_explanation, text AS source_excerpt
 FROM <documents>""",
     "queries": "SELECT item_id AS query_id, text AS query_text FROM <benchmark>",
+    "packs": """
+SELECT pack_id, CASE kind WHEN 0 THEN '{"lecture_id":' || CAST(number AS STRING) || ',"concepts":[' || a || ',' || b || ',' || c || ']}' WHEN 1 THEN '{"lecture_number":"' || CAST(number AS STRING) || '","concepts":' || a || '}' WHEN 2 THEN '{"topics":[' || a || ']}' WHEN 3 THEN '[' || b || ']' ELSE line END AS payload
+FROM (SELECT pack_id, kind, number, line, CASE WHEN length(x) % 3 = 0 THEN '{"name":"' || x || '"}' WHEN length(x) % 3 = 1 THEN '"' || x || '"' ELSE CAST(length(x) AS STRING) END AS a,
+  CASE WHEN length(y) % 3 = 0 THEN '{"name":"' || y || '"}' WHEN length(y) % 3 = 1 THEN '["' || y || '"]' ELSE 'null' END AS b, CASE WHEN length(z) % 2 = 0 THEN '{"name":"' || z || '"}' ELSE 'true' END AS c
+  FROM (SELECT doc_id AS pack_id, n_chars % 5 AS kind, n_chars % 20 AS number, split_part(text, chr(10), 1) AS line, regexp_extract(split_part(text, ' ', 1), '^[A-Za-z]+', 0) AS x, regexp_extract(split_part(text, ' ', 2), '^[a-z]+', 0) AS y, regexp_extract(split_part(text, ' ', 3), '^[a-z]+', 0) AS z FROM <documents>) w) p""",
     "messages": """
 SELECT conv_id * 100 + turn AS id, conv_id AS session_id, turn AS seq, role, text AS content_text,
        TIMESTAMP '2024-01-01 00:00:00' + (conv_id * 60 + turn) * INTERVAL '1' MINUTE AS created_at
