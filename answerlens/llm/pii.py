@@ -193,4 +193,6 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k: F.size(F.filter("pii_spans", lambda x: x["kind"] == k)).cast("long")
     counts = [of(k).alias(f"n_{k}") for k in BASE]
     base = listed(F.filter("pii_spans", lambda x: x["kind"].isin(*BASE)))
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
+    # one score per span, in the order of spans
+    scores = F.array_join(F.transform("pii_spans", lambda x: F.format_number(x["score"], 2)), ",")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"), scores.alias("scores"))

@@ -93,3 +93,10 @@ def test_texts_of_megabytes_take_time_in_proportion(spark, docs):
     began = time.time()
     out = pii.mask_pii(docs([text])).first().text
     assert time.time() - began < 60 and out.endswith("[CARD], [EMAIL] [IP] é " * SIZE) and out.startswith("0, 1, 2, ")
+
+
+def test_scores_stand_beside_spans_and_follow_context(spark, tmp_path):
+    rows = [(1, "reach +49 30 1234567 now"), (2, "phone +49 30 1234567, mail a@b.co"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.op3_pii(spark, str(tmp_path)).collect()}
+    assert got == {1: ("phone:6:20", "0.70"), 2: ("phone:6:20,email:27:33", "0.90,0.90"), 3: ("", ""), 4: ("", "")}
