@@ -25,11 +25,11 @@ _TURNS = """
 SELECT a.id AS query_id, a.content_text AS answer, u.content_text || CASE u.session_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' lecture ' || CAST(u.seq % 7 AS STRING) || ' lecture ' || CAST(u.session_id % 23 AS STRING) ELSE ' lecture ' || CAST(u.session_id % 23 AS STRING) END AS query_text
 FROM <messages> a JOIN <messages> u ON u.session_id = a.session_id AND u.seq = a.seq - 1 WHERE a.role = 'assistant' AND u.role = 'user'"""
 _NAMES = "SELECT concept_id, row_number() OVER (PARTITION BY concept_id ORDER BY length(term) DESC, term) - 1 AS pos, term AS label FROM <many_concepts> WHERE term <> ''"
-_PEERS = "SELECT a.concept_id, b.concept_id AS peer_id FROM (SELECT DISTINCT concept_id FROM <many_concepts>) a JOIN (SELECT DISTINCT concept_id FROM <many_concepts>) b ON ascii(b.concept_id) - ascii(a.concept_id) = 1"
+_PEERS = "SELECT a.concept_id, b.concept_id AS peer_id FROM (SELECT DISTINCT concept_id FROM <many_concepts>) a JOIN (SELECT DISTINCT concept_id FROM <many_concepts>) b ON ascii(b.concept_id) = ascii(a.concept_id) + 1"
 _MAINS = """
 SELECT lecture_number, row_number() OVER (PARTITION BY lecture_number ORDER BY concept_id) AS place, concept_id
 FROM (SELECT DISTINCT lecture_number, substr(lower(split_part(clean_explanation, ' ', 2)), 1, 1) AS concept_id FROM <chunks>) k WHERE concept_id IN (SELECT concept_id FROM <many_concepts>)"""
-_AXES = "SELECT a.concept_id AS low, b.concept_id AS high, a.label AS axis FROM (" + _NAMES + ") a JOIN (" + _NAMES + ") b ON a.concept_id < b.concept_id AND a.pos = 1 AND b.pos = 1"
+_AXES = "SELECT a.concept_id AS low, b.concept_id AS high, a.label AS axis FROM (" + _NAMES + ") a JOIN (" + _NAMES + ") b ON ascii(b.concept_id) = ascii(a.concept_id) + 1 AND a.pos = 1 AND b.pos = 1"
 
 
 def judged(v):
