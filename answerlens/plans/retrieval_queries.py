@@ -38,9 +38,9 @@ def asked(v):
     return v.queries.select("query_id", F.concat("query_text", F.lit(" lecture "), (F.col("query_id") % 20).cast("string")).alias("query_text"))
 
 
-def scores(v):
-    """Scores of all matches, written once where several parts of a query ask for them."""
-    return v.stored("scores", lambda: R.lexical_scores(asked(v), v.chunks))
+def counted(v, k):
+    """The first k chunks of each query with their scores and the number of all its hits, written once; hits(v, k) then are these."""
+    return v.stored(f"hits{k}", lambda: R.counted_top_k(asked(v), v.chunks, k))
 
 
 def hits(v, k):
@@ -83,7 +83,7 @@ SELECT query_id, top_score, second_score, round(coalesce(margin, 0.0), 6) AS mar
 
 @query("r6_confidence", _CONF)
 def _(v):
-    return R.confidence(asked(v), scores(v), v.chunks)
+    return R.confidence(asked(v), counted(v, 2), v.chunks)
 
 
 @query("r7_diagnostics", f"WITH {_LEX} SELECT query_id, count(*) AS hits, round(max(score), 6) AS top_score, round(sum(token_score), 4) AS token_mass, sum(phrase_events) AS phrase_events FROM ranked GROUP BY 1")
@@ -96,7 +96,7 @@ def _(v):
 WITH {_LEX}, a AS (SELECT query_id, k.id FROM q JOIN <chunks> k ON k.lecture_number = q.lecture), x AS (SELECT a.query_id, a.id, coalesce(score, 0.0) AS score FROM a LEFT JOIN scored s ON s.query_id = a.query_id AND s.id = a.id)
 SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM x) WHERE rank <= 20""")
 def _(v):
-    return R.lecture_ranking(scores(v), asked(v), v.chunks, 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return R.lecture_ranking(R.lexical_scores(asked(v), v.chunks), asked(v), v.chunks, 20).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 _DENSE = """

@@ -9,7 +9,7 @@ from answerlens.operators import retrieval as R
 from answerlens.operators import selection as S
 from answerlens.operators import structured as K
 from answerlens.plans.registry import query
-from answerlens.plans.retrieval_queries import _ENT, _LEX, _CONF, _Q, asked, entities, hits, scores
+from answerlens.plans.retrieval_queries import _ENT, _LEX, _CONF, _Q, asked, counted, entities, hits
 
 TARGETS, FORBIDDEN = ["the", "that"], ["for", "by"]
 ROLES = [("definition", "^The "), ("example", " for "), ("relevance", " with ")]
@@ -112,7 +112,7 @@ _LOW = f"conf AS ({_CONF.strip().replace('WITH ' + _LEX + ', b AS', 'WITH b AS')
 
 @query("q16_low_confidence", f"WITH {_ENT}, {_LOW}, s AS (SELECT DISTINCT query_id FROM eh WHERE concept_id = 'c2') SELECT c.query_id, confidence < CASE WHEN s.query_id IS NULL THEN 0.35 ELSE 0.35 * 0.55 END AS low FROM conf c LEFT JOIN s ON s.query_id = c.query_id")
 def _(v):
-    return S.low_confidence(R.confidence(asked(v), scores(v), v.chunks), entities(v).filter("concept_id = 'c2'"))
+    return S.low_confidence(R.confidence(asked(v), counted(v, 12), v.chunks), entities(v).filter("concept_id = 'c2'"))
 
 
 @query("v2_grounding", f"SELECT id, contains(lower(actual_response), 'lecture') OR {_n('actual_response', _T)} > 0 OR (category <> 'en' AND length(actual_response) > 200) AS grounded FROM <cases>")
@@ -142,7 +142,7 @@ targets AS (SELECT query_id, count(DISTINCT concept_id) AS targets FROM asked_wo
 SELECT q.query_id, CASE WHEN coalesce(hits, 0) = 0 THEN 'empty' WHEN coalesce(spam, false) THEN 'spam' WHEN coalesce(low, true) AND coalesce(targets, 0) = 0 THEN 'low_confidence_no_target' WHEN NOT coalesce(complete, false) THEN 'incomplete' WHEN coalesce(low, true) THEN 'retry_wider' ELSE 'answer' END AS gate
 FROM <queries> q LEFT JOIN low l ON l.query_id = q.query_id LEFT JOIN spam s ON s.query_id = q.query_id LEFT JOIN targets t ON t.query_id = q.query_id LEFT JOIN whole w ON w.query_id = q.query_id""")
 def _(v):
-    conf = R.confidence(asked(v), scores(v), v.chunks)
+    conf = R.confidence(asked(v), counted(v, 12), v.chunks)
     found = entities(v, keep=True)
     low = S.low_confidence(conf, found.filter("concept_id = 'c2'"))
     spam = Q.keyword_spam(v.queries, v.concept_terms, most_tokens=40, share=0.12).select("query_id", "spam")
