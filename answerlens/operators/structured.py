@@ -90,21 +90,27 @@ def concept_lookups(pairs: DataFrame, edges: DataFrame, axes: DataFrame) -> Data
     return out.select("a", "b", *[F.coalesce(c, none).alias(c) for c in ("prerequisites", "related", "axes")])
 
 
-def fan_out(hits: DataFrame, queries: DataFrame, terms: DataFrame, chunks: DataFrame, *, top_k: int = 10, least: int = FAN_OUT, intents: DataFrame | None = None) -> DataFrame:
+def concept_questions(terms: DataFrame) -> DataFrame:
+    """(query_id, query_text): each concept, asked for by its terms."""
+    return terms.groupBy(F.col("concept_id").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("query_text"))
+
+
+def fan_out(hits: DataFrame, queries: DataFrame, terms: DataFrame, chunks: DataFrame, *, top_k: int = 10, least: int = FAN_OUT, intents: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
     """hits (query_id, id, rank) with, for queries of ``least`` concepts or more, the hits of the first three added.
 
     intents is (query_id, intent); queries that compare, sum up a lecture or ask a quiz stay as they are.
 
     A concept is asked for by its terms, once for all queries; what is new is added behind, concept by concept, up to
-    four times ``top_k`` in all.
+    four times ``top_k`` in all. told (concept_id, id, rank) are the hits of concept_questions, where they are there already.
     """
     named = named_concepts(queries, terms)
     many = named.groupBy("query_id").agg(F.max("place").alias("n")).filter(F.col("n") >= least)
     if intents is not None:
         many = many.join(intents.filter(F.col("intent").isin(NO_FAN_OUT)), "query_id", "left_anti")
     named = named.filter(F.col("place") <= FAN_OUT).join(many, "query_id", "left_semi")
-    asked = terms.groupBy(F.col("concept_id").alias("query_id")).agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("query_text"))
-    sub = R.top_k(R.lexical_scores(asked, chunks), FAN_HITS).select(F.col("query_id").alias("concept_id"), "id", F.col("rank").alias("sub"))
+    if told is None:
+        told = R.top_k(R.lexical_scores(concept_questions(terms), chunks), FAN_HITS).withColumnRenamed("query_id", "concept_id")
+    sub = told.filter(F.col("rank") <= FAN_HITS).select("concept_id", "id", F.col("rank").alias("sub"))
     more = named.join(sub, "concept_id").select("query_id", "id", "place", "sub")
     every = hits.select("query_id", "id", F.lit(0).alias("place"), F.col("rank").alias("sub")).unionByName(more)
     first = every.groupBy("query_id", "id").agg(F.min(F.struct("place", "sub")).alias("at"))

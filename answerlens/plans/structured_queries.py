@@ -10,7 +10,7 @@ from answerlens.operators import retrieval as R
 from answerlens.operators import selection as Y
 from answerlens.operators import structured as S
 from answerlens.plans.registry import query
-from answerlens.plans.retrieval_queries import _LEX, _Q, hits
+from answerlens.plans.retrieval_queries import _LEX, _Q, asked, hits
 from answerlens.plans.routing_queries import _ROUTED, _TEXTS, PATTERNS
 from answerlens.plans.text_queries import terms_sql, units_sql
 
@@ -72,8 +72,14 @@ x AS (SELECT query_id, id, 0 AS place, rank AS sub FROM ranked WHERE rank <= 10
 f AS (SELECT query_id, id, min(place * 1000 + sub) AS spot FROM x GROUP BY 1, 2)
 SELECT query_id, id, rank, spot >= 1000 AS added FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot, id) AS rank FROM f) WHERE rank <= 40""")
 def _(v):
-    base = hits(v, 10)
-    return S.fan_out(base, v.queries, v.many_concepts, v.chunks, intents=plans(v))
+    # queries and concepts are asked for in one pass over the chunks
+    of_queries, of_concepts = asked(v), S.concept_questions(v.many_concepts)
+    none = lambda df: F.lit(None).cast(df.schema["query_id"].dataType)
+    both = lambda df, q, c: df.select(F.struct(q.alias("query_id"), c.alias("concept_id")).alias("query_id"), "query_text")
+    every = both(of_queries, F.col("query_id"), none(of_concepts)).unionByName(both(of_concepts, none(of_queries), F.col("query_id")))
+    found = v.stored("hits_of_both", lambda: R.top_k(R.lexical_scores(every, v.chunks), 10).select("query_id.query_id", "query_id.concept_id", "id", "rank"))
+    base, told = found.filter("query_id IS NOT NULL").select("query_id", "id", "rank"), found.filter("concept_id IS NOT NULL").select("concept_id", "id", "rank")
+    return S.fan_out(base, v.queries, v.many_concepts, v.chunks, intents=plans(v), told=told)
 
 
 @query("r42_concept_lookups", """

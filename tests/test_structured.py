@@ -1,6 +1,7 @@
 """Structured queries on the cases that the rules name."""
 
 from answerlens.functions import text as T
+from answerlens.operators import retrieval as R
 from answerlens.operators import structured
 from pyspark.sql import functions as F
 
@@ -62,6 +63,27 @@ def test_fan_out_adds_behind_and_once(spark):
     assert got == [(1, 3, 1, False), (1, 0, 2, False), (1, 1, 3, True), (1, 2, 4, True), (2, 3, 1, False)]
 
 
+def test_fan_out_reads_hits_of_concepts_that_are_there(spark):
+    chunks = spark.createDataFrame([(i, 1, t, t) for i, t in enumerate(["alpha text", "beta text", "gamma text", "delta"])], "id long, lecture_number int, topic string, source_excerpt string")
+    q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta")], "query_id long, query_text string")
+    terms = spark.createDataFrame([("a", "alpha"), ("b", "beta"), ("c", "gamma")], "concept_id string, term string")
+    hits = spark.createDataFrame([(1, 3, 1), (1, 0, 2), (2, 3, 1)], "query_id long, id long, rank int")
+    rows = lambda **x: [tuple(r) for r in structured.fan_out(hits, q, terms, chunks, **x).orderBy("query_id", "rank").collect()]
+    told = R.top_k(R.lexical_scores(structured.concept_questions(terms), chunks), 10).withColumnRenamed("query_id", "concept_id").localCheckpoint()
+    assert rows(told=told) == rows()
+    plan = structured.fan_out(hits, q, terms, chunks, told=told)._jdf.queryExecution().sparkPlan().toString()
+    assert "source_excerpt" not in plan  # chunks aren't scored again
+
+
+def test_r21_scores_once(spark, monkeypatch):
+    from answerlens.plans import catalog
+
+    passes, pairs = [], R._pairs
+    monkeypatch.setattr(R, "_pairs", lambda *a: passes.append(1) or pairs(*a))
+    assert catalog.queries()["r21_fan_out"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(passes) == 1
+
+
 def test_aliases_of_any_length_in_order(spark):
     q = spark.createDataFrame([(1, "The hidden Markov model of speech"), (2, "markov chain; hidden-markov-model!"), (3, None), (4, "hidden")], "query_id long, query_text string")
     terms = spark.createDataFrame([("h", "hidden markov model"), ("m", "Markov"), ("g", "hidden"), ("g", "the hidden markov model of speech and more"), ("m", "markov"), ("e", ""), ("e", None)], "concept_id string, term string")
